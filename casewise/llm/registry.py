@@ -1,9 +1,13 @@
 """Queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
 from .partenum import op7_partenum_join
+from .wumanber import OP6_SQL, op6_wu_manber
 
 QUERIES = {
+    "op6_wu_manber": op6_wu_manber,
     "op7_partenum_join": op7_partenum_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_wu_manber": OP6_SQL,
+}
