@@ -1,9 +1,11 @@
 """Queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
+from .langid import op1_marginal_unigrams
 from .partenum import op7_partenum_join
 from .wumanber import OP6_SQL, op6_wu_manber
 
 QUERIES = {
+    "op1_marginal_unigrams": op1_marginal_unigrams,
     "op6_wu_manber": op6_wu_manber,
     "op7_partenum_join": op7_partenum_join,
 }
