@@ -3,6 +3,7 @@
 from .langid import op1_marginal_unigrams
 from .partenum import op7_partenum_join
 from .shuffle import op4_two_pass_shuffle
+from .warc import op10_index_merge
 from .wumanber import OP6_SQL, op6_wu_manber
 
 QUERIES = {
@@ -10,6 +11,7 @@ QUERIES = {
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op6_wu_manber": op6_wu_manber,
     "op7_partenum_join": op7_partenum_join,
+    "op10_index_merge": op10_index_merge,
 }
 
 ORACLE_SQL: dict[str, str] = {
