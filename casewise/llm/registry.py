@@ -2,12 +2,14 @@
 
 from .langid import op1_marginal_unigrams
 from .partenum import op7_partenum_join
+from .pii import op3_surrogates
 from .shuffle import op4_two_pass_shuffle
 from .warc import op10_index_merge
 from .wumanber import OP6_SQL, op6_wu_manber
 
 QUERIES = {
     "op1_marginal_unigrams": op1_marginal_unigrams,
+    "op3_surrogates": op3_surrogates,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op6_wu_manber": op6_wu_manber,
     "op7_partenum_join": op7_partenum_join,
