@@ -3,6 +3,7 @@
 from .langid import op1_marginal_unigrams
 from .partenum import op7_partenum_join
 from .pii import op3_surrogates
+from .sampling import op8_sampled_pieces
 from .shuffle import op4_two_pass_shuffle
 from .warc import op10_index_merge
 from .wumanber import OP6_SQL, op6_wu_manber
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op6_wu_manber": op6_wu_manber,
     "op7_partenum_join": op7_partenum_join,
+    "op8_sampled_pieces": op8_sampled_pieces,
     "op10_index_merge": op10_index_merge,
 }
 
