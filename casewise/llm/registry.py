@@ -5,6 +5,7 @@ from .partenum import op7_partenum_join
 from .pii import op3_surrogates
 from .sampling import op8_sampled_pieces
 from .shuffle import op4_two_pass_shuffle
+from .toxicity import op9_string_kernel
 from .warc import op10_index_merge
 from .wumanber import OP6_SQL, op6_wu_manber
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op6_wu_manber": op6_wu_manber,
     "op7_partenum_join": op7_partenum_join,
     "op8_sampled_pieces": op8_sampled_pieces,
+    "op9_string_kernel": op9_string_kernel,
     "op10_index_merge": op10_index_merge,
 }
 
