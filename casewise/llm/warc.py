@@ -203,8 +203,8 @@ def read_index(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.xxhash64("path").alias("run"), "content")
     runs = scratch.table(files.mapInArrow(_index, _ENTRY), "runs")
     n = runs.count()
-    stride = max(64, math.ceil(n / MOST_SAMPLES))
-    sample = sorted(r[0] for r in runs.where(F.col("seq") % stride == stride // 2).select("sort_key").collect())
+    stride = max(8, math.ceil(n / MOST_SAMPLES))
+    sample = sorted(r[0] for r in runs.where(F.pmod(F.xxhash64("run", "seq"), F.lit(stride)) == 0).select("sort_key").collect())
     ranges = max(1, math.ceil(n / RANGE_ROWS), min(len(sample), 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = spark.sparkContext.broadcast([sample[len(sample) * i // ranges] for i in range(1, ranges)] if sample else [])
 
