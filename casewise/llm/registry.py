@@ -1,6 +1,7 @@
 """Queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
 from .langid import op1_marginal_unigrams
+from .lmscore import op2_elias_fano_trie
 from .partenum import op7_partenum_join
 from .pii import op3_surrogates
 from .sampling import op8_sampled_pieces
@@ -11,6 +12,7 @@ from .wumanber import OP6_SQL, op6_wu_manber
 
 QUERIES = {
     "op1_marginal_unigrams": op1_marginal_unigrams,
+    "op2_elias_fano_trie": op2_elias_fano_trie,
     "op3_surrogates": op3_surrogates,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op6_wu_manber": op6_wu_manber,
