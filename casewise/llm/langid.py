@@ -188,6 +188,11 @@ def _remainder(id_col: str, m: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % m
 
 
+def training_rows(id_col: str):
+    """Rows that a model may learn from: those that aren't held out."""
+    return _remainder(id_col, 5) != 0
+
+
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> Model | None:
     """A model of the languages of ``lang_col``; None if no text has one.
 
@@ -251,6 +256,6 @@ def predict_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_i
 
 def op1_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit_languages(docs.where(_remainder("doc_id", 5) != 0))
+    model = fit_languages(docs.where(training_rows("doc_id")))
     found = predict_languages(docs, model)
     return found.select("doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")

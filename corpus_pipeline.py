@@ -1,21 +1,72 @@
-"""A corpus pipeline over ``documents``: each stage's Parquet output is the next stage's input."""
+"""A corpus pipeline over ``documents``: each stage's Parquet output is the next stage's input.
+
+Stages keep the columns of ``documents``; the last gives token ids. SQL has neither trained
+models nor sampled segmentations, so there is no ORACLE_SQL; tests/llm checks each stage
+against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewise.llm.langid import fit_languages, predict_languages, training_rows
 from casewise.llm.partenum import near_duplicates
+from casewise.llm.pii import replace_entities
+from casewise.llm.sampling import encode_sampled
 from casewise.llm.scratch import Scratch
+from casewise.llm.wumanber import contaminated, contamination
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told (null, empty or without a letter) go."""
+    found = predict_languages(docs, fit_languages(docs.where(training_rows("doc_id"))))
+    return _without(docs, found.where("lang_pred = 'und'"))
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the least doc_id."""
-    groups = near_duplicates(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(groups, docs["doc_id"] == groups["kept_id"], "left_semi")
+    """One document of each near-duplicate group stays: that with the least doc_id.
+
+    Rows that repeat a doc_id with its text count once; rows without a doc_id stay.
+    """
+    found = near_duplicates(docs)
+    kept = _without(docs, found.where("component_id <> doc_id"))
+    again = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
+    if not again.take(1):
+        return kept
+    repeated = kept.join(again.select(F.col("doc_id").alias("again")), F.col("doc_id") == F.col("again"), "left_semi")
+    return _without(kept, again).union(repeated.dropDuplicates(["doc_id", "text"]))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more of the words lie in benchmark windows go."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where(contaminated()))
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts become surrogates; n_chars follows the text."""
+    new = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast(docs.schema["n_chars"].dataType)}
+    return replace_entities(docs).select(*[new.get(c, F.col(f"record.{c}")).alias(c) for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's sampled token ids."""
+    return encode_sampled(docs)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't among those of ``gone``; rows without one stay."""
+    return docs.join(gone.select(F.col("doc_id").alias("gone")).distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
 
 
-STAGES = [("near_duplicates", dedupe)]
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", dedupe),
+    ("benchmark_decontamination", decontaminate),
+    ("pii_surrogates", pseudonymise),
+    ("sentencepiece", encode),
+]
 
 ORACLE_SQL = None
 
