@@ -1,4 +1,3 @@
 """Registered queries of the analytics engine and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import ORACLE_SQL, QUERIES, facts, profile, ranking  # noqa: F401

@@ -1 +1,24 @@
-"""Part of casewise; see the README for what each module holds."""
+"""Registered queries: each has a name, a plan over the driver's tables and its DuckDB SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a plan under its function's name."""
+
+    def put(plan: Callable) -> Callable:
+        QUERIES[plan.__name__] = plan
+        if sql:
+            ORACLE_SQL[plan.__name__] = sql
+        return plan
+
+    return put
+
+
+def read(spark, sf_dir: str, table: str):
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
