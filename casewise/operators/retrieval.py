@@ -96,7 +96,7 @@ def reuse_summary(neighbors: DataFrame) -> DataFrame:
     )
     spread = F.least(F.lit(0.35), F.col("perf_spread") / (F.abs(F.col("weighted_perf")) + 1e-6) * 0.1)
     raw = 0.35 * F.least(F.lit(1.0), F.col("neighbors") / 10) + 0.35 * F.col("mean_similarity") + 0.25 * F.col("mean_agreement") - F.coalesce(spread, F.lit(0.0))
-    return out.withColumn("confidence", F.round(clip(raw, 0, 1), 6))
+    return out.withColumn("confidence", F.round(clip(raw, 0, 1) + 1e-9, 6))
 
 
 def recommended_action() -> Column:

@@ -116,7 +116,7 @@ summed AS (
     round(sum(CASE WHEN c_status = 'fatigued' THEN greatest(final_score, 0) ELSE 0 END) / nullif(sum(greatest(final_score, 0)), 0), 6) AS fatigued_share,
     round(CASE WHEN sum(CASE WHEN c_perf IS NOT NULL THEN greatest(final_score, 0) END) > 0 THEN sum(c_perf * greatest(final_score, 0)) / sum(CASE WHEN c_perf IS NOT NULL THEN greatest(final_score, 0) END) ELSE avg(c_perf) END, 6) AS weighted_perf,
     round(median(c_perf), 6) AS median_perf, round(stddev_pop(c_perf), 6) AS perf_spread FROM placed GROUP BY query_id),
-reuse AS (SELECT *, round(least(1, greatest(0, 0.35 * least(1, neighbors / 10) + 0.35 * mean_similarity + 0.25 * mean_agreement - coalesce(least(0.35, perf_spread / (abs(weighted_perf) + 1e-6) * 0.1), 0))), 6) AS confidence FROM summed)"""
+reuse AS (SELECT *, round(least(1, greatest(0, 0.35 * least(1, neighbors / 10) + 0.35 * mean_similarity + 0.25 * mean_agreement - coalesce(least(0.35, perf_spread / (abs(weighted_perf) + 1e-6) * 0.1), 0))) + 1e-9, 6) AS confidence FROM summed)"""
 
 
 @query(f"WITH {REUSE} SELECT * FROM reuse")
