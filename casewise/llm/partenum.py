@@ -37,6 +37,10 @@ from .textkernel import SPACED, U64, Words, mix, shingle_sets, string_slices
 FREQUENT = 0.002  # share of a slice's distinct sets from which a shingle counts as frequent
 ENUMERATE_BELOW = 64  # bands of smaller sets enumerate subsets (n2=3, k2=1); larger ones have n2=1, k2=0
 SIGNATURES_PER_PART = 400_000
+BROADCAST_NODES = 500_000  # ids of 8 bytes that may be broadcast
+COUNTED = 3_000_000  # shingles that are counted together
+CHUNK_MEMBERS = 10_000  # of buckets that one call compares, about
+BLOCK_MEMBERS = 4096  # a bucket of more members is compared block by block
 _OWNER = U64((1 << 48) - 1)
 
 
@@ -165,28 +169,31 @@ def _sums(e: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(width: int, share: float):
+    """A row for each text, and rows for shingles that at least ``share`` of a run of distinct sets have."""
+    names = ["id", "n", "h1", "h2", "is_text"]
+
+    def often(runs: list[np.ndarray], sets: int) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(runs), return_counts=True)
+        on = times >= max(5, math.ceil(share * sets))
+        k = int(on.sum())
+        zero = pa.array(np.zeros(k, np.int64))
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(times[on]), pa.array(found[on].view(np.int64)), zero, pa.array(np.zeros(k, bool))], names)
+
     def run(batches):
+        runs, sets, size = [], 0, 0
         for ids, e, bounds in _slices(batches, width):
             h1, h2 = _sums(e, bounds)
             n = np.diff(bounds)
-            rows = len(n)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.ones(len(n), bool))], names)
             _, distinct = np.unique(h1, return_index=True)
             distinct = distinct[n[distinct] > 0]
-            found, times = np.unique(e[_runs(bounds[distinct], n[distinct])], return_counts=True)
-            often = times >= max(5, math.ceil(share * len(distinct)))
-            found, times = found[often], times[often]
-            k = len(found)
-            nothing = np.zeros(k, bool)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(k, pa.int64())]),
-                    pa.array(np.concatenate([n, times])),
-                    pa.array(np.concatenate([h1, found]).view(np.int64)),
-                    pa.array(np.concatenate([h2, np.zeros(k, U64)]).view(np.int64)),
-                    pa.array(np.concatenate([np.ones(rows, bool), nothing])),
-                ],
-                ["id", "n", "h1", "h2", "is_text"],
-            )
+            runs.append(e[_runs(bounds[distinct], n[distinct])])
+            sets, size = sets + len(distinct), size + len(runs[-1])
+            if size > COUNTED:
+                yield often(runs, sets)
+                runs, sets, size = [], 0, 0
+        if size:
+            yield often(runs, sets)
 
     return run
 
@@ -279,17 +286,102 @@ def _meet(table: pa.Table) -> pa.Table:
     )
 
 
+def _sketch(e: np.ndarray) -> bytes:
+    """Parity of the set's shingles over bits, one or two to a shingle.
+
+    Each difference between two sets flips one bit, so the bits in which two sketches differ
+    are never more than the sets' differences. Half of a sketch folded onto the other by XOR
+    is the sketch of half the size.
+    """
+    bits = min(1 << 17, max(64, 1 << (len(e) - 1).bit_length()))
+    odd = np.bincount((mix(e ^ U64(0x2545F4914F6CDD1D)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def _blob_sets(width: int):
     def run(batches):
         for ids, e, bounds in _slices(batches, width):
             h1, h2 = _sums(e, bounds)
+            sketches = [_sketch(e[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((h1 & _OWNER).view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), _blobs(e.view(np.uint8), bounds * 8)], ["node", "h1", "h2", "features"]
+                [pa.array((h1 & _OWNER).view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), _blobs(e.view(np.uint8), bounds * 8), pa.array(sketches, pa.binary()), pa.array(np.diff(bounds))],
+                ["node", "h1", "h2", "features", "sketch", "n"],
             )
 
     return run
 
 
+def _near(table: dict, best: bool, across: bool, num: int, den: int) -> np.ndarray:
+    """Pairs (x, y) of members of different components that sizes and sketches allow."""
+    node, comp, n, block = (table[c] for c in ("node", "component", "n", "block"))
+    raw = [np.frombuffer(x, U64) for x in table["sketch"]]
+    words = min(map(len, raw))
+    sketch = np.stack([_folded(x, words) for x in raw])
+    found, step = [], max(1, (1 << 20) // (len(node) * words))
+    for a in range(0, len(node), step):
+        b = min(len(node), a + step)
+        apart = np.bitwise_count(sketch[a:b, None, :] ^ sketch[None, :, :]).sum(axis=-1, dtype=np.int64)
+        both, least = n[a:b, None] + n[None, :], np.minimum(n[a:b, None], n[None, :])
+        good = (apart * (num + den) <= both * (den - num)) & (comp[a:b, None] != comp[None, :]) & (least * den >= (both - least) * num)
+        if across:
+            good &= block[a:b, None] != block[None, :]
+        if best:
+            apart[~good] = 1 << 40
+            y = apart.argmin(axis=1)
+            x = np.flatnonzero(good[np.arange(b - a), y])
+            y = y[x]
+        else:
+            x, y = np.nonzero(good)
+        found.append(np.stack([node[x + a], node[y]], axis=1))
+    return np.concatenate(found)
+
+
+def _plausible(num: int, den: int):
+    """Which pairs' sizes and sketches allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, dtype=bool)
+            for i, (m, n, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b")))):
+                if min(m, n) * den >= max(m, n) * num:
+                    x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                    x, y = _folded(x, min(len(x), len(y))), _folded(y, min(len(x), len(y)))
+                    kept[i] = int(np.bitwise_count(x ^ y).sum()) * (num + den) <= (m + n) * (den - num)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(kept)], ["a", "b", "kept"])
+
+    return run
+
+
+def _candidates(best: bool, num: int, den: int):
+    """Pairs of each bucket's members that may be links; best: for each member only the nearest.
+
+    Buckets share a table; of a bucket in blocks, members of blocks i and j meet.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        columns = {c: table.column(c).to_numpy() for c in ("bucket", "i", "j", "node", "component", "n", "block")}
+        columns["sketch"] = np.array(table.column("sketch").to_pylist() + [None], dtype=object)[:-1]
+        new = np.ones(len(table), dtype=bool)
+        for c in ("bucket", "i", "j"):
+            new[1:] &= columns[c][1:] == columns[c][:-1]
+        new[1:] = ~new[1:]
+        at = np.append(np.flatnonzero(new), len(table)).tolist()
+        found = [np.empty((0, 2), np.int64)]
+        for a, b in zip(at[:-1], at[1:]):
+            found.append(_near({c: x[a:b] for c, x in columns.items()}, best, columns["i"][a] != columns["j"][a], num, den))
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
 def _linked(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -336,16 +428,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = scratch.table(met.where("bucket IS NULL").select("a", "b").distinct(), "pairs")
     members = met.where("bucket IS NOT NULL").select("bucket", F.col("a").alias("node")).distinct()
 
-    nodes = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    wanted = classes.withColumn("node", F.col("h1").bitwiseAND(int(_OWNER))).join(nodes, "node", "left_semi").select("h1", "h2", F.col("rep").alias("id"))
-    found = texts.join(wanted.select("id").distinct(), "id").select("id", "text").mapInArrow(_blob_sets(width), "node long, h1 long, h2 long, features binary")
-    sets = scratch.table(found.dropDuplicates(["h1", "h2"]).withColumn("class", F.xxhash64("h1", "h2")), "sets")
+    def of_nodes(df: DataFrame, nodes: DataFrame, on: str) -> DataFrame:
+        """Rows of df with a node among ``nodes``: few enough are broadcast, more are shuffled."""
+        few = nodes.count() <= BROADCAST_NODES
+        return df.join(F.broadcast(nodes) if few else nodes, on, "left_semi")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+    node = F.col("h1").bitwiseAND(int(_OWNER)).alias("node")
+    wanted = scratch.table(classes.select("*", node).join(ends(stars), "node", "left_semi").select(F.col("rep").alias("id")).distinct(), "wanted")
+    found = of_nodes(texts, wanted, "id").mapInArrow(_blob_sets(width), "node long, h1 long, h2 long, features binary, sketch binary, n long")
+    sets = scratch.table(found, "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """Links among pairs of nodes, as (a, b) of classes."""
-        left = sets.select(F.col("node").alias("a"), F.col("features").alias("features_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("features").alias("features_b"))
-        fed = pairs.join(right, "b").join(left, "a").select("a", "b", "features_a", "features_b")
+        """Links among pairs of nodes: sizes and sketches first, then the sets of what is left."""
+        small = sets.select("node", "n", "sketch").distinct()
+        side = lambda df, key: df.select(*[F.col(c).alias(key if c == "node" else f"{c}_{key}") for c in df.columns])
+        fed = pairs.join(side(small, "a"), "a").join(side(small, "b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        left = scratch.table(fed.mapInArrow(_plausible(num, den), "a long, b long, kept boolean").where("kept").select("a", "b").distinct(), "plausible")
+        full = of_nodes(sets.select("node", "features"), scratch.table(ends(left), "nodes"), "node")
+        fed = left.join(side(full, "b"), "b").join(side(full, "a"), "a").select("a", "b", "features_a", "features_b")
         return scratch.table(fed.mapInArrow(_linked(num, den), "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
 
     def residue(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -355,28 +458,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
         return comp, scratch.table(labelled.join(mixed, "bucket"), "residue")
 
+    scratch.free()
     links = verify(stars)
+    scratch.free()
     tried = stars
     comp, rest = residue(links)
-    for pivoted in (True, False):
+    for best in (True, False):  # nearest pairs join most of what is left; then all the rest
         if not rest.take(1):
             break
-        if pivoted:  # one more centre for each bucket joins most of what is left
-            centre = rest.groupBy("bucket").agg(F.max(F.struct("node", "component")).alias("c")).select("bucket", F.col("c.node").alias("p"), F.col("c.component").alias("pc"))
-            more = rest.join(centre, "bucket").where("component != pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
-        else:  # exactly the pairs of a bucket that links have not joined
-            other = rest.select("bucket", F.col("node").alias("p"), F.col("component").alias("pc"))
-            more = rest.join(other, "bucket").where("component < pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+        blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+        dealt = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+        chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rest.count() // CHUNK_MEMBERS)
+        dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(chunks)))
+        sized = dealt.join(sets.select("node", "n", "sketch").distinct(), "node")
+        more = sized.groupBy("chunk").applyInArrow(_candidates(best, num, den), "a long, b long")
         more = scratch.table(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not more.take(1):
+            continue  # the nearest may have been tried before, and others not
         links = links.union(verify(more))
+        scratch.free()
         tried = tried.union(more)
         comp, rest = residue(links)
 
+    scratch.drop(met, stars, sets)
     named = classes.withColumn("node", F.col("h1").bitwiseAND(int(_OWNER))).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.join(least, "component").select("h1", "h2", "component_id")
     out = rows.join(labels, ["h1", "h2"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    out = scratch.table(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")), "result")
+    scratch.free()
+    return out
 
 
 def op7_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from .textkernel import _LETTER, U64, _Powers, mix, string_slices
 
 SHARPNESS = 1.5
 BYTE_WEIGHT = 1e-9
+ENCODED_BYTES = 4 << 20  # of text encoded together; a unit's choices are found once for them
 _SPACE = 0x20
 
 
@@ -167,7 +168,7 @@ def encode_sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pieces = made[0]
         for batch in batches:
             keys = batch.column("key").to_numpy().view(U64)
-            for a, b, data, offsets in string_slices(batch.column("text")):
+            for a, b, data, offsets in string_slices(batch.column("text"), ENCODED_BYTES):
                 ids, bounds = pieces.encode(data, offsets, keys[a:b])
                 raw = data[offsets[0] : offsets[-1]].tobytes()
                 cut = (offsets - offsets[0]).tolist()
