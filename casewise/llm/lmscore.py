@@ -218,7 +218,7 @@ def _send(known: Frequent, parts: int):
             ids = batch.column("id").slice(a, b - a)
             tokens = np.bincount(doc, minlength=b - a).astype(np.int64)
             local[number % parts] = b"".join(x.tobytes() for x in (ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64), tokens, seen, base, score))
-            narrow = lambda x, at, width: _blobs(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1)[:, :width]), at * width)
+            narrow = lambda x, at, width: _blobs(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :width]), at * width)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(parts, dtype=np.int32)),

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .scratch import Scratch
 
@@ -77,7 +78,7 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = 16, seed: int = 1
     rows = int(starts[-1])
     shared = spark.sparkContext.broadcast(starts)
     permute = lambda table: _permute(shared.value, seed)(table)
-    shuffled = keyed.select("bucket", "place", "record").groupBy("bucket").applyInArrow(permute, f"at long, record {docs.schema.simpleString()}")
+    shuffled = keyed.select("bucket", "place", "record").groupBy("bucket").applyInArrow(permute, StructType([StructField("at", LongType()), StructField("record", docs.schema)]))
 
     small, more = divmod(rows, shards)  # the first shards have one row more
     at, edge = F.col("at"), F.lit(more * (small + 1))
