@@ -27,8 +27,8 @@ DECAY = np.float32(0.6)
 ORDERS = (2, 3, 4)
 WINDOW, STRIDE = 24, 12  # bytes
 LANDMARKS = 36
-SAMPLE = 1500  # labelled texts of each class that a model is fitted on, at most
-NEGATIVES = 15_000  # distinct words of clean texts among them, at most
+SAMPLE = 1200  # labelled texts of each class that a model is fitted on, at most
+NEGATIVES = 12_000  # distinct words of clean texts among them, at most
 CACHE = 2_000_000  # words whose scores a Python worker keeps
 STRONG, SUPPORT = 4.0, 4  # standard errors, and toxic texts, from which a word may stand for a label
 COST = 100.0
