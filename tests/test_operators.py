@@ -178,3 +178,28 @@ def test_scratch_tables_can_be_dropped(spark):
     scratch.drop(t)
     with pytest.raises(Exception):
         t.count()
+
+
+def test_join_kinds_and_policies(spark):
+    from casewise.operators import joins
+
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "k long, a string")
+    b = spark.createDataFrame([("1", "p", "dup"), ("1", "q", "dup"), ("3", "r", "dup"), ("bad", "s", "dup")], "k string, b string, a string")
+    found = {h: sorted((r.k or 0, r.a or "", r.b or "") for r in joins.join_tables(a, b, "k", h, (F.asc("b"),)).collect()) for h in joins.HOWS}
+    assert found["left"] == [(0, "z", ""), (1, "x", "p"), (2, "y", "")] and found["inner"] == [(1, "x", "p")]
+    assert found["right"] == [(1, "x", "p"), (3, "", "r")] and found["outer"] == [(0, "z", ""), (1, "x", "p"), (2, "y", ""), (3, "", "r")]
+    with pytest.raises(ValueError):
+        joins.join_tables(a, b, "k", "cross")
+    with pytest.raises(facts.ContractError):
+        joins.duplicate_policy(b, "k", "error", (F.col("b"),))
+    assert {(r.k, r.b) for r in joins.duplicate_policy(b, "k", "keep_first", (F.desc("b"),)).collect()} == {("1", "q"), ("3", "r"), ("bad", "s")}
+    assert joins.temporal_split(spark.createDataFrame([(i, f"2024-01-{1 + i // 4:02d}") for i in range(10)], "id int, day string").withColumn("day", F.to_date("day")), "day", "id").where("is_train").count() == 8
+
+
+def test_column_tools(spark):
+    from casewise.operators import columns
+
+    df = spark.createDataFrame([(1, '{"a": {"b": true}, "c": "x"}'), (2, "broken"), (3, None)], "id int, j string")
+    rows = columns.flattened(df, "j", {"b": ("$.a.b", "boolean", 0), "c": ("$.c", "string", None), "n": ("$.c", "int", 5)}).orderBy("id").collect()
+    assert [(r.b, r.c, r.n) for r in rows] == [(1, "x", 5), (0, None, 5), (0, None, 5)]
+    assert columns.prefixed(spark.createDataFrame([(1, 2, 3, 4)], "id int, e_10 int, e_2 int, x int"), "v_", ("id",)).columns == ["id", "v_e_2", "v_e_10", "v_x"]
