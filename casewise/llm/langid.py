@@ -20,7 +20,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 400  # texts of each language that a model is fitted on, about
 ROUNDS = 3
 STRETCH = 48  # bytes; a longer unbroken run of letters is summed in stretches of this size
-CACHE = 1_000_000  # distinct words whose likelihoods a Python worker keeps
+CACHE = 500_000  # distinct words whose likelihoods a Python worker keeps
 
 #: Letters of any script, byte by byte: A-Z (lower-cased before), a-z and all that isn't ASCII.
 LETTERS = np.zeros(256, dtype=bool)

@@ -38,7 +38,7 @@ FREQUENT = 0.002  # share of a slice's distinct sets from which a shingle counts
 ENUMERATE_BELOW = 64  # bands of smaller sets enumerate subsets (n2=3, k2=1); larger ones have n2=1, k2=0
 SIGNATURES_PER_PART = 400_000
 BROADCAST_NODES = 500_000  # ids of 8 bytes that may be broadcast
-COUNTED = 3_000_000  # shingles that are counted together
+COUNTED = 1_500_000  # shingles that are counted together
 CHUNK_MEMBERS = 10_000  # of buckets that one call compares, about
 BLOCK_MEMBERS = 4096  # a bucket of more members is compared block by block
 _OWNER = U64((1 << 48) - 1)

@@ -24,7 +24,7 @@ from .textkernel import _LETTER, U64, _Powers, mix, string_slices
 
 SHARPNESS = 1.5
 BYTE_WEIGHT = 1e-9
-ENCODED_BYTES = 4 << 20  # of text encoded together; a unit's choices are found once for them
+ENCODED_BYTES = 5 << 19  # of text encoded together; a unit's choices are found once for them
 _SPACE = 0x20
 
 
@@ -74,8 +74,8 @@ class Pieces:
             for i, piece, x in parts:
                 so_far = so_far + x / alpha[j]
                 on = np.flatnonzero(piece >= 0)
-                states.append(first + on * n + j - 1)
-                shares.append(so_far[on])
+                states.append((first + on * n + j - 1).astype(np.int32))
+                shares.append(so_far[on].astype(np.float32))
                 lengths.append(np.full(len(on), j - i, dtype=np.int8))
                 ids.append(self.ids[piece[on]])
         return np.concatenate(states), np.concatenate(shares), np.concatenate(lengths), np.concatenate(ids)
@@ -121,10 +121,12 @@ class Pieces:
                 parts.append(self.choices(chars, states))
                 states += len(some) * int(n)
         state, share, taken, piece = map(np.concatenate, zip(*parts))
-        order = np.argsort(state, kind="stable")
-        state, share, taken, piece = state[order], share[order], taken[order], piece[order]
-        row_at = np.searchsorted(state, np.arange(states))
-        last = np.append(row_at[1:], len(state)) - 1
+        del parts, sums, key
+        order = np.argsort(state, kind="stable").astype(np.int32)
+        row_at = np.searchsorted(state[order], np.arange(states, dtype=np.int32)).astype(np.int32)
+        last = np.append(row_at[1:], np.int32(len(state))) - 1
+        share, taken, piece = share[order], taken[order], piece[order]
+        del state, order
 
         owner = np.searchsorted(text_at[on], start, side="right") - 1
         seed, origin = mix(seeds[on])[owner], start - text_at[on][owner]
