@@ -12,14 +12,20 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
+
 CUTS = 127
 
 
-def value_table(df: DataFrame, col: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, col, less, n, total): how many non-null values are less, equal, and in all, for each distinct value."""
+def value_table(df: DataFrame, col: str, by: tuple[str, ...] = (), cut_by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, col, less, n, total): how many non-null values are less, equal, and in all, for each distinct value.
+
+    ``cut_by``: columns of ``by``, of few values, whose groups get cuts of their own.
+    """
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("n"))
-    cuts = counts.agg(F.percentile_approx(col, F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)]), 1000).alias("cuts"))
-    dealt = counts.crossJoin(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col(col)))).drop("cuts")
+    cuts = counts.groupBy(*cut_by).agg(F.percentile_approx(col, F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)]), 1000).alias("cuts"))
+    cut = counts.join(F.broadcast(cuts), list(cut_by)) if cut_by else counts.crossJoin(F.broadcast(cuts))
+    dealt = cut.withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col(col)))).drop("cuts")
     sums = dealt.groupBy(*by, "range").agg(F.sum("n").alias("in_range"))
     before = Window.partitionBy(*by).orderBy("range")
     sums = sums.withColumn("below", F.sum("in_range").over(before) - F.col("in_range")).withColumn("total", F.sum("in_range").over(Window.partitionBy(*by)))
@@ -42,15 +48,24 @@ class Rank(NamedTuple):
 
 
 def with_ranks(df: DataFrame, *ranks: Rank) -> DataFrame:
-    """Add ranks; null for a null value. ``df`` is read once more for each rank: best a table."""
-    out = df
-    for i, r in enumerate(ranks):
-        place = F.col("less") + (F.col("n") + 1) / 2
-        found = {r.percent: place / F.col("total"), r.descending: F.col("total") - F.col("less") - F.col("n") + 1, r.size: F.col("total")}
-        keys = [F.col(c).alias(f"_{i}_{k}") for k, c in enumerate((*r.by, r.col))]
-        values = value_table(df, r.col, r.by).select(*keys, *[x.alias(name) for name, x in found.items() if name])
-        on = [F.col(c).eqNullSafe(F.col(f"_{i}_{k}")) for k, c in enumerate(r.by)] + [F.col(r.col) == F.col(f"_{i}_{len(r.by)}")]
-        out = out.join(values, on, "left").drop(*[f"_{i}_{k}" for k in range(len(r.by) + 1)])
+    """Add ranks of numbers; null for a null value.
+
+    Columns ranked within the same groups are counted together, in one long table that is
+    written and read again; then each joins its values.
+    """
+    out, scratch = df, Scratch(df.sparkSession, "ranks")
+    for i, by in enumerate(dict.fromkeys(r.by for r in ranks)):
+        own = [r for r in ranks if r.by == by]
+        metrics = F.explode(F.array(*[F.struct(F.lit(k).alias("_metric"), F.col(r.col).cast("double").alias("_value")) for k, r in enumerate(own)]))
+        long = df.select(*by, metrics.alias("m")).select(*by, "m._metric", "m._value")
+        values = scratch.table(value_table(long, "_value", (*by, "_metric"), ("_metric",)))
+        for k, r in enumerate(own):
+            place = F.col("less") + (F.col("n") + 1) / 2
+            found = {r.percent: place / F.col("total"), r.descending: F.col("total") - F.col("less") - F.col("n") + 1, r.size: F.col("total")}
+            keys = [F.col(c).alias(f"_{i}_{k}_{j}") for j, c in enumerate((*by, "_value"))]
+            side = values.where(F.col("_metric") == k).select(*keys, *[x.alias(name) for name, x in found.items() if name])
+            on = [F.col(c).eqNullSafe(F.col(f"_{i}_{k}_{j}")) for j, c in enumerate(by)] + [F.col(r.col).cast("double") == F.col(f"_{i}_{k}_{len(by)}")]
+            out = out.join(side, on, "left").drop(*[f"_{i}_{k}_{j}" for j in range(len(by) + 1)])
     return out
 
 
