@@ -57,7 +57,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     is_revisit = F.col("target").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     block = F.when(is_revisit, http).otherwise(F.concat(http, F.col("payload")))
-    when = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("id", F.lit(0)), F.lit(1 << 30))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    when = F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce("id", F.lit(0)), F.lit(1 << 30))), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     url = F.regexp_replace(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", "%0A")
     value = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
