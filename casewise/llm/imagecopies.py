@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import components
 from .partenum import _runs
 from .scratch import Scratch
 from .textkernel import U64
@@ -196,15 +197,12 @@ def _search(queries: Queries):
     return run
 
 
-def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
-    """(query_id, match_id, n_matches, n_agreeing): images that a query is a crop or edit of, or the reverse.
+PAIR = "query_id long, match_id long, n_matches long, n_agreeing long"
 
-    Images are binary PGM; a null, malformed, tiny or flat one has no corners and matches
-    nothing. Equal images are one class under its least id, which match_id names. Rows
-    without id are left out; repeated ids of different images each count.
-    """
+
+def _searched(images: DataFrame, queries: DataFrame, id_col: str, image_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(features of all images, first id of each class of equal images, pairs)."""
     spark = images.sparkSession
-    scratch = Scratch(spark, "images")
 
     def features(of: DataFrame) -> DataFrame:
         rows = of.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image")).where("id IS NOT NULL")
@@ -222,9 +220,48 @@ def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "image_id",
         if not rows:
             continue
         shared = spark.sparkContext.broadcast(Queries([tuple(r) for r in rows]))
-        found = index.select("id", "places", "bits").mapInArrow(lambda batches, shared=shared: _search(shared.value)(batches), "query_id long, match_id long, n_matches long, n_agreeing long")
+        found = index.select("id", "places", "bits").mapInArrow(lambda batches, shared=shared: _search(shared.value)(batches), PAIR)
         out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], "query_id long, match_id long, n_matches long, n_agreeing long")
+    return every, first, out if out is not None else spark.createDataFrame([], PAIR)
+
+
+def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
+    """(query_id, match_id, n_matches, n_agreeing): images that a query is a crop or edit of, or the reverse.
+
+    Images are binary PGM; a null, malformed, tiny or flat one has no corners and matches
+    nothing. Equal images are one class under its least id, which match_id names. Rows
+    without id are left out; repeated ids of different images each count.
+    """
+    return _searched(images, queries, id_col, image_col, Scratch(images.sparkSession, "images"))[2]
+
+
+def copy_classes(images: DataFrame, queries: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
+    """One row for each image with an id: image_id, class_id, n_corners, n_queries, most_agreeing, asked, found.
+
+    class_id: the least id of the images that queries (named after the image they come from)
+    tie together, equal images included; n_queries: how many queries match the image;
+    found: whether a query of its own does (null where none asks).
+    """
+    scratch = Scratch(images.sparkSession, "images")
+    every, first, pairs = _searched(images, queries, id_col, image_col, scratch)
+    pairs = scratch.table(pairs, "pairs")
+    members = every.select("id", "h1", "h2", (F.octet_length("bits") / 32).cast("long").alias("n_corners")).join(first.withColumnRenamed("id", "rep"), ["h1", "h2"])
+    rep_of = members.groupBy("id").agg(F.min("rep").alias("rep"))
+    edges = pairs.join(rep_of.withColumnRenamed("id", "query_id"), "query_id", "left").select(F.coalesce("rep", "query_id").alias("a"), F.col("match_id").alias("b"))
+    tied = components(edges, scratch).select(F.col("node").alias("rep"), "component")
+    counts = pairs.groupBy(F.col("match_id").alias("rep")).agg(F.countDistinct("query_id").alias("n_queries"), F.max("n_agreeing").alias("most_agreeing"))
+    own = pairs.join(rep_of.select(F.col("id").alias("query_id"), F.col("rep").alias("match_id")), ["query_id", "match_id"], "left_semi").select(F.col("query_id").alias("id"), F.lit(True).alias("hit")).distinct()
+    asking = queries.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("asks")).distinct()
+    out = members.join(tied, "rep", "left").join(counts, "rep", "left").join(asking, "id", "left").join(own, "id", "left")
+    return out.select(
+        F.col("id").alias("image_id"),
+        F.coalesce("component", "rep").alias("class_id"),
+        "n_corners",
+        F.coalesce("n_queries", F.lit(0).cast("long")).alias("n_queries"),
+        F.coalesce("most_agreeing", F.lit(0).cast("long")).alias("most_agreeing"),
+        F.coalesce("asks", F.lit(False)).alias("asked"),
+        F.when(F.col("asks"), F.coalesce("hit", F.lit(False))).alias("found"),
+    )
 
 
 SIDE = 96
@@ -275,4 +312,4 @@ def op5_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("image_id"), "embedding")
     images = rows.mapInArrow(_render(False), "image_id long, image binary")
     queries = rows.where("image_id % 50 = 0").mapInArrow(_render(True), "image_id long, image binary")
-    return find_copies(images, queries)
+    return copy_classes(images, queries)
