@@ -80,6 +80,8 @@ def test_images(spark):
     noise = imagecopies.write_pgm(np.random.default_rng(1).integers(0, 255, (96, 96)))
     df = spark.createDataFrame([(1, bytearray(flat)), (2, None), (3, bytearray(b"junk")), (4, bytearray(noise)), (5, bytearray(noise)), (4, bytearray(noise)), (None, bytearray(noise)), (6, bytearray(b"P5 0 0 255\n"))], "image_id long, image binary").withColumn("id", F.lit("clash"))
     assert {(r.query_id, r.match_id) for r in imagecopies.find_copies(df, df).collect()} == {(4, 4), (5, 4)}
+    classes = {(r.image_id, r.class_id, r.n_corners > 0, r.found) for r in imagecopies.copy_classes(df, df.where("image_id IN (1, 5)")).collect()}
+    assert classes == {(1, 1, False, False), (2, 2, False, None), (3, 3, False, None), (4, 4, True, None), (5, 4, True, True), (6, 6, False, None)}
     assert imagecopies.find_copies(df.limit(0), df).count() == 0 and imagecopies.find_copies(df, df.limit(0)).count() == 0
 
 
