@@ -141,3 +141,21 @@ def outcome_metrics(neighbors: DataFrame, k: int) -> DataFrame:
 def predicted_outcomes(neighbors: DataFrame) -> DataFrame:
     """(query_id, predicted): neighbours' outcomes weighted by their non-negative similarity."""
     return neighbors.groupBy("query_id").agg(F.round(weighted_mean(F.col("c_perf"), F.greatest(F.col("similarity"), F.lit(0.0))), 6).alias("predicted"))
+
+
+def filtered_stepwise(candidates: DataFrame, conditions: list[Column], k: int) -> DataFrame:
+    """The older relaxation: each filter in turn counts for a query only if min(k, 3) candidates still pass it."""
+    query = Window.partitionBy("query_id")
+    for condition in conditions:
+        enough = F.sum(condition.cast("int")).over(query) >= min(k, 3)
+        candidates = candidates.withColumn("_keep", condition | ~enough).where("_keep").drop("_keep")
+    order = query.orderBy(F.desc("similarity"), F.asc("case_id"))
+    return candidates.withColumn("neighbor", F.row_number().over(order)).where(F.col("neighbor") <= k)
+
+
+def explanations(neighbors: DataFrame, blocks: list[str], n: int = 3) -> DataFrame:
+    """For each query: the mean of each block, its strongest blocks in order, and the evidence as JSON."""
+    means = neighbors.groupBy("query_id").agg(F.count("*").alias("neighbors"), *[F.round(F.avg(b), 6).alias(b) for b in blocks])
+    ordered = F.sort_array(F.array(*[F.struct((-F.col(b)).alias("v"), F.lit(b).alias("name")) for b in blocks]))
+    drivers = F.array_join(F.transform(F.slice(ordered, 1, n), lambda x: x["name"]), ",")
+    return means.withColumn("drivers", drivers).withColumn("evidence", F.to_json(F.struct("neighbors", *blocks), {"ignoreNullFields": "false"}))

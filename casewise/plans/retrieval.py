@@ -72,8 +72,8 @@ scored AS (SELECT *, round(least(1, greatest(-1, 0.70 * similarity + 0.15 * agre
 placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, case_id) AS INT) AS place FROM scored)"""
 
 
-def chosen(spark, sf_dir):
-    """Filtered and relaxed neighbours of each embedding, with both blocks' similarities and cases' attributes."""
+def wide(spark, sf_dir):
+    """Candidates of each embedding, with both blocks' similarities and cases' attributes."""
     scratch = Scratch(spark, "retrieval")
     v = vectors(spark, sf_dir)
     near = scratch.table(knn.nearest(v, v, O.overfetch(10**9, K)).select("query_id", "case_id"))
@@ -82,11 +82,15 @@ def chosen(spark, sf_dir):
     case = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("vertical"), F.col("p_type").alias("format"), F.col("p_size").alias("campaign_id"), (F.col("p_retailprice") - 1000).alias("perf"), F.col("p_retailprice").alias("spend"), status.alias("status"))
     full = v.select("id", F.slice("vector", 1, 32).alias("a"), F.slice("vector", 33, 32).alias("b")).join(case, "id", "left")
     side = lambda p, key: full.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in full.columns if c != "id"])
-    wide = near.join(side("q", "query_id"), "query_id").join(side("c", "case_id"), "case_id")
-    wide = wide.withColumns({f"block_{x}": F.round(cosine(F.col(f"q_{x}"), F.col(f"c_{x}")), 9) for x in ("a", "b")}).drop("q_a", "q_b", "c_a", "c_b")
-    wide = wide.withColumn("similarity", F.round(sum(F.col(b) * w for b, w in BLOCKS.items()), 9))
+    joined = near.join(side("q", "query_id"), "query_id").join(side("c", "case_id"), "case_id")
+    joined = joined.withColumns({f"block_{x}": F.round(cosine(F.col(f"q_{x}"), F.col(f"c_{x}")), 9) for x in ("a", "b")}).drop("q_a", "q_b", "c_a", "c_b")
+    return joined.withColumn("similarity", F.round(sum(F.col(b) * w for b, w in BLOCKS.items()), 9))
+
+
+def chosen(spark, sf_dir):
+    """Filtered and relaxed neighbours."""
     condition = O.passes(same=("format",), other=("campaign_id",), at_least={("spend",): 950})
-    return scratch.table(O.filtered(wide, condition, K))
+    return Scratch(spark, "chosen").table(O.filtered(wide(spark, sf_dir), condition, K))
 
 
 @query(f"WITH {WIDE} SELECT query_id, case_id, neighbor, round(similarity, 6) AS similarity, relaxed FROM chosen")
@@ -187,3 +191,16 @@ def weight_search(spark, sf_dir):
     all_trials = sims.withColumn("trial", trials).select("*", "trial.*").withColumn("w", F.round(F.col("weight_a") * F.col("a") + F.col("weight_b") * F.col("b"), 9))
     order = Window.partitionBy("weight_a", "weight_b", "query_id").orderBy(F.desc("w"), F.asc("case_id"))
     return all_trials.withColumn("n", F.row_number().over(order)).where("n <= 5").groupBy("weight_a", "weight_b").agg(F.round(F.avg("same"), 6).alias("objective"))
+
+
+@query(f"""WITH {WIDE}, s1 AS (SELECT * EXCLUDE (enough, ok) FROM (SELECT *, coalesce(q_vertical = c_vertical, false) AS ok, sum(coalesce(q_vertical = c_vertical, false)::INT) OVER (PARTITION BY query_id) >= 3 AS enough FROM cand) WHERE ok OR NOT enough),
+s2 AS (SELECT * EXCLUDE (enough, ok) FROM (SELECT *, coalesce(q_format = c_format, false) AS ok, sum(coalesce(q_format = c_format, false)::INT) OVER (PARTITION BY query_id) >= 3 AS enough FROM s1) WHERE ok OR NOT enough)
+SELECT query_id, case_id, neighbor FROM (SELECT query_id, case_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS INT) AS neighbor FROM s2) WHERE neighbor <= 10""")
+def retrieval_stepwise(spark, sf_dir):
+    return O.filtered_stepwise(wide(spark, sf_dir), [O.same_known(F.col(f"q_{c}"), F.col(f"c_{c}")) for c in ("vertical", "format")], K).select("query_id", "case_id", "neighbor")
+
+
+@query(f"""WITH {WIDE}, m AS (SELECT query_id, count(*) AS neighbors, round(avg(block_a), 6) AS block_a, round(avg(block_b), 6) AS block_b FROM chosen GROUP BY query_id)
+SELECT *, CASE WHEN block_a >= block_b THEN 'block_a,block_b' ELSE 'block_b,block_a' END AS drivers FROM m""")
+def retrieval_explained(spark, sf_dir):
+    return O.explanations(chosen(spark, sf_dir), list(BLOCKS)).drop("evidence")
