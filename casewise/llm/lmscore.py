@@ -30,7 +30,7 @@ from .textkernel import SPACED, U64, Words, mix, string_slices
 
 MU = 64.0
 THETA = 1 / 2000
-PART_TOKENS = 400_000
+PART_TOKENS = 2_500_000  # more parts mean more sums to send back, one for each text and part
 SLICE = 4 << 20  # bytes of text whose tokens travel together
 COUNTED = 1_500_000  # distinct words that one run of counts keeps
 START, END = U64(0x5354415254000001), U64(0x454E440000000001)
@@ -284,7 +284,7 @@ def _shard(known: Frequent):
         word = np.repeat(which, sizes)
         train = (mark & 1).astype(bool)
         counts = np.bincount(word, weights=train, minlength=len(words)).astype(np.int64)
-        base, score = known.single(counts, np.zeros(len(words), bool))
+        base, score = known.single(counts, words == (END & U64((1 << 48) - 1)))
         cold_score = score[word] + _gains(words, counts, word, context, train, known)
         hot_score = _gains(np.arange(len(known.words), dtype=U64), known.counts, hot, hot_context, (hot_mark & 1).astype(bool), known)
 
@@ -293,7 +293,7 @@ def _shard(known: Frequent):
         place, at = np.unique(owner * _ROWS + text, return_inverse=True)
         add = lambda x: np.bincount(at, weights=x, minlength=len(place))
         nothing = np.zeros(len(hot))
-        sums = [add(np.concatenate([base[word], nothing])), add(np.concatenate([cold_score, hot_score])), add(np.concatenate([counts[word] > 0, nothing])).astype(np.uint32)]
+        sums = [add(np.concatenate([base[word], nothing])), add(np.concatenate([cold_score - base[word], hot_score])).astype(np.float32), add(np.concatenate([counts[word] > 0, nothing])).astype(np.uint32)]
         bounds = np.searchsorted(place, np.arange(len(slices) + 1) * _ROWS)
         return pa.table(
             {
@@ -301,7 +301,7 @@ def _shard(known: Frequent):
                 "part": table.column("part"),
                 "texts": _blobs((place % _ROWS).astype(np.uint16).view(np.uint8), bounds * 2),
                 "base": _blobs(sums[0].view(np.uint8), bounds * 8),
-                "score": _blobs(sums[1].view(np.uint8), bounds * 8),
+                "rest": _blobs(sums[1].view(np.uint8), bounds * 4),
                 "seen": _blobs(sums[2].view(np.uint8), bounds * 4),
                 "local": table.column("local"),
             }
@@ -318,13 +318,14 @@ def _gather(table: pa.Table) -> pa.Table:
     base, score = np.frombuffer(raw, np.float64).reshape(6, -1)[4:]
     text, _ = _joined(table.column("texts"), np.uint16)
     add = lambda name, dtype: np.bincount(text, weights=_joined(table.column(name), dtype)[0], minlength=len(ids))
+    far = add("base", np.float64)
     return pa.table(
         {
             "doc_id": pa.array(ids, mask=null.astype(bool)),
             "n_tokens": pa.array(tokens),
             "n_known": pa.array(seen + add("seen", np.uint32).astype(np.int64)),
-            "base_score": pa.array(base + add("base", np.float64)),
-            "score": pa.array(score + add("score", np.float64)),
+            "base_score": pa.array(base + far),
+            "score": pa.array(score + far + add("rest", np.float32)),
         }
     )
 
@@ -361,7 +362,7 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
 
     parts = int(min(1 << 20, max(4 * count_parts, math.ceil(total / PART_TOKENS))))
     sent = fed.mapInArrow(lambda batches: _send(shared.value, parts)(batches), _ENTRY)
-    sums = sent.groupBy("part").applyInArrow(lambda table: _shard(shared.value)(table), "slice long, part int, texts binary, base binary, score binary, seen binary, local binary")
+    sums = sent.groupBy("part").applyInArrow(lambda table: _shard(shared.value)(table), "slice long, part int, texts binary, base binary, rest binary, seen binary, local binary")
     out = sums.groupBy("slice").applyInArrow(_gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
