@@ -336,7 +336,8 @@ def lm_scores(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "t
     ``train``: a condition; the texts that meet it are learned from, all texts are scored.
     A-Z are lower-cased, words are runs of other than white space, and each text has one end.
     A null or empty text is its end alone; whole texts of any size count; rows repeat as the
-    input does; without training texts every token is unknown. Other columns are ignored.
+    input does; without training texts every token is unknown, with probability 1. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
