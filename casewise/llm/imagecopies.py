@@ -2,9 +2,10 @@
 
 Corners (Harris) are taken at several scales; each has an orientation, from the intensity
 centroid around it, and 256 binary tests of smoothed intensities in a pattern turned to that
-orientation. Descriptors meet in Hamming tables: four tables keyed by 64 of the bits, so a
-pair with an untouched quarter meets in one; a Hamming distance confirms it. Last, the matches
-of a query and an image must agree on one similarity transform (scale, turn, shift).
+orientation. Every pair of descriptors within the Hamming distance meets: distances come from
+matrix products of the bits as +1 and -1, a tile at a time. (The bits are biased, so tables with
+probes for the whole distance return more candidates than there are pairs.) Last, the matches of
+a query and an image must agree on one similarity transform (scale, turn, shift).
 
 Queries are searched in blocks of a bounded number, each block broadcast against all images;
 equal images are described and searched once.
@@ -20,18 +21,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .partenum import _runs
 from .scratch import Scratch
 from .textkernel import U64
 
 SCALES = (1.0, 0.75, 0.5625)
-CORNERS = (28, 14, 8)  # at each scale, the strongest
+CORNERS = (28, 14, 8)  # at each scale, the strongest; more as an image exceeds AREA
+AREA = 96 * 96
 RADIUS = 8
 TURNS = 30
 MOST_APART = 48  # of 256 bits
 LEAST_AGREEING = 6  # matches that agree on one transform
 SHIFT_PIXELS = 3.0
+APART = 3.0
+BENT = 0.35
 QUERY_BLOCK = 2000
+TILE = (1024, 4096)  # descriptors of images and of queries in one product
+MEETINGS = 50_000_000  # pairs of descriptors that are compared before matches are judged
+SCREENED = 500_000  # pairs of matches that are screened at a time
 
 _draw = np.random.Generator(np.random.PCG64(20))
 _TESTS = np.clip(_draw.normal(0, RADIUS / 2.2, (256, 2, 2)), -RADIUS, RADIUS)
@@ -84,7 +90,9 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(image, (x, y, scale, turn), descriptor as four numbers) of the corners of images [n, h, w]."""
     owners, places, bits = [], [], []
     base = images.astype(np.float32)
+    grown = max(1.0, images.shape[1] * images.shape[2] / AREA)
     for scale, most in zip(SCALES, CORNERS):
+        most = int(most * grown)
         level = _smooth(_resized(base, scale))
         n, h, w = level.shape
         if min(h, w) <= 2 * _MARGIN + 2:
@@ -135,47 +143,102 @@ def _describe(batches):
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h1"), part.column("h2"), pa.array(places, pa.binary()), pa.array(bits, pa.binary())], [x.split()[0] for x in _FEATURES.split(", ")])
 
 
+def _signs(bits: np.ndarray) -> np.ndarray:
+    """Descriptors as rows of 256 numbers, 1 or -1."""
+    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+
+
 class Queries:
-    """Hamming tables over a block of queries' descriptors."""
+    """A block of queries' descriptors."""
 
     def __init__(self, rows: list[tuple]):
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         self.place = np.concatenate([np.frombuffer(r[1], np.float32).reshape(-1, 4) for r in rows])
         self.bits = np.concatenate([np.frombuffer(r[2], U64).reshape(-1, 4) for r in rows])
         self.owner = np.repeat(np.arange(len(rows)), [len(r[2]) // 32 for r in rows])
-        self.tables = [(self.bits[o, t], o) for t in range(4) for o in (np.argsort(self.bits[:, t], kind="stable"),)]
 
     def meet(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of a given descriptor, index of a query's) within the distance, met in some table."""
-        found = []
-        for t, (key, order) in enumerate(self.tables):
-            lo, hi = np.searchsorted(key, bits[:, t]), np.searchsorted(key, bits[:, t], side="right")
-            mine, theirs = np.repeat(np.arange(len(bits)), hi - lo), order[_runs(lo, hi - lo)]
-            near = np.bitwise_count(bits[mine] ^ self.bits[theirs]).sum(axis=1) <= MOST_APART
-            found.append(mine[near] * len(self.bits) + theirs[near])
-        both = np.unique(np.concatenate(found))
-        return both // max(1, len(self.bits)), both % max(1, len(self.bits))
+        """(index of a given descriptor, index of a query's): all pairs within the distance."""
+        mine, theirs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k in range(0, len(self.bits), TILE[1]):
+            other = _signs(self.bits[k : k + TILE[1]]).T
+            for lo in range(0, len(bits), TILE[0]):
+                # the product is 256 less twice the distance, exact in single precision
+                i, j = np.nonzero(_signs(bits[lo : lo + TILE[0]]) @ other >= 256 - 2 * MOST_APART)
+                mine.append(i + lo)
+                theirs.append(j + k)
+        return np.concatenate(mine), np.concatenate(theirs)
+
+
+def _corners(z: np.ndarray) -> int:
+    """How many corners places stand for: at one scale corners lie APART pixels apart, so nearer places are one corner, seen at several scales."""
+    kept: list = []
+    for p in np.unique(z).tolist():
+        if all(abs(p - k) >= APART for k in kept):
+            kept.append(p)
+    return len(kept)
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> int:
-    """The most matches (places a to places b) that one similarity transform explains."""
+    """The most matches (places a to places b), counted by corners, that one similarity transform explains."""
     zoom, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
     za, zb = a[:, 0] + 1j * a[:, 1], b[:, 0] + 1j * b[:, 1]
     move = zoom * np.exp(1j * turn)  # each match proposes a transform
     off = np.abs(zb[:, None] + move[:, None] * (za[None, :] - za[:, None]) - zb[None, :])
     bent = np.abs(np.angle(np.exp(1j * (turn[:, None] - turn[None, :]))))
     zoomed = np.abs(np.log(zoom[:, None] / zoom[None, :]))
-    good = (off <= SHIFT_PIXELS * np.maximum(1, zoom)[:, None]) & (bent < 0.35) & (zoomed < 0.3)
+    good = (off <= SHIFT_PIXELS * np.maximum(1, zoom)[:, None]) & (bent < BENT) & (zoomed < 0.3)
     best = good[good.sum(axis=1).argmax()]
-    return min(len(np.unique(za[best].round(0))), len(np.unique(zb[best].round(0))))
+    return min(_corners(za[best]), _corners(zb[best]))
+
+
+def _promising(a: np.ndarray, b: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Which runs of matches may agree: some match's transform puts enough of its run in place, turned alike.
+
+    Only spares runs that agreeing() would turn down: its other conditions aren't asked here,
+    and shifts and turns have room for rounding.
+    """
+    zoom, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
+    c, s = zoom * np.cos(turn), zoom * np.sin(turn)
+    ax, ay, bx, by = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
+    tx, ty = bx - (c * ax - s * ay), by - (s * ax + c * ay)
+    room = (1.01 * SHIFT_PIXELS * np.maximum(1, zoom) + 0.05) ** 2
+    one = np.ones_like(ax)
+    there = np.stack([np.stack([c, -s, tx, -one], 1), np.stack([s, c, ty, -one], 1)])  # by a match's transform, less the place found
+    here = np.stack([np.stack([ax, ay, one, bx], 1), np.stack([ax, ay, one, by], 1)])
+    turned = np.stack([np.cos(turn), np.sin(turn)], 1)
+    nowhere = np.array([0, 0, 0, 1e9], np.float32)  # fills shorter runs up
+    good = np.zeros(len(first), dtype=bool)
+    order = np.flatnonzero(times >= LEAST_AGREEING)
+    order = order[np.argsort(times[order], kind="stable")]
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (2 * hi - lo + 1 - lo) * int(times[order[min(2 * hi - lo, len(order)) - 1]]) ** 2 <= SCREENED:
+            hi = min(2 * hi - lo, len(order))
+        some = order[lo:hi]
+        most = int(times[some[-1]])
+        inside = np.arange(most) < times[some][:, None]
+        at = np.where(inside, first[some][:, None] + np.arange(most), 0)
+        off = there[0][at] @ np.where(inside[..., None], here[0][at], nowhere).transpose(0, 2, 1)
+        off *= off
+        across = there[1][at] @ here[1][at].transpose(0, 2, 1)
+        across *= across
+        off += across
+        facing = turned[at]
+        n = np.count_nonzero((off <= room[at][..., None]) & (facing @ facing.transpose(0, 2, 1) > np.cos(BENT) - 0.001), axis=2)
+        good[some] = ((n >= LEAST_AGREEING) & inside).any(axis=1)
+        lo = hi
+    return good
 
 
 def _search(queries: Queries):
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                size = [0 if x is None else len(x) // 32 for x in part.column("bits").to_pylist()]
+            sizes = [0 if x is None else len(x) // 32 for x in batch.column("bits").to_pylist()]
+            share = np.cumsum(sizes) * max(1, len(queries.bits)) // MEETINGS
+            for lo, hi in zip(starts := [0, *(np.flatnonzero(np.diff(share)) + 1).tolist()], [*starts[1:], len(sizes)]):
+                part, size = batch.slice(lo, hi - lo), sizes[lo:hi]
                 bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), U64).reshape(-1, 4)
                 place = np.frombuffer(b"".join(part.column("places").to_pylist()), np.float32).reshape(-1, 4)
                 owner = np.repeat(np.arange(len(size)), size)
@@ -183,11 +246,14 @@ def _search(queries: Queries):
                 pair = owner[mine] * len(queries.ids) + queries.owner[theirs]
                 order = np.argsort(pair, kind="stable")
                 mine, theirs, pair = mine[order], theirs[order], pair[order]
-                key, first, times = np.unique(pair, return_index=True, return_counts=True)
+                first = np.flatnonzero(np.diff(pair, prepend=-1))
+                key, times = pair[first], np.diff(first, append=len(pair))
+                a, b = queries.place[theirs], place[mine]
                 rows = []
-                for k in np.flatnonzero(times >= LEAST_AGREEING).tolist():
-                    at = slice(first[k], first[k] + times[k])
-                    n = agreeing(queries.place[theirs[at]], place[mine[at]])
+                for k in np.flatnonzero(_promising(a, b, first, times)).tolist():
+                    at = np.arange(first[k], first[k] + times[k])
+                    at = at[np.lexsort((theirs[at], mine[at]))]
+                    n = agreeing(a[at], b[at])
                     if n >= LEAST_AGREEING:
                         rows.append((key[k] % len(queries.ids), key[k] // len(queries.ids), int(times[k]), n))
                 if rows:

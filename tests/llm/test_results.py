@@ -215,6 +215,52 @@ def test_turned_and_flat_images():
     assert len(imagecopies.describe(np.zeros((1, 96, 96)))[0]) == 0
 
 
+def fields(n, side=96):
+    draw = np.random.default_rng(11)
+    x = draw.integers(0, 255, (n, side, side)).astype(np.float32)
+    x = imagecopies._smooth(imagecopies._smooth(x))
+    return np.clip(128 + (x - x.mean()) * 3, 0, 255)
+
+
+EDITS = {
+    "turned": lambda x: np.rot90(x, axes=(1, 2)).copy(),
+    "rescaled": lambda x: imagecopies._resized(x, 0.85),
+    "noisy": lambda x: np.clip(x + np.random.default_rng(12).normal(0, 8, x.shape), 0, 255),
+}
+
+
+@pytest.mark.parametrize("edit", sorted(EDITS))
+def test_every_pair_within_the_distance_meets(edit):
+    images = fields(6)
+    who, place, bits = imagecopies.describe(images)
+    asked_who, asked_place, asked_bits = imagecopies.describe(EDITS[edit](images))
+    table = imagecopies.Queries([(i, asked_place[asked_who == i].tobytes(), asked_bits[asked_who == i].tobytes()) for i in range(len(images))])
+    wanted = set(zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(bits[:, None] ^ asked_bits[None]).sum(axis=-1) <= imagecopies.MOST_APART))))
+    assert len(wanted) > 50 and set(zip(*(x.tolist() for x in table.meet(bits)))) == wanted
+    parts = [pa.array([x[who == i].tobytes() for i in range(len(images))], pa.binary()) for x in (place, bits)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(images)), pa.int64()), *parts], ["id", "places", "bits"])
+    found = {(r["query_id"], r["match_id"]) for b in imagecopies._search(table)([batch]) for r in b.to_pylist()}
+    assert found == {(i, i) for i in range(len(images))}
+
+
+def test_screen_spares_only_what_does_not_agree():
+    draw = np.random.default_rng(13)
+    times = draw.integers(1, 70, 300)
+    first = np.cumsum(times) - times
+    a, b = (np.stack([draw.uniform(0, 96, n), draw.uniform(0, 96, n), draw.choice([1, 4 / 3, 16 / 9], n), draw.uniform(-np.pi, np.pi, n)], 1).astype(np.float32) for n in [times.sum()] * 2)
+    b[::3] = a[::3] + np.float32([5, -4, 0, 0])
+    kept = imagecopies._promising(a, b, first, times)
+    agree = np.array([imagecopies.agreeing(a[f : f + n], b[f : f + n]) >= imagecopies.LEAST_AGREEING for f, n in zip(first, times)])
+    assert 0 < agree.sum() < len(agree) and kept[agree].all() and not kept.all()
+
+
+def test_corners_grow_with_the_area_and_count_once_over_scales():
+    small, large = (imagecopies.describe(fields(1, side))[2] for side in (96, 192))
+    assert len(large) > 2 * len(small)
+    place = np.array([[20 * i + d, 10.0, 1, 0] for i in range(3) for d in (0, 1.2)], np.float32)
+    assert imagecopies.agreeing(place, place) == 3
+
+
 # contamination
 
 
