@@ -302,10 +302,11 @@ def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "image_id",
 
 
 def copy_classes(images: DataFrame, queries: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
-    """One row for each image with an id: image_id, class_id, n_corners, n_queries, most_agreeing, asked, found.
+    """One row for each image with an id: image_id, equal_id, class_id, n_corners, n_queries, most_agreeing, asked, found.
 
+    equal_id: the least id of the images equal to it, which names it in find_copies' match_id.
     class_id: the least id of the images that queries (named after the image they come from)
-    tie together, equal images included; n_queries: how many queries match the image;
+    tie together, equal images included; edited copies that no query ties keep classes apart; n_queries: how many queries match the image;
     found: whether a query of its own does (null where none asks).
     """
     scratch = Scratch(images.sparkSession, "images")
@@ -321,6 +322,7 @@ def copy_classes(images: DataFrame, queries: DataFrame, id_col: str = "image_id"
     out = members.join(tied, "rep", "left").join(counts, "rep", "left").join(asking, "id", "left").join(own, "id", "left")
     return out.select(
         F.col("id").alias("image_id"),
+        F.col("rep").alias("equal_id"),
         F.coalesce("component", "rep").alias("class_id"),
         "n_corners",
         F.coalesce("n_queries", F.lit(0).cast("long")).alias("n_queries"),
@@ -373,9 +375,18 @@ def _render(edited: bool):
     return run
 
 
-def op5_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rendered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """No table has images: each embedding is rendered as one, and each fiftieth is asked for by an edited crop."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("image_id"), "embedding")
     images = rows.mapInArrow(_render(False), "image_id long, image binary")
-    queries = rows.where("image_id % 50 = 0").mapInArrow(_render(True), "image_id long, image binary")
-    return copy_classes(images, queries)
+    return images, rows.where("image_id % 50 = 0").mapInArrow(_render(True), "image_id long, image binary")
+
+
+def op5_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each image, with its class of equal images; which query matched which is op5_copy_pairs."""
+    return copy_classes(*_rendered(spark, sf_dir))
+
+
+def op5_copy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search's answers: every query with every class of equal images that it matches."""
+    return find_copies(*_rendered(spark, sf_dir))

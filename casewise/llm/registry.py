@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and DuckDB SQL where SQL can express them."""
 
-from .imagecopies import op5_local_descriptors
+from .imagecopies import op5_copy_pairs, op5_local_descriptors
 from .langid import op1_marginal_unigrams
 from .lmscore import op2_elias_fano_trie
 from .partenum import op7_partenum_join
@@ -17,6 +17,7 @@ QUERIES = {
     "op3_surrogates": op3_surrogates,
     "op4_two_pass_shuffle": op4_two_pass_shuffle,
     "op5_local_descriptors": op5_local_descriptors,
+    "op5_copy_pairs": op5_copy_pairs,
     "op6_wu_manber": op6_wu_manber,
     "op7_partenum_join": op7_partenum_join,
     "op8_sampled_pieces": op8_sampled_pieces,

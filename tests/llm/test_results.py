@@ -215,6 +215,14 @@ def test_turned_and_flat_images():
     assert len(imagecopies.describe(np.zeros((1, 96, 96)))[0]) == 0
 
 
+def test_pairs_name_queries_and_classes(spark):
+    pairs = [tuple(r) for r in registry.QUERIES["op5_copy_pairs"](spark, SMALL).select("query_id", "match_id").collect()]
+    rows = {r.image_id: r for r in registry.QUERIES["op5_local_descriptors"](spark, SMALL).collect()}
+    assert len(pairs) == len(set(pairs)) and all(q % 50 == 0 and rows[m].equal_id == m for q, m in pairs)
+    assert {i for i, r in rows.items() if r.found} == {i for i, r in rows.items() if r.asked and (i, r.equal_id) in pairs}
+    assert {i: r.n_queries for i, r in rows.items()} == {i: sum(m == r.equal_id for _, m in pairs) for i, r in rows.items()}
+
+
 def fields(n, side=96):
     draw = np.random.default_rng(11)
     x = draw.integers(0, 255, (n, side, side)).astype(np.float32)
