@@ -16,6 +16,12 @@ def text_normalize(spark, sf_dir):
     return read(spark, sf_dir, "documents").where(F.length("text") < 2000).select("doc_id", norm(F.col("text")).alias("normalized"))
 
 
+@query(f"SELECT doc_id, {NORM.format('text')} AS normalized FROM documents")
+def text_normalize_all(spark, sf_dir):
+    """text_normalize without its bound on the length: every document, null texts too."""
+    return read(spark, sf_dir, "documents").select("doc_id", norm(F.col("text")).alias("normalized"))
+
+
 def _flags() -> str:
     return ", ".join(f"CASE WHEN list_has_any(string_split(n, ' '), [{', '.join(repr(w) for w in v)}]) THEN 1 ELSE 0 END AS text_has_{k}" for k, v in O.KEYWORDS.items())
 

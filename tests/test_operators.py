@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from casewise import catalog
 from casewise.functions import expr
 from casewise.operators import blocks, facts, geometry, health, knn, nexttest, order, profile, ranking, retrieval, serving, texts
 from casewise.sources import readers
@@ -203,3 +204,16 @@ def test_column_tools(spark):
     rows = columns.flattened(df, "j", {"b": ("$.a.b", "boolean", 0), "c": ("$.c", "string", None), "n": ("$.c", "int", 5)}).orderBy("id").collect()
     assert [(r.b, r.c, r.n) for r in rows] == [(1, "x", 5), (0, None, 5), (0, None, 5)]
     assert columns.prefixed(spark.createDataFrame([(1, 2, 3, 4)], "id int, e_10 int, e_2 int, x int"), "v_", ("id",)).columns == ["id", "v_e_2", "v_e_10", "v_x"]
+
+
+def whole(spark, tmp_path, name, **tables):
+    """A registered query's rows over given tables."""
+    for t, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    return sorted((tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+
+
+def test_long_and_null_texts_are_normalized(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "É  A " * 3000), (2, None), (3, "x")], "doc_id long, text string")
+    found = whole(spark, tmp_path, "text_normalize_all", documents=docs)
+    assert found == [(1, " ".join(["e a"] * 3000)), (2, None), (3, "x")]
