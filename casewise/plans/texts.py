@@ -74,6 +74,13 @@ def explode_list(spark, sf_dir):
     return words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")).where("n >= 5")
 
 
+@query("SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY lang, word HAVING count(*) >= 5")
+def explode_list_all(spark, sf_dir):
+    """explode_list over all words of a text."""
+    words = read(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", " ")).alias("word"))
+    return words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")).where("n >= 5")
+
+
 BOX = "SELECT l_orderkey, l_linenumber, [l_discount, l_tax, least(1, l_discount + l_quantity / 100), least(1, l_tax + l_quantity / 80)] AS a, [l_tax, l_discount, least(1, l_tax + 0.4), least(1, l_discount + 0.5)] AS b FROM lineitem"
 WIDTHS = "greatest(0, least(a[3], b[3]) - greatest(a[1], b[1])) * greatest(0, least(a[4], b[4]) - greatest(a[2], b[2]))"
 

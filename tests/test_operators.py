@@ -217,3 +217,8 @@ def test_long_and_null_texts_are_normalized(spark, tmp_path):
     docs = spark.createDataFrame([(1, "É  A " * 3000), (2, None), (3, "x")], "doc_id long, text string")
     found = whole(spark, tmp_path, "text_normalize_all", documents=docs)
     assert found == [(1, " ".join(["e a"] * 3000)), (2, None), (3, "x")]
+
+
+def test_words_beyond_the_twentieth_count(spark, tmp_path):
+    docs = spark.createDataFrame([("en", "a " * 30 + " late" * 5), ("en", None), ("de", "a a")], "lang string, text string")
+    assert whole(spark, tmp_path, "explode_list_all", documents=docs) == [("en", "a", 30), ("en", "late", 5)]
