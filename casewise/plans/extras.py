@@ -25,6 +25,14 @@ def join_outer(spark, sf_dir):
     return J.join_tables(s, c, "k", "outer")
 
 
+@query("SELECT coalesce(s.k, c.k) AS k, s.s_name, c.c_name FROM (SELECT s_suppkey AS k, s_name FROM supplier) s FULL JOIN (SELECT c_custkey AS k, c_name FROM customer) c ON s.k = c.k")
+def join_outer_all(spark, sf_dir):
+    """join_outer with every customer."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), "s_name")
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    return J.join_tables(s, c, "k", "outer")
+
+
 @query("SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN NULL ELSE 1 END, l.toxic) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def metadata_backfill(spark, sf_dir):
     d = read(spark, sf_dir, "documents").select("doc_id", F.when(F.pmod("doc_id", F.lit(3)) != 0, 1).alias("toxic"))
@@ -43,6 +51,13 @@ def fact_consistency(spark, sf_dir):
     return J.consistency(read(spark, sf_dir, "labels"), dim, "doc_id", "quality")
 
 
+@query("SELECT count(*) AS facts, count(*) FILTER (d.doc_id IS NULL) AS unknown, count(*) FILTER (d.doc_id IS NOT NULL AND l.quality IS DISTINCT FROM d.quality) AS inconsistent FROM labels l LEFT JOIN (SELECT doc_id, 1 AS quality FROM documents) d ON l.doc_id = d.doc_id")
+def fact_consistency_all(spark, sf_dir):
+    """fact_consistency against every document."""
+    dim = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("quality"))
+    return J.consistency(read(spark, sf_dir, "labels"), dim, "doc_id", "quality")
+
+
 @query("SELECT 'labels' AS family, count(coalesce(quality, toxic)) AS covered, count(*) AS row_count, round(count(coalesce(quality, toxic))::DOUBLE / count(*), 6) AS share FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def family_coverage(spark, sf_dir):
     both = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left")

@@ -97,7 +97,16 @@ def dim_enrich(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, p_brand AS brand, p_type AS kind, s_name AS supplier FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 45")
 def fact_enrich(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    return _fact_enrich(spark, sf_dir, read(spark, sf_dir, "lineitem").where("l_quantity > 45"))
+
+
+@query("SELECT l_orderkey, l_linenumber, p_brand AS brand, p_type AS kind, s_name AS supplier FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey")
+def fact_enrich_all(spark, sf_dir):
+    """fact_enrich of every lineitem row."""
+    return _fact_enrich(spark, sf_dir, read(spark, sf_dir, "lineitem"))
+
+
+def _fact_enrich(spark, sf_dir, li):
     out = O.enrich(li, read(spark, sf_dir, "part"), {"l_partkey": "p_partkey"}, {"p_brand": "brand", "p_type": "kind"})
     out = O.enrich(out, read(spark, sf_dir, "supplier"), {"l_suppkey": "s_suppkey"}, {"s_name": "supplier"})
     return out.select("l_orderkey", "l_linenumber", "brand", "kind", "supplier")

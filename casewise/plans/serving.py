@@ -40,6 +40,14 @@ def explanations_outer(spark, sf_dir):
     return S.keyed_union({"s": s, "c": c}, "id").select("id", F.col("s.s_name").alias("supplier"), F.col("c.c_name").alias("customer"))
 
 
+@query("SELECT coalesce(s_suppkey, c_custkey) AS id, s.s_name AS supplier, c.c_name AS customer FROM supplier s FULL JOIN customer c ON s_suppkey = c_custkey")
+def explanations_outer_all(spark, sf_dir):
+    """explanations_outer of every supplier and customer."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_name")
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    return S.keyed_union({"s": s, "c": c}, "id").select("id", F.col("s.s_name").alias("supplier"), F.col("c.c_name").alias("customer"))
+
+
 @query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size > 40 THEN 'large' END, CASE WHEN p_retailprice > 1000 THEN 'pricey' END) AS sets FROM part WHERE p_size > 40 OR p_retailprice > 1000")
 def highlight_sets(spark, sf_dir):
     p = read(spark, sf_dir, "part")

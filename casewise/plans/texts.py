@@ -54,6 +54,13 @@ def token_overlap(spark, sf_dir):
     return pairs.select("item_id", "doc_id", F.round(O.token_overlap(F.col("body"), F.col("text")), 6).alias("overlap"))
 
 
+@query(f"WITH x AS (SELECT doc_id, unnest({TOKENS.format(ASCII.format('text'))}) AS w FROM documents), y AS (SELECT item_id, {TOKENS.format(ASCII.format('text'))} AS y FROM benchmark), z AS (SELECT item_id, len(y) AS n, unnest(y) AS w FROM y) SELECT item_id, doc_id, round(count(*)::DOUBLE / any_value(n), 6) AS overlap FROM x JOIN z USING (w) GROUP BY item_id, doc_id")
+def token_overlap_all(spark, sf_dir):
+    """The overlap of every item and document that share a token."""
+    pairs = O.overlapping(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return pairs.select("item_id", "doc_id", F.round("overlap", 6).alias("overlap"))
+
+
 @query("""WITH t AS (SELECT conv_id, turn, lower(text) AS t, length(text) / 500.0::DOUBLE AS a FROM conversations)
 SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, 'buy|get|download|play|shop|join|start|install') AND length(t) <= 24 THEN 'cta' WHEN regexp_matches(t, 'rated|friends|reviews') THEN 'social' WHEN regexp_matches(t, '% off|off|sale|discount') THEN 'discount'
   WHEN regexp_matches(t, '[$€£¥]\\s?\\d|\\d\\s?[$€£¥]') THEN 'price' WHEN regexp_matches(t, 'terms|license|privacy') THEN 'legal' WHEN a >= 0.2 THEN 'headline' ELSE 'other' END AS kind FROM t) GROUP BY kind""")
