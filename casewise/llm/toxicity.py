@@ -44,7 +44,8 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     start, end, text = place[words.start], place[words.end], words.text_of
     on = end > start
     start, end, text = start[on], end[on], text[on]
-    single = np.concatenate([[False], end - start == 1, [False]])
+    letters = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])  # characters, by their leading bytes
+    single = np.concatenate([[False], letters[end] - letters[start] == 1, [False]])
     same = np.concatenate([[False], text[1:] == text[:-1], [False]]) if len(text) else np.zeros(1, bool)
     joined = single[1:-1] & single[:-2] & same[:-1] if len(text) else np.zeros(0, bool)  # goes on from the word before
     if joined.any():

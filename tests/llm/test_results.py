@@ -432,6 +432,15 @@ def test_held_out_toxicity_and_gapped_insults(spark):
     assert (gapped[:2] >= 0.7).all() and (gapped[2:4] > gapped[4]).all() and gapped[4] < 0.3
 
 
+def test_spaced_out_letters_of_several_bytes_are_joined():
+    texts = ["l ä s t i g e r", "x д у р а к", "m o r o n", "é t", "ab д у"]
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    buf, start, end, text = toxicity.word_units(np.frombuffer(data, np.uint8), offsets)
+    found = {(int(t), buf[a:b].tobytes().decode()) for a, b, t in zip(start, end, text)}
+    assert {x for x in found if len(x[1]) > 2} == {(0, "lästiger"), (1, "xдурак"), (2, "moron")}
+
+
 # archives
 
 
