@@ -16,7 +16,13 @@ Two additions keep the signatures selective and the join exact:
   thousands of texts quote); leaving a fixed set of features out of the domain adds no
   difference. That list is bounded: at most ``mean set size / FREQUENT`` shingles.
 
-Equal sets are one class from the start, so exact copies cost one member.
+Equal sets are one class from the start, so exact copies cost one member. A class is named by
+two 64-bit sums of its shingles; its node is the first sum, or the second where two classes
+share the first (such classes are looked up, not assumed away).
+
+Buckets of more than two members never become all their pairs: each gives a star, then for
+each member its nearest of another component, and what is still apart is compared with whole
+sets inside the task, which gives back only links that join two components.
 """
 
 from __future__ import annotations
@@ -35,13 +41,14 @@ from .scratch import Scratch
 from .textkernel import SPACED, U64, Words, mix, shingle_sets, string_slices
 
 FREQUENT = 0.002  # share of a slice's distinct sets from which a shingle counts as frequent
-ENUMERATE_BELOW = 64  # bands of smaller sets enumerate subsets (n2=3, k2=1); larger ones have n2=1, k2=0
-SIGNATURES_PER_PART = 400_000
+PARTS, SPOILED = 3, 1  # n2, k2: parts in a group, and differences that a group's subsets bear
+SIGNATURES_PER_PART = 600_000
+SIGNATURES_PER_SHINGLE = 0.95  # about, over both roles
 BROADCAST_NODES = 500_000  # ids of 8 bytes that may be broadcast
 COUNTED = 1_500_000  # shingles that are counted together
 CHUNK_MEMBERS = 10_000  # of buckets that one call compares, about
 BLOCK_MEMBERS = 4096  # a bucket of more members is compared block by block
-_OWNER = U64((1 << 48) - 1)
+BLOCK_SHINGLES = 1_000_000  # the same where whole sets are compared
 
 
 class Bands:
@@ -65,8 +72,8 @@ class Bands:
         return (a + b) * (self.den - self.num) // (self.num + self.den)
 
 
-#: (groups per shingle of the band's largest set, same with subsets, leaves frequent ones out)
-LEVELS = ((0.27, 0.15, True), (1.0, 0.6, True), (0.27, 0.15, False))
+#: (groups per shingle of the band's largest set, leaves frequent ones out)
+LEVELS = ((0.15, True), (0.6, True), (0.15, False))
 
 
 def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -75,40 +82,33 @@ def _runs(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(first - at, size)
 
 
-def _level(bands: Bands, tag, size, limit, first, count, e, level: int):
+def _level(bands: Bands, tag, limit, first, count, e, level: int):
     """Signatures of one level: (signature, set index) and which sets stand. count: features kept, of e from first."""
-    flat, split, _ = LEVELS[level]
-    sigs, owners, stands = [], [], np.zeros(len(tag), dtype=bool)
-    small = bands.top(tag) < ENUMERATE_BELOW
-    for chosen, factor, n2, k2 in ((np.flatnonzero(~small), flat, 1, 0), (np.flatnonzero(small), split, 3, 1)):
-        if not len(chosen):
-            continue
-        n1 = np.ceil(bands.top(tag[chosen]) * factor).astype(np.int64) + 1
-        base = np.cumsum(n1) - n1
-        seed = mix(tag[chosen].astype(U64) * U64(64) + U64(level))
-        c = count[chosen]
-        x = mix(e[_runs(first[chosen], c)] ^ np.repeat(seed, c))
-        cell = np.repeat(base, c) + ((x >> U64(32)) * np.repeat(n1, c).astype(U64) >> U64(32)).astype(np.int64)
-        if n2 > 1:
-            cell = cell * n2 + ((x & U64(0xFFFFFFFF)) * U64(n2) >> U64(32)).astype(np.int64)
-        groups = int(n1.sum())
-        total = np.zeros(groups * n2, dtype=U64)
-        np.add.at(total, cell, mix(x + U64(0xA0761D6478BD642F)))
-        filled = np.bincount(cell, minlength=groups * n2).reshape(groups, n2)
-        total = total.reshape(groups, n2)
-        owner = np.repeat(chosen, n1)
-        salt = mix(np.repeat(seed, n1) + (np.arange(groups) - np.repeat(base, n1)).astype(U64) * U64(8))
-        for which, kept in enumerate(itertools.combinations(range(n2), n2 - k2)):
-            some = np.flatnonzero(sum(filled[:, j] for j in kept) > 0)
-            sigs.append(mix(sum((total[some, j] for j in kept), np.zeros(len(some), U64)) ^ (salt[some] + U64(which))))
-            owners.append(owner[some])
-        robust = (filled > 0).sum(axis=1) > k2
-        stands[chosen] = np.bincount(np.repeat(np.arange(len(chosen)), n1), weights=robust, minlength=len(chosen)) > limit[chosen] // (k2 + 1)
-    return np.concatenate(sigs) if sigs else np.empty(0, U64), np.concatenate(owners) if owners else np.empty(0, np.int64), stands
-
-
-def signatures(bands: Bands, e: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set) over sets e[bounds[i]:bounds[i+1]] of at least one shingle."""
+    n1 = np.ceil(bands.top(tag) * LEVELS[level][0]).astype(np.int64) + 1
+    base = np.cumsum(n1) - n1
+    seed = mix(tag.astype(U64) * U64(64) + U64(level))
+    x = mix(e[_runs(first, count)] ^ np.repeat(seed, count))
+    cell = np.repeat(base, count) + ((x >> U64(32)) * np.repeat(n1, count).astype(U64) >> U64(32)).astype(np.int64)
+    cell = cell * PARTS + ((x & U64(0xFFFFFFFF)) * U64(PARTS) >> U64(32)).astype(np.int64)
+    groups = int(n1.sum())
+    total = np.zeros(groups * PARTS, dtype=U64)
+    np.add.at(total, cell, mix(x + U64(0xA0761D6478BD642F)))
+    filled = np.bincount(cell, minlength=groups * PARTS).reshape(groups, PARTS)
+    total = total.reshape(groups, PARTS)
+    owner = np.repeat(np.arange(len(tag)), n1)
+    salt = mix(np.repeat(seed, n1) + (np.arange(groups) - np.repeat(base, n1)).astype(U64) * U64(8))
+    sigs, owners = [], []
+    for which, kept in enumerate(itertools.combinations(range(PARTS), PARTS - SPOILED)):
+        some = np.flatnonzero(sum(filled[:, j] for j in kept) > 0)
+        sigs.append(mix(sum((total[some, j] for j in kept), np.zeros(len(some), U64)) ^ (salt[some] + U64(which))))
+        owners.append(owner[some])
+    robust = (filled > 0).sum(axis=1) > SPOILED
+    stands = np.bincount(owner, weights=robust, minlength=len(tag)) > limit // (SPOILED + 1)
+    return np.concatenate(sigs), np.concatenate(owners), stands
+
+
+def signatures(bands: Bands, e: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, index of its set, band that it belongs to) over sets e[bounds[i]:bounds[i+1]] of at least one shingle."""
     size = np.diff(bounds)
     band = bands.of(size)
     owner = np.repeat(np.arange(len(size)), size)
@@ -116,26 +116,28 @@ def signatures(bands: Bands, e: np.ndarray, bounds: np.ndarray, frequent: np.nda
     rare = e[~common]
     rare_size = size - np.bincount(owner, weights=common, minlength=len(size)).astype(np.int64)
     rare_first = np.cumsum(rare_size) - rare_size
-    sigs, owners = [], []
+    sigs, owners, tags = [], [], []
     for role in (0, 1):
         todo = np.flatnonzero(band >= role)
-        for level, (_, _, sparse) in enumerate(LEVELS):
+        for level, (_, sparse) in enumerate(LEVELS):
             tag, s = band[todo] - role, size[todo]
             partner = np.minimum(bands.top(tag + 1), s * bands.den // bands.num) if role == 0 else bands.top(tag)
             limit = bands.differences(s, partner)
             first, count, features = (rare_first[todo], rare_size[todo], rare) if sparse else (bounds[todo], s, e)
-            sig, own, stands = _level(bands, tag, s, limit, first, count, features, level)
+            if not len(todo):
+                break
+            sig, own, stands = _level(bands, tag, limit, first, count, features, level)
             sigs.append(sig)
             owners.append(todo[own])
+            tags.append(tag[own])
             todo = todo[~stands]
-            if not len(todo):
-                break
         else:
             c = size[todo]
             seed = mix((band[todo] - role).astype(U64) * U64(64) + U64(63))
             sigs.append(mix(e[_runs(bounds[todo], c)] ^ np.repeat(seed, c)))
             owners.append(np.repeat(todo, c))
-    return np.concatenate(sigs), np.concatenate(owners)
+            tags.append(np.repeat(band[todo] - role, c))
+    return np.concatenate(sigs), np.concatenate(owners), np.concatenate(tags)
 
 
 def _member(e: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -158,34 +160,39 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int):
             yield batch.column(0).slice(a, b - a), *shingle_sets(Words(data, offsets, SPACED), width)
 
 
-def _sums(e: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit sums of each set: its class."""
+def _sums(e: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent sums of each set, its class: one of ``bits`` bits, one of 64."""
     out = []
     for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3):
         total = np.zeros(len(e) + 1, dtype=U64)
         np.cumsum(mix(e + U64(salt)), out=total[1:])
         out.append(total[bounds[1:]] - total[bounds[:-1]])
-    return out[0], out[1]
+    return out[0] >> U64(64 - bits), out[1]
+
 
+def _nodes(h1: np.ndarray, h2: np.ndarray, clashing: np.ndarray) -> np.ndarray:
+    return np.where(np.isin(h1, clashing), h2, h1) if len(clashing) else h1
 
-def _profile(width: int, share: float):
+
+def _profile(width: int, num: int, den: int, share: float, bits: int):
     """A row for each text, and rows for shingles that at least ``share`` of a run of distinct sets have."""
-    names = ["id", "n", "h1", "h2", "is_text"]
+    names = ["id", "n", "h1", "h2", "band", "is_text"]
+    bands = Bands(num, den)
 
     def often(runs: list[np.ndarray], sets: int) -> pa.RecordBatch:
         found, times = np.unique(np.concatenate(runs), return_counts=True)
         on = times >= max(5, math.ceil(share * sets))
         k = int(on.sum())
         zero = pa.array(np.zeros(k, np.int64))
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(times[on]), pa.array(found[on].view(np.int64)), zero, pa.array(np.zeros(k, bool))], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(times[on]), pa.array(found[on].view(np.int64)), zero, pa.array(np.zeros(k, np.int32)), pa.array(np.zeros(k, bool))], names)
 
     def run(batches):
         runs, sets, size = [], 0, 0
         for ids, e, bounds in _slices(batches, width):
-            h1, h2 = _sums(e, bounds)
+            h1, h2 = _sums(e, bounds, bits)
             n = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.ones(len(n), bool))], names)
-            _, distinct = np.unique(h1, return_index=True)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(bands.of(n).astype(np.int32)), pa.array(np.ones(len(n), bool))], names)
+            _, distinct = np.unique(h2, return_index=True)
             distinct = distinct[n[distinct] > 0]
             runs.append(e[_runs(bounds[distinct], n[distinct])])
             sets, size = sets + len(distinct), size + len(runs[-1])
@@ -198,35 +205,42 @@ def _profile(width: int, share: float):
     return run
 
 
-def _emit(width: int, num: int, den: int, parts: int, frequent: np.ndarray):
+def _emit(width: int, num: int, den: int, bits: int, dealt: np.ndarray, frequent: np.ndarray, clashing: np.ndarray):
+    """Signatures by part. dealt[b] .. dealt[b + 1] are the parts of band b, so a set's go to few of them."""
+
     def run(batches):
         bands = Bands(num, den)
         for _, e, bounds in _slices(batches, width):
             n = np.diff(bounds)
-            h1, _ = _sums(e, bounds)
-            _, distinct = np.unique(h1, return_index=True)
+            node = _nodes(*_sums(e, bounds, bits), clashing)
+            _, distinct = np.unique(node, return_index=True)
             distinct = np.sort(distinct[n[distinct] > 0])
             if not len(distinct):
                 continue
-            n, h1 = n[distinct], h1[distinct]
+            n, node = n[distinct], node[distinct]
             e = e[_runs(bounds[distinct], n)]
-            sig, owner = signatures(bands, e, np.concatenate([[0], np.cumsum(n)]), frequent)
-            part = ((sig >> U64(40)) * U64(parts) >> U64(24)).astype(np.int32)
+            sig, owner, tag = signatures(bands, e, np.concatenate([[0], np.cumsum(n)]), frequent)
+            part = dealt[tag] + ((sig >> U64(32)) * (dealt[tag + 1] - dealt[tag]).astype(U64) >> U64(32)).astype(np.int64)
             order = np.argsort(owner, kind="stable")
-            order = order[np.argsort(part[order].astype(np.uint16) if parts <= 1 << 16 else part[order], kind="stable")]
+            order = order[np.argsort(part[order].astype(np.uint16) if dealt[-1] <= 1 << 16 else part[order], kind="stable")]
             part, sig, owner = part[order], sig[order], owner[order]
-            at = np.searchsorted(part, np.arange(parts + 1))
             new = np.ones(len(part), dtype=bool)
             new[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
             run_at = np.flatnonzero(new)
-            run_size = np.diff(np.append(run_at, len(part))).astype(np.uint32)
-            run_of = np.searchsorted(run_at, at)
+            long = np.diff(np.append(run_at, len(part)))
+            pieces = (long + 254) // 255  # a run's size is a byte: longer ones are several
+            run_size = np.full(int(pieces.sum()), 255, dtype=np.uint8)
+            run_size[np.cumsum(pieces) - 1] = long - (pieces - 1) * 255
+            run_at = np.cumsum(run_size.astype(np.int64)) - run_size
+            at = np.flatnonzero(np.diff(part, prepend=-1))  # only parts that get something have a row
+            ends = np.append(at, len(part))
+            run_of = np.searchsorted(run_at, ends)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.arange(parts, dtype=np.int32)),
-                    _blobs(np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8)[:, :5]), at * 5),
-                    _blobs(np.ascontiguousarray(h1[owner[run_at]].view(np.uint8).reshape(-1, 8)[:, :6]), run_of * 6),
-                    _blobs(run_size.view(np.uint8), run_of * 4),
+                    pa.array(part[at].astype(np.int32)),
+                    _blobs(np.ascontiguousarray(sig.view(np.uint8).reshape(-1, 8)[:, :4]), ends * 4),
+                    _blobs(np.ascontiguousarray(node[owner[run_at]]).view(np.uint8), run_of * 8),
+                    _blobs(run_size, run_of),
                 ],
                 ["part", "sigs", "owners", "runs"],
             )
@@ -247,13 +261,17 @@ def _narrow(column, width: int) -> np.ndarray:
     return out.view(U64).reshape(-1)
 
 
+def _numbers(column, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind)
+
+
 _BUCKET_SCHEMA = "bucket long, a long, b long"
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of a part: star pairs of each bucket (bucket null), and members of buckets of over two."""
-    sig = _narrow(table.column("sigs"), 5)
-    own = np.repeat(_narrow(table.column("owners"), 6), np.frombuffer(b"".join(table.column("runs").to_pylist()), dtype=np.uint32))
+    sig = _numbers(table.column("sigs"), np.uint32)
+    own = np.repeat(_numbers(table.column("owners"), U64), _numbers(table.column("runs"), np.uint8))
     order = np.argsort(sig)
     sig, own = sig[order], own[order]
     same = sig[1:] == sig[:-1]
@@ -304,41 +322,77 @@ def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
-def _blob_sets(width: int):
+def _blob_sets(width: int, bits: int, clashing: np.ndarray):
     def run(batches):
-        for ids, e, bounds in _slices(batches, width):
-            h1, h2 = _sums(e, bounds)
+        for _, e, bounds in _slices(batches, width):
+            node = _nodes(*_sums(e, bounds, bits), clashing)
             sketches = [_sketch(e[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [pa.array((h1 & _OWNER).view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), _blobs(e.view(np.uint8), bounds * 8), pa.array(sketches, pa.binary()), pa.array(np.diff(bounds))],
-                ["node", "h1", "h2", "features", "sketch", "n"],
+                [pa.array(node.view(np.int64)), _blobs(e.view(np.uint8), bounds * 8), pa.array(sketches, pa.binary()), pa.array(np.diff(bounds))],
+                ["node", "features", "sketch", "n"],
             )
 
     return run
 
 
-def _near(table: dict, best: bool, across: bool, num: int, den: int) -> np.ndarray:
-    """Pairs (x, y) of members of different components that sizes and sketches allow."""
-    node, comp, n, block = (table[c] for c in ("node", "component", "n", "block"))
+def _plausible_pairs(table: dict, across: bool, num: int, den: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bits apart, which pairs of different components sizes and sketches allow), rows by rows."""
+    comp, n, block = (table[c] for c in ("component", "n", "block"))
     raw = [np.frombuffer(x, U64) for x in table["sketch"]]
     words = min(map(len, raw))
     sketch = np.stack([_folded(x, words) for x in raw])
-    found, step = [], max(1, (1 << 20) // (len(node) * words))
-    for a in range(0, len(node), step):
-        b = min(len(node), a + step)
+    step = max(1, (1 << 20) // (len(n) * words))
+    for a in range(0, len(n), step):
+        b = min(len(n), a + step)
         apart = np.bitwise_count(sketch[a:b, None, :] ^ sketch[None, :, :]).sum(axis=-1, dtype=np.int64)
         both, least = n[a:b, None] + n[None, :], np.minimum(n[a:b, None], n[None, :])
         good = (apart * (num + den) <= both * (den - num)) & (comp[a:b, None] != comp[None, :]) & (least * den >= (both - least) * num)
         if across:
             good &= block[a:b, None] != block[None, :]
-        if best:
-            apart[~good] = 1 << 40
-            y = apart.argmin(axis=1)
-            x = np.flatnonzero(good[np.arange(b - a), y])
-            y = y[x]
-        else:
-            x, y = np.nonzero(good)
-        found.append(np.stack([node[x + a], node[y]], axis=1))
+        yield a, apart, good
+
+
+def _nearest(table: dict, across: bool, num: int, den: int) -> np.ndarray:
+    """(x, y): for each member x the nearest y of another component, if there is one."""
+    node, found = table["node"], []
+    for a, apart, good in _plausible_pairs(table, across, num, den):
+        apart[~good] = 1 << 40
+        y = apart.argmin(axis=1)
+        x = np.flatnonzero(good[np.arange(len(y)), y])
+        found.append(np.stack([node[x + a], node[y[x]]], axis=1))
+    return np.concatenate(found)
+
+
+def _hopeful(table: dict, across: bool, num: int, den: int) -> np.ndarray:
+    """(bucket, x): members that may still have a link to another component."""
+    some = np.concatenate([good.any(axis=1) for _, _, good in _plausible_pairs(table, across, num, den)])
+    return np.stack([table["bucket"][some], table["node"][some]], axis=1)
+
+
+def _joining(table: dict, across: bool, num: int, den: int) -> np.ndarray:
+    """(x, y): links of members, only such that join two components: fewer than members."""
+    node, n = table["node"], table["n"]
+    sets = [np.frombuffer(x, U64) for x in table["features"]]
+    words, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(n) - n
+    _, root = np.unique(table["component"], return_inverse=True)
+    table = table | {"component": root.copy()}
+    mark, found = np.zeros(len(words), dtype=bool), [np.empty((0, 2), np.int64)]
+    for a, apart, good in _plausible_pairs(table, across, num, den):
+        for i in np.flatnonzero(good.any(axis=1)).tolist():
+            x = a + i
+            y = np.flatnonzero(good[i] & (root != root[x]))
+            if not len(y):
+                continue
+            y = y[np.argsort(apart[i, y], kind="stable")]
+            mark[dense[first[x] : first[x] + n[x]]] = True
+            shared = np.add.reduceat(mark[dense[_runs(first[y], n[y])]], np.cumsum(n[y]) - n[y], dtype=np.int64)
+            mark[dense[first[x] : first[x] + n[x]]] = False
+            y = y[shared * den >= num * (n[x] + n[y] - shared)]
+            _, one = np.unique(root[y], return_index=True)
+            y = y[one]
+            found.append(np.stack([np.full(len(y), node[x]), node[y]], axis=1))
+            root[np.isin(root, root[y])] = root[x]
     return np.concatenate(found)
 
 
@@ -358,26 +412,25 @@ def _plausible(num: int, den: int):
     return run
 
 
-def _candidates(best: bool, num: int, den: int):
-    """Pairs of each bucket's members that may be links; best: for each member only the nearest.
-
-    Buckets share a table; of a bucket in blocks, members of blocks i and j meet.
-    """
+def _each_bucket(found, columns: tuple[str, ...], names: tuple[str, str], num: int, den: int):
+    """``found`` over the members of each bucket of a chunk; of a bucket in blocks, members of blocks i and j meet."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        columns = {c: table.column(c).to_numpy() for c in ("bucket", "i", "j", "node", "component", "n", "block")}
-        columns["sketch"] = np.array(table.column("sketch").to_pylist() + [None], dtype=object)[:-1]
+        data = {c: table.column(c).to_numpy() for c in ("bucket", "i", "j", "node", "component", "n", "block")}
+        for c in columns:
+            data[c] = np.array(table.column(c).to_pylist() + [None], dtype=object)[:-1]
         new = np.ones(len(table), dtype=bool)
         for c in ("bucket", "i", "j"):
-            new[1:] &= columns[c][1:] == columns[c][:-1]
+            new[1:] &= data[c][1:] == data[c][:-1]
         new[1:] = ~new[1:]
         at = np.append(np.flatnonzero(new), len(table)).tolist()
-        found = [np.empty((0, 2), np.int64)]
+        pairs = [np.empty((0, 2), np.int64)]
         for a, b in zip(at[:-1], at[1:]):
-            found.append(_near({c: x[a:b] for c, x in columns.items()}, best, columns["i"][a] != columns["j"][a], num, den))
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            pairs.append(found({c: x[a:b] for c, x in data.items()}, data["i"][a] != data["j"][a], num, den))
+        pairs = np.concatenate(pairs)
+        pairs = np.unique(np.sort(pairs, axis=1) if names == ("a", "b") else pairs, axis=0)
+        return pa.table({names[0]: pa.array(pairs[:, 0]), names[1]: pa.array(pairs[:, 1])})
 
     return run
 
@@ -400,7 +453,26 @@ def _linked(num: int, den: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def _deal(volumes: dict[int, int], parts: int) -> np.ndarray:
+    """First part of each band: bands get parts by their signatures, ``parts`` at least in all."""
+    expected = np.zeros(max(volumes, default=0) + 2)
+    for band, shingles in volumes.items():  # a set has signatures in its own band and in the one below
+        expected[band] += shingles * SIGNATURES_PER_SHINGLE / 2
+        expected[max(0, band - 1)] += shingles * SIGNATURES_PER_SHINGLE / 2
+    each = min(SIGNATURES_PER_PART, max(1.0, expected.sum() / parts))
+    return np.concatenate([[0], np.cumsum(np.maximum(1, np.ceil(expected / each)).astype(np.int64))])
+
+
+def _blocked(members: DataFrame, load: str, most: int, width: int) -> DataFrame:
+    """Members of buckets with the chunk in which they meet; a bucket of more ``load`` than ``most`` comes in blocks i, j."""
+    blocks = members.groupBy("bucket").agg(F.ceil(F.expr(load) / most).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    return dealt.withColumn("chunk", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(width)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, class_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable by links).
 
     Texts link if the Jaccard similarity of their sets of ``width``-word shingles is at least
@@ -408,20 +480,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blank text has no shingles, links with nothing and is its own component. Rows repeat as
     the input does; a null id keeps a null component unless its text's class has an id.
     Very long texts are whole; an empty table gives an empty result; other columns are ignored.
+    class_bits: bits of a class's first hash; any number gives the same result (tests force clashes).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "partenum")
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = scratch.table(texts.mapInArrow(_profile(width, FREQUENT), "id long, n long, h1 long, h2 long, is_text boolean"), "profile")
-    rows = profile.where("is_text").drop("is_text")
-    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
-    stats = classes.agg(F.count("*"), F.sum("n")).first()
-    n_classes, total = stats[0], stats[1] or 0
+    profile = scratch.table(texts.mapInArrow(_profile(width, num, den, FREQUENT, class_bits), "id long, n long, h1 long, h2 long, band int, is_text boolean"), "profile")
+    rows = profile.where("is_text").drop("is_text", "band")
+    classes = profile.where("is_text AND n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("band").alias("band"))
+    volumes = {r.band: (r.sets, r.shingles) for r in classes.groupBy("band").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).collect()}  # a row for each band
+    n_classes = sum(v[0] for v in volumes.values())
     listed = profile.where("NOT is_text").groupBy("h1").agg(F.sum("n").alias("times")).where(F.col("times") >= max(5, FREQUENT * n_classes))
-    frequent = np.sort(np.array([r[0] for r in listed.select("h1").collect()], dtype=np.int64).view(U64))  # at most total / (FREQUENT * n_classes)
-    parts = int(min(1 << 20, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.55 * total / SIGNATURES_PER_PART))))
-    shared = spark.sparkContext.broadcast(frequent)
-    emit = lambda batches: _emit(width, num, den, parts, shared.value)(batches)
+    frequent = np.sort(np.array([r[0] for r in listed.select("h1").collect()], dtype=np.int64).view(U64))  # at most all shingles / (FREQUENT * n_classes)
+    twice = classes.groupBy("h1").count().where("count > 1").select("h1")  # of 10^10 texts about three
+    clashing = np.array([r[0] for r in twice.collect()], dtype=np.int64).view(U64)
+    dealt = _deal({band: v[1] for band, v in volumes.items()}, shuffled)
+    shared = spark.sparkContext.broadcast((dealt, frequent, clashing))
+    emit = lambda batches: _emit(width, num, den, class_bits, *shared.value)(batches)
     blobs = texts.mapInArrow(emit, "part int, sigs binary, owners binary, runs binary")
     met = scratch.table(blobs.groupBy("part").applyInArrow(_meet, _BUCKET_SCHEMA), "met")
     scratch.free()
@@ -436,20 +512,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
-    node = F.col("h1").bitwiseAND(int(_OWNER)).alias("node")
-    wanted = scratch.table(classes.select("*", node).join(ends(stars), "node", "left_semi").select(F.col("rep").alias("id")).distinct(), "wanted")
-    found = of_nodes(texts, wanted, "id").mapInArrow(_blob_sets(width), "node long, h1 long, h2 long, features binary, sketch binary, n long")
+    named = classes.withColumn("clashes", F.lit(False))
+    if len(clashing):
+        named = classes.join(twice.withColumn("clashes", F.lit(True)), "h1", "left")
+    named = named.select("h1", "h2", "rep", F.when(F.col("clashes"), F.col("h2")).otherwise(F.col("h1")).alias("node"))
+    wanted = scratch.table(named.join(ends(stars), "node", "left_semi").select(F.col("rep").alias("id")).distinct(), "wanted")
+    full_sets = lambda batches: _blob_sets(width, class_bits, shared.value[2])(batches)
+    schema = "node long, features binary, sketch binary, n long"
+    found = of_nodes(texts, wanted, "id").mapInArrow(full_sets, schema)
+    if wanted.where("id IS NULL").take(1):  # classes that only rows without an id have
+        found = found.union(texts.where("id IS NULL").mapInArrow(full_sets, schema)).dropDuplicates(["node"])
     sets = scratch.table(found, "sets")
+    sketches = sets.select("node", "n", "sketch").distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Links among pairs of nodes: sizes and sketches first, then the sets of what is left."""
-        small = sets.select("node", "n", "sketch").distinct()
         side = lambda df, key: df.select(*[F.col(c).alias(key if c == "node" else f"{c}_{key}") for c in df.columns])
-        fed = pairs.join(side(small, "a"), "a").join(side(small, "b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        fed = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
         left = scratch.table(fed.mapInArrow(_plausible(num, den), "a long, b long, kept boolean").where("kept").select("a", "b").distinct(), "plausible")
         full = of_nodes(sets.select("node", "features"), scratch.table(ends(left), "nodes"), "node")
         fed = left.join(side(full, "b"), "b").join(side(full, "a"), "a").select("a", "b", "features_a", "features_b")
-        return scratch.table(fed.mapInArrow(_linked(num, den), "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
+        return scratch.table(fed.mapInArrow(_linked(num, den), "a long, b long, linked boolean").where("linked").select("a", "b").distinct(), "links")
 
     def residue(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Components so far, and members (with component) of buckets that still hold several."""
@@ -458,32 +541,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
         return comp, scratch.table(labelled.join(mixed, "bucket"), "residue")
 
+    def sketched(rest: DataFrame) -> DataFrame:
+        chunks = max(shuffled, rest.count() // CHUNK_MEMBERS)
+        return _blocked(rest, "count(*)", BLOCK_MEMBERS, chunks).join(sketches, "node").groupBy("chunk")
+
     scratch.free()
     links = verify(stars)
     scratch.free()
-    tried = stars
     comp, rest = residue(links)
-    for best in (True, False):  # nearest pairs join most of what is left; then all the rest
-        if not rest.take(1):
-            break
-        blocks = rest.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-        dealt = rest.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
-        chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rest.count() // CHUNK_MEMBERS)
-        dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(chunks)))
-        sized = dealt.join(sets.select("node", "n", "sketch").distinct(), "node")
-        more = sized.groupBy("chunk").applyInArrow(_candidates(best, num, den), "a long, b long")
-        more = scratch.table(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not more.take(1):
-            continue  # the nearest may have been tried before, and others not
-        links = links.union(verify(more))
+    if rest.take(1):  # the nearest pairs join most of what is left
+        near = _each_bucket(_nearest, ("sketch",), ("a", "b"), num, den)
+        pairs = scratch.table(sketched(rest).applyInArrow(near, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(verify(pairs))
         scratch.free()
-        tried = tried.union(more)
         comp, rest = residue(links)
+    if rest.take(1):  # members that sketches still allow a link are compared as sets, inside their buckets
+        hopeful = _each_bucket(_hopeful, ("sketch",), ("bucket", "node"), num, den)
+        rest = sketched(rest).applyInArrow(hopeful, "bucket long, node long").distinct().join(rest, ["bucket", "node"])
+        rest = scratch.table(rest.join(sets.select("node", "n").distinct(), "node"), "hopeful")
+        chunks = max(shuffled, (rest.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES)
+        fed = _blocked(rest, "sum(n)", BLOCK_SHINGLES, chunks).join(sets.select("node", "features", "sketch"), "node")
+        joining = _each_bucket(_joining, ("features", "sketch"), ("a", "b"), num, den)
+        more = scratch.table(fed.groupBy("chunk").applyInArrow(joining, "a long, b long").distinct(), "links")
+        scratch.free()
+        if more.take(1):
+            comp = scratch.table(components(links.union(more), scratch), "components")
 
     scratch.drop(met, stars, sets)
-    named = classes.withColumn("node", F.col("h1").bitwiseAND(int(_OWNER))).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = named.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.join(least, "component").select("h1", "h2", "component_id")
     out = rows.join(labels, ["h1", "h2"], "left")

@@ -349,10 +349,52 @@ def test_near_copies_of_one_text_and_a_shared_passage(spark, monkeypatch):
     rows += [(100 + i, passage + " " + " ".join(draw.choice(words, draw.integers(3, 80)))) for i in range(90)]
     rows += [(200 + i, " ".join(draw.choice(words[:4], draw.integers(1, 9)))) for i in range(60)]
     wanted = components_of({i: shingles(t) for i, t in rows})
-    got = partenum.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {r.doc_id: r.component_id for r in partenum.near_duplicates(docs).collect()} == wanted
+    got = partenum.near_duplicates(docs, class_bits=9)  # most classes share their first hash
     assert {r.doc_id: r.component_id for r in got.collect()} == wanted
 
 
+def test_texts_without_ids_still_link(spark):
+    w = [f"w{i}" for i in range(124)]
+    rows = [(9, " ".join(w[:100])), (None, " ".join(w[8:108])), (None, " ".join(w[8:108])), (4, " ".join(w[16:116])), (1, " ".join(w[60:]))]
+    got = partenum.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.component_id) for r in got.collect()) == [(0, 4), (0, 4), (1, 1), (4, 4), (9, 4)]
+
+
+@pytest.mark.parametrize("found, columns", [(partenum._nearest, ("sketch",)), (partenum._hopeful, ("sketch",)), (partenum._joining, ("features", "sketch"))])
+def test_a_bucket_gives_no_more_rows_than_members(found, columns):
+    """Of one large bucket of near copies, half of them just too far apart."""
+    draw = np.random.default_rng(10)
+    base = draw.integers(0, 2**63, 200, dtype=np.uint64)
+    sets = []
+    for i in range(600):
+        e = base.copy()
+        at = draw.choice(200, draw.integers(5, 15) if i % 2 else 30, replace=False)
+        e[at] = draw.integers(0, 2**63, len(at), dtype=np.uint64)
+        sets.append(np.unique(e))
+    k = len(sets)
+    zero = np.zeros(k, np.int64)
+    table = pa.table({"bucket": zero, "i": zero, "j": zero, "block": zero, "node": np.arange(k), "component": np.arange(k), "n": [len(e) for e in sets], "sketch": [partenum._sketch(e) for e in sets], "features": [e.tobytes() for e in sets]})
+    names = ("bucket", "node") if found is partenum._hopeful else ("a", "b")
+    out = partenum._each_bucket(found, columns, names, 80, 100)(table)
+    assert 0 < len(out) <= k
+    if found is partenum._joining:
+        links = {(i, j) for i in range(k) for j in range(i) if 100 * (s := len(np.intersect1d(sets[i], sets[j], assume_unique=True))) >= 80 * (len(sets[i]) + len(sets[j]) - s)}
+
+        def least(pairs):
+            root = list(range(k))
+            for _ in range(k):
+                before = list(root)
+                for a, b in pairs:
+                    root[a] = root[b] = min(root[a], root[b])
+                if root == before:
+                    return root
+
+        pairs = list(zip(out.column("a").to_pylist(), out.column("b").to_pylist()))
+        assert least(pairs) == least(links) and len(pairs) == k - len(set(least(links)))
+
+
 def test_signatures_meet_for_every_linked_pair():
     draw = np.random.default_rng(9)
     bands = partenum.Bands(80, 100)
@@ -365,7 +407,7 @@ def test_signatures_meet_for_every_linked_pair():
             if 100 * shared < 80 * (len(a) + len(b) - shared):
                 continue
             frequent = np.sort(draw.choice(a, len(a) // 3, replace=False)) if size > 3 else np.empty(0, np.uint64)
-            sig, owner = partenum.signatures(bands, np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), frequent)
+            sig, owner, _ = partenum.signatures(bands, np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), frequent)
             assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size
 
 
