@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import carried, with_record
 from .textkernel import U64, Words, _BASE, _LETTER, _powers, mix, string_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE = 400  # texts of each language that a model is fitted on, about
 ROUNDS = 3
-STRETCH = 48  # bytes; a longer unbroken run of letters is summed in stretches of this size
+LEARNED = 64  # bytes; longer words of the sample aren't learned from (they are scored like any)
+SHORT = 64  # bytes; units of equal length up to this are summed side by side, longer ones one by one
+BLOCK = 1 << 16  # bytes of a long unit in which pieces are found together
+RESCALED = 4  # steps between rescalings: 29 steps of the least probability stay far above the least double
 CACHE = 500_000  # distinct words whose likelihoods a Python worker keeps
 
 #: Letters of any script, byte by byte: A-Z (lower-cased before), a-z and all that isn't ASCII.
@@ -36,7 +40,7 @@ def read_pieces(path: str = VOCABULARY) -> list[bytes]:
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if b" " not in piece[1:] and len(piece) <= STRETCH:
+            if b" " not in piece[1:]:
                 found.add(piece.lower())
     return sorted(found)
 
@@ -46,7 +50,7 @@ class Lattice:
 
     def __init__(self, pieces: list[bytes]):
         self.longest = max(map(len, pieces))
-        self.up = _powers(_BASE, STRETCH + 2)
+        self.up = _powers(_BASE, max(SHORT, self.longest) + 2)
         key = np.array([self._hash(np.frombuffer(p, np.uint8)[None, :])[0] for p in pieces], dtype=U64)
         order = np.argsort(key)
         self.key, self.piece = np.append(key[order], U64(0)), np.append(order, -1).astype(np.int32)
@@ -58,6 +62,15 @@ class Lattice:
         """Of each row of bytes."""
         return mix((_LETTER[chars] * self.up[: chars.shape[1]]).sum(axis=1, dtype=U64) + U64(chars.shape[1]))
 
+    def _look(self, key: np.ndarray) -> np.ndarray:
+        """Index of the piece with each key, -1 for none."""
+        at = self.at[(key >> U64(46)).astype(np.int64)]
+        out = np.full(len(key), -1, dtype=np.int32)
+        for k in range(self.deep):
+            same = self.key[np.minimum(at + k, len(self.key) - 1)] == key
+            out[same] = self.piece[at[same] + k]
+        return out
+
     def find(self, chars: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
         """(from, to) -> index of the piece there in each row, -1 for none."""
         n = chars.shape[1]
@@ -67,16 +80,24 @@ class Lattice:
             total = np.zeros(len(chars), dtype=U64)
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 total = total + value[:, j - 1] * self.up[j - 1 - i]
-                key = mix(total + U64(j - i))
-                at = self.at[(key >> U64(46)).astype(np.int64)]
-                out = np.full(len(chars), -1, dtype=np.int32)
-                for k in range(self.deep):
-                    same = self.key[np.minimum(at + k, len(self.key) - 1)] == key
-                    out[same] = self.piece[at[same] + k]
+                out = self._look(mix(total + U64(j - i)))
                 if (out >= 0).any():
                     found[i, j] = out
         return found
 
+    def ending(self, chars: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Of one long unit: row j - a - 1, column k: the piece from j - k - 1 to j, for j in a + 1 .. b; -1 for none."""
+        first = max(0, a - self.longest + 1)
+        value = _LETTER[chars[first:b]]
+        out = np.full((b - a, self.longest), -1, dtype=np.int32)
+        total = np.zeros(len(value), dtype=U64)
+        for k in range(min(self.longest, len(value))):
+            total = total[: len(value) - k] + value[k:] * self.up[k]
+            end = first + k + 1 + np.arange(len(total))
+            on = end > a
+            out[end[on] - a - 1, k] = self._look(mix(total[on] + U64(k + 1)))
+        return out
+
     def forward(self, chars: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Log likelihood of each row (equal lengths) in each language; p: pieces by languages, the last row 0."""
         found, n = self.find(chars), chars.shape[1]
@@ -87,29 +108,47 @@ class Lattice:
             for i in range(max(0, j - self.longest), j):
                 if (i, j) in found:
                     alpha[j] += alpha[i] * p[found[i, j]]
-            if j % 16 == 0:
+            if j % RESCALED == 0:
                 scale = alpha[j].copy()
                 log += np.log(scale)
                 alpha[max(0, j - self.longest) : j + 1] /= scale
         return log + np.log(alpha[n])
 
+    def forward_long(self, chars: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The same of one unit of any length: a rolling window of prefixes, blocks of bytes."""
+        alpha = np.zeros((self.longest, p.shape[1]))  # row k: the prefix that ends k + 1 bytes back
+        alpha[0] = 1
+        log = np.zeros(p.shape[1])
+        for a in range(0, len(chars), BLOCK):
+            pieces = self.ending(chars, a, min(len(chars), a + BLOCK))
+            some = pieces >= 0
+            for j in range(len(pieces)):
+                on = some[j]
+                now = (alpha[on] * p[pieces[j, on]]).sum(axis=0)
+                alpha[1:] = alpha[:-1] / now
+                alpha[0] = 1
+                log += np.log(now)
+        return log
+
     def expect(self, chars: np.ndarray, weight: np.ndarray, p: np.ndarray, total: np.ndarray) -> None:
         """Add to ``total`` the expected use of each piece in each language; weight: rows by languages."""
         found, n = self.find(chars), chars.shape[1]
-        alpha, beta = np.zeros((n + 1, len(chars), p.shape[1])), np.zeros((n + 1, len(chars), p.shape[1]))
-        alpha[0], beta[n] = 1, 1
+        with np.errstate(divide="ignore"):
+            log = np.log(p)
+        alpha, beta = (np.full((n + 1, len(chars), p.shape[1]), -np.inf) for _ in range(2))
+        alpha[0], beta[n] = 0, 0
         for j in range(1, n + 1):
             for i in range(max(0, j - self.longest), j):
                 if (i, j) in found:
-                    alpha[j] += alpha[i] * p[found[i, j]]
+                    alpha[j] = np.logaddexp(alpha[j], alpha[i] + log[found[i, j]])
         for i in range(n - 1, -1, -1):
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 if (i, j) in found:
-                    beta[i] += beta[j] * p[found[i, j]]
+                    beta[i] = np.logaddexp(beta[i], beta[j] + log[found[i, j]])
         for (i, j), piece in found.items():
-            used = alpha[i] * p[piece] * beta[j] / np.maximum(alpha[n], 1e-300) * weight
             on = piece >= 0
-            np.add.at(total, piece[on], used[on])
+            used = np.exp(alpha[i, on] + log[piece[on]] + beta[j, on] - alpha[n, on]) * weight[on]
+            np.add.at(total, piece[on], used)
 
 
 def _by_length(words: list[bytes]):
@@ -120,10 +159,6 @@ def _by_length(words: list[bytes]):
         yield at, np.frombuffer(b"".join(words[i] for i in at), np.uint8).reshape(len(at), n)
 
 
-def _stretches(word: bytes) -> list[bytes]:
-    return [word[i : i + STRETCH] for i in range(0, len(word), STRETCH)]
-
-
 class Model:
     """Languages and their piece probabilities."""
 
@@ -135,30 +170,27 @@ class Model:
 
     def fit(self, counts: dict[bytes, np.ndarray]) -> Model:
         """counts: each word's uses in each language."""
-        weights: dict[bytes, np.ndarray] = {}
-        for word, uses in counts.items():
-            for part in _stretches(word):
-                weights[part] = weights.get(part, 0) + uses
-        words, step = list(weights), max(200, 80_000 // len(self.languages))
+        words, step = [w for w in counts if len(w) <= LEARNED], max(200, 80_000 // len(self.languages))
         for _ in range(ROUNDS):
             total = np.zeros((self.n, len(self.languages)))
             for at, chars in _by_length(words):
                 for a in range(0, len(at), step):
-                    self.lattice.expect(chars[a : a + step], np.array([weights[words[i]] for i in at[a : a + step]], dtype=float), self.p, total)
+                    self.lattice.expect(chars[a : a + step], np.array([counts[words[i]] for i in at[a : a + step]], dtype=float), self.p, total)
             total += 0.02
             self.p[:-1] = total / total.sum(axis=0)
         return self
 
     def likelihood(self, words: list[bytes]) -> np.ndarray:
         """Log likelihood of each word in each language."""
-        parts = [_stretches(w) for w in words]
-        flat = [x for p in parts for x in p]
-        out, step = np.zeros((len(flat), len(self.languages))), max(200, 80_000 // len(self.languages))
-        for at, chars in _by_length(flat):
+        out, step = np.zeros((len(words), len(self.languages))), max(200, 80_000 // len(self.languages))
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        for at, chars in _by_length([words[i] for i in short]):
             for a in range(0, len(at), step):
-                out[at[a : a + step]] = self.lattice.forward(chars[a : a + step], self.p)
-        bounds = np.cumsum([0, *map(len, parts)])
-        return np.add.reduceat(out, bounds[:-1], axis=0) if len(flat) else out
+                out[[short[i] for i in at[a : a + step]]] = self.lattice.forward(chars[a : a + step], self.p)
+        for i, w in enumerate(words):
+            if len(w) > SHORT:
+                out[i] = self.lattice.forward_long(np.frombuffer(w, np.uint8), self.p)
+        return out
 
     def score(self, words: Words) -> np.ndarray:
         """Log likelihood of each text in each language."""
@@ -196,8 +228,9 @@ def training_rows(id_col: str):
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> Model | None:
     """A model of the languages of ``lang_col``; None if no text has one.
 
-    Fitted on a bounded sample: of each language at most ``sample`` texts, those whose ids
-    have the least hashes.
+    Fitted on a bounded sample: of each language at most ``sample`` texts, those with the least
+    hashes of id and text, and of these the words of at most ``LEARNED`` bytes. Texts that
+    are null or have no language teach nothing; equal rows may be drawn alike.
     """
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     place = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)).alias("place")
@@ -224,17 +257,17 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return Model(read_pieces(vocabulary), languages).fit(counts)
 
 
-def predict_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, lang_pred, score.
+def predict_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """One row per document: doc_id, lang_pred, score; with ``whole`` also record, the input row as a struct.
 
     score: the predicted language's share of the likelihoods. A text that is null or has no
     letter, and any text where no language was learned, is ``und`` with score 0; ties go to
     the language first by name. Whole texts of any size are scored; rows repeat as the input
     does; other columns are ignored.
     """
-    fed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    fed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"), *carried(docs, whole))
     if model is None:
-        return fed.select(F.col("id").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return fed.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *fed.columns[3:])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -248,10 +281,11 @@ def predict_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_i
                 score = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
                 on = lettered[a:b]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(a, b - a), pa.array(names[np.where(on, best, len(names) - 1)], pa.string()), pa.array(np.where(on, score, 0.0))], ["doc_id", "lang_pred", "score"]
+                    [batch.column("doc_id").slice(a, b - a), pa.array(names[np.where(on, best, len(names) - 1)], pa.string()), pa.array(np.where(on, score, 0.0)), *(batch.column(k).slice(a, b - a) for k in range(3, batch.num_columns))],
+                    ["doc_id", "lang_pred", "score", *batch.schema.names[3:]],
                 )
 
-    return fed.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return fed.mapInArrow(run, with_record("doc_id long, lang_pred string, score double", fed))
 
 
 def op1_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

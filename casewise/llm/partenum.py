@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -176,7 +176,7 @@ def _nodes(h1: np.ndarray, h2: np.ndarray, clashing: np.ndarray) -> np.ndarray:
 
 def _profile(width: int, num: int, den: int, share: float, bits: int):
     """A row for each text, and rows for shingles that at least ``share`` of a run of distinct sets have."""
-    names = ["id", "n", "h1", "h2", "band", "is_text"]
+    names = ["id", "n", "h1", "h2", "band", "mark", "is_text"]
     bands = Bands(num, den)
 
     def often(runs: list[np.ndarray], sets: int) -> pa.RecordBatch:
@@ -184,14 +184,14 @@ def _profile(width: int, num: int, den: int, share: float, bits: int):
         on = times >= max(5, math.ceil(share * sets))
         k = int(on.sum())
         zero = pa.array(np.zeros(k, np.int64))
-        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(times[on]), pa.array(found[on].view(np.int64)), zero, pa.array(np.zeros(k, np.int32)), pa.array(np.zeros(k, bool))], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(times[on]), pa.array(found[on].view(np.int64)), zero, pa.array(np.zeros(k, np.int32)), zero, pa.array(np.zeros(k, bool))], names)
 
     def run(batches):
         runs, sets, size = [], 0, 0
-        for ids, e, bounds in _slices(batches, width):
+        for keys, e, bounds in _slices(batches, width):
             h1, h2 = _sums(e, bounds, bits)
             n = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(bands.of(n).astype(np.int32)), pa.array(np.ones(len(n), bool))], names)
+            yield pa.RecordBatch.from_arrays([keys.field("id"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(bands.of(n).astype(np.int32)), keys.field("mark"), pa.array(np.ones(len(n), bool))], names)
             _, distinct = np.unique(h2, return_index=True)
             distinct = distinct[n[distinct] > 0]
             runs.append(e[_runs(bounds[distinct], n[distinct])])
@@ -472,9 +472,12 @@ def _blocked(members: DataFrame, load: str, most: int, width: int) -> DataFrame:
     return dealt.withColumn("chunk", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(width)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, class_bits: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, class_bits: int = 64, mark: Column | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least id reachable by links).
 
+    With ``mark``, a long column over ``docs``, also mark and group, a number that names the
+    component even where none of its rows has an id.
+
     Texts link if the Jaccard similarity of their sets of ``width``-word shingles is at least
     num/den; A-Z are lower-cased, words are runs of other than white space. A null, empty or
     blank text has no shingles, links with nothing and is its own component. Rows repeat as
@@ -486,7 +489,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "partenum")
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = scratch.table(texts.mapInArrow(_profile(width, num, den, FREQUENT, class_bits), "id long, n long, h1 long, h2 long, band int, is_text boolean"), "profile")
+    keyed = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), (F.lit(0) if mark is None else mark).cast("long").alias("mark")), F.col(text_col).alias("text"))
+    profile = scratch.table(keyed.mapInArrow(_profile(width, num, den, FREQUENT, class_bits), "id long, n long, h1 long, h2 long, band int, mark long, is_text boolean"), "profile")
     rows = profile.where("is_text").drop("is_text", "band")
     classes = profile.where("is_text AND n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("band").alias("band"))
     volumes = {r.band: (r.sets, r.shingles) for r in classes.groupBy("band").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).collect()}  # a row for each band
@@ -570,9 +574,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop(met, stars, sets)
     named = named.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = named.join(least, "component").select("h1", "h2", "component_id")
+    labels = named.join(least, "component").select("h1", "h2", "component_id", F.col("component").alias("group"))
     out = rows.join(labels, ["h1", "h2"], "left")
-    out = scratch.table(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")), "result")
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), *(("mark", "group") if mark is not None else ()))
+    out = scratch.table(out, "result")
     scratch.free()
     return out
 

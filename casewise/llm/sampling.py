@@ -13,13 +13,15 @@ The vocabulary has ranks, not probabilities: a piece weighs 1 / (rank + 1) to th
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .langid import STRETCH, VOCABULARY, Lattice
+from .langid import BLOCK, RESCALED, SHORT, VOCABULARY, Lattice
 from .textkernel import _LETTER, U64, _Powers, mix, string_slices
 
 SHARPNESS = 1.5
@@ -42,11 +44,12 @@ class Pieces:
                 single[bytes([int(piece[3:5], 16)])] = i
             elif not (model.is_control(i) or model.is_unknown(i)):
                 raw = piece.replace("▁", " ").encode()
-                if b" " not in raw[1:] and len(raw) <= STRETCH:
+                if b" " not in raw[1:]:
                     whole[raw] = i
         if len(single) != 256:
             raise ValueError("the vocabulary needs a piece for each byte")
         texts = [*whole, *(b for b in single if b not in whole)]
+        self.by_byte = [single[bytes([b])] for b in range(256)]
         self.ids = np.array([whole.get(t, single.get(t)) for t in texts], dtype=np.int32)
         rank = np.array([whole[t] + 1.0 if t in whole else 0 for t in texts])
         self.weight = np.append(np.where(rank > 0, np.maximum(rank, 1.0) ** -sharpness, BYTE_WEIGHT), 0.0)
@@ -57,6 +60,12 @@ class Pieces:
         self.size = np.array([len(b) for b in by_id], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
 
+    def decode_one(self, i: int) -> bytes:
+        return self.blob[self.start[i] : self.start[i] + self.size[i]].tobytes()
+
+    def byte_id(self, byte: int) -> int:
+        return self.by_byte[byte]
+
     def choices(self, chars: np.ndarray, first: int) -> tuple[np.ndarray, ...]:
         """For rows of n bytes, the last pieces of each prefix: (state, share so far, length, id), longest first.
 
@@ -70,6 +79,7 @@ class Pieces:
         for j in range(1, n + 1):
             parts = [(i, found[i, j], alpha[i] * self.weight[found[i, j]]) for i in range(max(0, j - self.lattice.longest), j) if (i, j) in found]
             alpha[j] = sum(x for _, _, x in parts)
+            rescaled = alpha[j].copy() if j % RESCALED == 0 else None
             so_far = np.zeros(rows)
             for i, piece, x in parts:
                 so_far = so_far + x / alpha[j]
@@ -78,8 +88,44 @@ class Pieces:
                 shares.append(so_far[on].astype(np.float32))
                 lengths.append(np.full(len(on), j - i, dtype=np.int8))
                 ids.append(self.ids[piece[on]])
+            if rescaled is not None:
+                alpha[max(0, j - self.lattice.longest) : j + 1] /= rescaled
         return np.concatenate(states), np.concatenate(shares), np.concatenate(lengths), np.concatenate(ids)
 
+    def prefixes(self, chars: np.ndarray) -> np.ndarray:
+        """Of one unit of any length: the log of the weight of all segmentations of each prefix."""
+        longest = self.lattice.longest
+        log = np.zeros(len(chars) + 1)
+        window, total = [1.0], 0.0  # of the last prefixes, each over the last one's weight
+        for a in range(0, len(chars), BLOCK):
+            found = self.lattice.ending(chars, a, min(len(chars), a + BLOCK))
+            row, back = np.nonzero(found >= 0)
+            at, weight, back = np.searchsorted(row, np.arange(len(found) + 1)).tolist(), self.weight[found[row, back]].tolist(), back.tolist()
+            for j in range(len(found)):
+                now = sum(window[-1 - back[k]] * weight[k] for k in range(at[j], at[j + 1]))
+                total += math.log(now)
+                log[a + j + 1] = total
+                window = [x / now for x in window[1 - longest :]] + [1.0] if longest > 1 else [1.0]
+        return log
+
+    def walk(self, chars: np.ndarray, log: np.ndarray, seed: np.uint64, origin: int):
+        """(from, id) of the pieces of one drawn segmentation, last piece first; origin: of the unit in its text."""
+        longest, j, a = self.lattice.longest, len(chars), len(chars)
+        while j > 0:
+            if j <= a:  # rows of ``found`` are ends a + 1 .. b
+                b, a = j, max(0, j - BLOCK)
+                found = self.lattice.ending(chars, a, b)
+                draws = (mix(mix(np.array([seed])) ^ mix((origin + np.arange(a + 1, b + 1)).astype(U64))) >> U64(11)).astype(np.float64) * 2.0**-53
+            row, draw, so_far, chosen = found[j - a - 1], draws[j - a - 1], 0.0, 0
+            for k in range(min(longest, j) - 1, -1, -1):
+                if row[k] >= 0:
+                    so_far += math.exp(log[j - k - 1] - log[j]) * self.weight[row[k]]
+                    chosen = k
+                    if draw < so_far:
+                        break
+            yield j - chosen - 1, self.ids[row[chosen]]
+            j -= chosen + 1
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, bounds) of texts data[offsets[i]:offsets[i+1]]; an empty text has none."""
         size = np.diff(offsets)
@@ -92,13 +138,19 @@ class Pieces:
         buf[body] = data[offsets[0] : offsets[-1]]
         start = np.flatnonzero(buf == _SPACE)
         length = np.diff(np.append(start, total))
-        if len(length) and length.max() > STRETCH:  # long units are cut into stretches
-            cuts = -(-length // STRETCH)
-            at = np.repeat(start, cuts) + (np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * STRETCH
-            start, length = at, np.diff(np.append(at, total))
         ids_at = np.full(total, -1, dtype=np.int32)
-        if total:
-            self._sample(buf, start, length, text_at, on, seeds, ids_at)
+        short = length <= SHORT
+        if short.any():
+            self._sample(buf, start[short], length[short], text_at, on, seeds, ids_at)
+        prefixes: dict[bytes, np.ndarray] = {}
+        for a, n in zip(start[~short].tolist(), length[~short].tolist()):
+            text = np.searchsorted(text_at[on], a, side="right") - 1
+            chars = buf[a : a + n]
+            raw = chars.tobytes()
+            if raw not in prefixes:
+                prefixes = {raw: self.prefixes(chars)}  # of the last long unit
+            for left, piece in self.walk(chars, prefixes[raw], seeds[on][text], a - int(text_at[on][text])):
+                ids_at[a + left] = piece
         used = ids_at >= 0
         bounds = np.concatenate([[0], np.cumsum(used)])[np.append(text_at, total)]
         return ids_at[used], bounds
@@ -158,8 +210,10 @@ def encode_sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, tokens (ids), n_tokens, lossless (decoding gives the text's bytes back).
 
     Rows with equal ids and texts have equal segmentations; a null or empty text has no
-    tokens and is lossless as empty. Long texts and unbroken runs are encoded whole. An empty
-    table gives an empty result; other columns are ignored.
+    tokens and is lossless as empty. Long texts and unbroken runs of any length are encoded
+    whole: every segmentation can be drawn, at its share of the weights. A null id draws as
+    its own key, and so do repeated ids. An empty table gives an empty result; other columns
+    are ignored.
     """
     fed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("key"))
     made: dict = {}

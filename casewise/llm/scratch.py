@@ -1,5 +1,20 @@
-"""Tables between passes: see ``casewise.sources.scratch``."""
+"""Tables between passes (see ``casewise.sources.scratch``), and rows carried through Python whole."""
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "shared_dir"]
+__all__ = ["Scratch", "carried", "shared_dir", "with_record"]
+
+
+def carried(df: DataFrame, whole: bool) -> list[Column]:
+    """The whole row as the struct ``record``, so that no result has to be joined back by an id."""
+    return [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record")] if whole else []
+
+
+def with_record(schema: str, fed: DataFrame) -> StructType:
+    """A schema, and the record of ``fed`` if it has one."""
+    out = StructType.fromDDL(schema)
+    return out.add(fed.schema["record"]) if "record" in fed.columns else out

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import Scratch, carried, with_record
 from .textkernel import ALNUM, U64, Words, mix, string_slices
 
 STRETCH = 256  # words that one cursor searches
-BLOCK_BYTES = 16 << 20  # most benchmark text in one broadcast; more text takes more passes
+BLOCK_BYTES = 4 << 20  # most benchmark text in one broadcast; more text takes more passes
 _ODD = (U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93))
 
 
@@ -138,7 +139,7 @@ class Patterns:
 
 
 def _scan(patterns: Patterns, last: bool):
-    """Search (id, text, hits, items) batches; hits: a byte for each word so far, items so far."""
+    """Search batches of (id, text, hits: a byte for each word so far, items so far, and what is carried along)."""
 
     def run(batches):
         for batch in batches:
@@ -151,40 +152,51 @@ def _scan(patterns: Patterns, last: bool):
                     hit = hit | np.frombuffer(b"".join(before.to_pylist()), dtype=bool)
                 known = batch.column("items").slice(a, b - a).to_pylist()
                 found = [sorted(items.get(i, set()).union(known[i] or ())) for i in range(b - a)]
-                ids = batch.column("id").slice(a, b - a)
+                ids, names = batch.column("id").slice(a, b - a), batch.schema.names[4:]
+                more = [batch.column(c).slice(a, b - a) for c in names]
                 if last:
                     total = np.concatenate([[0], np.cumsum(hit)])
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]]), pa.array(found, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]]), pa.array(found, pa.list_(pa.string())), *more], ["doc_id", "n_words", "n_hit", "items", *names])
                 else:
                     raw = hit.tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [ids, batch.column("text").slice(a, b - a), pa.array([raw[x:y] for x, y in zip(bounds[:-1], bounds[1:])], pa.binary()), pa.array(found, pa.list_(pa.string()))], ["id", "text", "hits", "items"]
+                        [ids, batch.column("text").slice(a, b - a), pa.array([raw[x:y] for x, y in zip(bounds[:-1], bounds[1:])], pa.binary()), pa.array(found, pa.list_(pa.string())), *more],
+                        ["id", "text", "hits", "items", *names],
                     )
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, whole: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (ids with occurring windows, sorted as strings).
 
+    With ``whole`` also record, the input row as a struct.
+
     A-Z are lower-cased; words are runs of digits, letters and non-ASCII characters. Windows:
     ``window`` consecutive words of an item; an item of fewer, but not none, is one window.
     Null or wordless texts have no words; null or wordless items have no window; an item
     without id hits words but isn't listed. Repeated rows and items keep their rows; an empty
     benchmark hits nothing; other columns are ignored. The benchmark is broadcast in blocks of
-    at most ``BLOCK_BYTES`` of text; each block is one pass over the documents.
+    at most ``BLOCK_BYTES`` of text; each block is one pass over the documents, and a table
+    between passes keeps a worker from holding the windows of more than one block.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "wumanber")
     kept = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where("body IS NOT NULL")
     size = kept.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"), *carried(docs, whole))
     for k in range(blocks):
         block = [tuple(r) for r in kept.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()]
         shared = spark.sparkContext.broadcast(Patterns(block, window))
         last = k == blocks - 1
         scan = lambda batches, shared=shared, last=last: _scan(shared.value, last)(batches)
-        out = out.mapInArrow(scan, "doc_id long, n_words long, n_hit long, items array<string>" if last else "id long, text string, hits binary, items array<string>")
+        before = out
+        out = out.mapInArrow(scan, with_record("doc_id long, n_words long, n_hit long, items array<string>" if last else "id long, text string, hits binary, items array<string>", out))
+        if not last:
+            out = scratch.table(out, "pass")
+            if k:
+                scratch.drop(before)
     return out
 
 

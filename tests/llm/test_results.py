@@ -424,6 +424,92 @@ def test_round_trip(found, seed):
         assert [t.decode() for t in pieces.decode(ids, bounds)] == found[a:b]
 
 
+def drawn(pieces, unit, n):
+    raw = unit.encode()
+    data, offsets = np.frombuffer(raw * n, np.uint8), np.arange(n + 1) * len(raw)
+    ids, bounds = pieces.encode(data, offsets, np.arange(n, dtype=np.uint64))
+    return collections.Counter(tuple(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:]))
+
+
+def segmentations(pieces, unit):
+    """Weight of each segmentation of a unit, from enumerating all of them."""
+    by_text = {}
+    for i, w in zip(pieces.ids.tolist(), pieces.weight.tolist()):
+        by_text[pieces.decode_one(i)] = (i, w)
+    raw, found = b" " + unit.encode(), {}
+
+    def walk(at, ids, weight):
+        if at == len(raw):
+            found[ids] = weight
+        for j in range(at + 1, len(raw) + 1):
+            if raw[at:j] in by_text:
+                i, w = by_text[raw[at:j]]
+                walk(j, (*ids, i), weight * w)
+
+    walk(0, (), 1.0)
+    return found
+
+
+@pytest.mark.filterwarnings("error")
+def test_shares_equal_enumeration_whatever_stands_before():
+    pieces = sampling.Pieces()
+    share = segmentations(pieces, "datenbank")
+    total, n = sum(share.values()), 3000
+    seen = drawn(pieces, "datenbank", n)
+    for k, w in share.items():
+        assert seen[k] / n == pytest.approx(w / total, abs=0.035)
+    for times in (11, 12, 30):  # rare letters of three bytes each; the last makes a long unit
+        odd = drawn(pieces, "ꙮ" * times + "datenbank", 1000)
+        tails = segmentations(pieces, "ꙮdatenbank")
+        total = sum(tails.values())
+        got = collections.Counter()
+        for ids, times_seen in odd.items():
+            got[ids[-4:]] += times_seen
+        want = collections.Counter()
+        for ids, w in tails.items():
+            want[(*[pieces.byte_id(b) for b in "ꙮ".encode()] * times, *ids[4:])[-4:]] += w / total
+        for k, w in want.items():
+            assert got[k] / 1000 == pytest.approx(w, abs=0.06)
+
+
+def test_long_units_equal_side_by_side_sums():
+    pieces, draw = sampling.Pieces(), np.random.default_rng(3)
+    text = "".join(draw.choice(list("abcdeinrstäß漢ꙮ"), 5000))
+    chars = np.frombuffer((" " + text).encode(), np.uint8)
+    log = pieces.prefixes(chars)
+    for n in (1, 7, 30, 64):
+        state, share, taken, ids = pieces.choices(chars[None, :n], 0)
+        for j in range(1, n + 1):
+            on = state == j - 1
+            mine = np.cumsum([math.exp(log[j - k] - log[j]) * pieces.weight[np.flatnonzero(pieces.ids == i)[0]] for k, i in zip(taken[on], ids[on])])
+            assert share[on] == pytest.approx(mine, rel=1e-4) and share[on][-1] == pytest.approx(1, rel=1e-4)
+    data = np.frombuffer(text.encode() * 2, np.uint8)
+    ids, bounds = pieces.encode(data, np.array([0, len(data) // 2, len(data)]), np.array([5, 5], dtype=np.uint64))
+    assert [t.decode() for t in pieces.decode(ids, bounds)] == [text, text] and (ids[: bounds[1]] == ids[bounds[1] :]).all()
+    blocks = pieces.lattice.ending(chars, 0, len(chars))
+    assert (pieces.lattice.ending(chars, 777, 3000) == blocks[777:3000]).all()
+
+
+def test_long_words_sum_over_all_segmentations():
+    model = langid.Model(langid.read_pieces(), ["a", "b"])
+    draw = np.random.default_rng(4)
+    model.p[:-1] = draw.random((model.n, 2)) ** 20 + 1e-9
+    model.p[:-1] /= model.p[:-1].sum(axis=0)
+    words = [b" " + "".join(draw.choice(list("abcdeinrstäß漢ꙮ"), n)).encode() for n in (3, 20, 40, 60, 5000)]
+    got = model.likelihood(words)
+    for w, row in zip(words, got):
+        one = model.lattice.forward(np.frombuffer(w, np.uint8)[None, :64], model.p)[0]
+        assert model.lattice.forward_long(np.frombuffer(w, np.uint8)[:64], model.p) == pytest.approx(one, rel=1e-9)
+        assert np.isfinite(row).all()
+        if len(w) < 12:  # by hand
+            by = {p: i for i, p in enumerate(langid.read_pieces())}
+
+            def ways(at):
+                return np.ones(2) if at == len(w) else sum((model.p[by[w[at:j]]] * ways(j) for j in range(at + 1, len(w) + 1) if w[at:j] in by), np.zeros(2))
+
+            assert row == pytest.approx(np.log(ways(0)))
+
+
 def test_samples_follow_the_lattice():
     pieces = sampling.Pieces()
     n = 4000
