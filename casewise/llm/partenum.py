@@ -363,10 +363,18 @@ def _nearest(table: dict, across: bool, num: int, den: int) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _hopeful(table: dict, across: bool, num: int, den: int) -> np.ndarray:
-    """(bucket, x): members that may still have a link to another component."""
-    some = np.concatenate([good.any(axis=1) for _, _, good in _plausible_pairs(table, across, num, den)])
-    return np.stack([table["bucket"][some], table["node"][some]], axis=1)
+def _open(table: dict, across: bool, num: int, den: int) -> np.ndarray:
+    """(bucket, x, y): pairs that may still be links, where they are no more than members; else (bucket, x, x) for members that have such pairs."""
+    found, some, members = [], [], len(table["n"])
+    for a, _, good in _plausible_pairs(table, across, num, den):
+        some.append(good.any(axis=1))
+        if found is not None:
+            x, y = np.nonzero(good)
+            found.append(np.stack([x + a, y], axis=1)[y > x + a])
+            if sum(map(len, found)) > members:
+                found = None
+    pairs = np.repeat(np.flatnonzero(np.concatenate(some)), 2).reshape(-1, 2) if found is None else np.concatenate(found)
+    return np.column_stack([table["bucket"][pairs[:, 0]], table["node"][pairs[:, 0]], table["node"][pairs[:, 1]]])
 
 
 def _joining(table: dict, across: bool, num: int, den: int) -> np.ndarray:
@@ -412,7 +420,7 @@ def _plausible(num: int, den: int):
     return run
 
 
-def _each_bucket(found, columns: tuple[str, ...], names: tuple[str, str], num: int, den: int):
+def _each_bucket(found, columns: tuple[str, ...], num: int, den: int):
     """``found`` over the members of each bucket of a chunk; of a bucket in blocks, members of blocks i and j meet."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -425,12 +433,11 @@ def _each_bucket(found, columns: tuple[str, ...], names: tuple[str, str], num: i
             new[1:] &= data[c][1:] == data[c][:-1]
         new[1:] = ~new[1:]
         at = np.append(np.flatnonzero(new), len(table)).tolist()
-        pairs = [np.empty((0, 2), np.int64)]
-        for a, b in zip(at[:-1], at[1:]):
-            pairs.append(found({c: x[a:b] for c, x in data.items()}, data["i"][a] != data["j"][a], num, den))
-        pairs = np.concatenate(pairs)
-        pairs = np.unique(np.sort(pairs, axis=1) if names == ("a", "b") else pairs, axis=0)
-        return pa.table({names[0]: pa.array(pairs[:, 0]), names[1]: pa.array(pairs[:, 1])})
+        rows = [found({c: x[a:b] for c, x in data.items()}, data["i"][a] != data["j"][a], num, den) for a, b in zip(at[:-1], at[1:])]
+        rows = np.concatenate(rows)
+        rows[:, -2:].sort(axis=1)
+        rows = np.unique(rows, axis=0)
+        return pa.table({name: pa.array(rows[:, k]) for k, name in enumerate(("bucket", "a", "b")[-rows.shape[1] :])})
 
     return run
 
@@ -553,23 +560,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verify(stars)
     scratch.free()
     comp, rest = residue(links)
+    tried = stars
     if rest.take(1):  # the nearest pairs join most of what is left
-        near = _each_bucket(_nearest, ("sketch",), ("a", "b"), num, den)
-        pairs = scratch.table(sketched(rest).applyInArrow(near, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(verify(pairs))
+        pairs = sketched(rest).applyInArrow(_each_bucket(_nearest, ("sketch",), num, den), "a long, b long")
+        pairs = scratch.table(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        links, tried = links.union(verify(pairs)), tried.union(pairs)
         scratch.free()
         comp, rest = residue(links)
-    if rest.take(1):  # members that sketches still allow a link are compared as sets, inside their buckets
-        hopeful = _each_bucket(_hopeful, ("sketch",), ("bucket", "node"), num, den)
-        rest = sketched(rest).applyInArrow(hopeful, "bucket long, node long").distinct().join(rest, ["bucket", "node"])
-        rest = scratch.table(rest.join(sets.select("node", "n").distinct(), "node"), "hopeful")
-        chunks = max(shuffled, (rest.agg(F.sum("n")).first()[0] or 0) // BLOCK_SHINGLES)
-        fed = _blocked(rest, "sum(n)", BLOCK_SHINGLES, chunks).join(sets.select("node", "features", "sketch"), "node")
-        joining = _each_bucket(_joining, ("features", "sketch"), ("a", "b"), num, den)
-        more = scratch.table(fed.groupBy("chunk").applyInArrow(joining, "a long, b long").distinct(), "links")
+    if rest.take(1):  # buckets with few open pairs give those; in others members meet as sets
+        still = scratch.table(sketched(rest).applyInArrow(_each_bucket(_open, ("sketch",), num, den), "bucket long, a long, b long"), "open")
+        pairs = scratch.table(still.where("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(verify(pairs))
         scratch.free()
-        if more.take(1):
-            comp = scratch.table(components(links.union(more), scratch), "components")
+        comp, rest = residue(links)
+        dense = rest.join(still.where("a = b").select("bucket", F.col("a").alias("node")).distinct(), ["bucket", "node"])
+        dense = scratch.table(dense.join(sets.select("node", "n").distinct(), "node"), "dense")
+        volume = dense.agg(F.sum("n")).first()[0]
+        if volume:
+            fed = _blocked(dense, "sum(n)", BLOCK_SHINGLES, max(shuffled, volume // BLOCK_SHINGLES)).join(sets.select("node", "features", "sketch"), "node")
+            joining = fed.groupBy("chunk").applyInArrow(_each_bucket(_joining, ("features", "sketch"), num, den), "a long, b long")
+            more = scratch.table(joining.distinct(), "links")
+            scratch.free()
+            if more.take(1):
+                comp = scratch.table(components(links.union(more), scratch), "components")
 
     scratch.drop(met, stars, sets)
     named = named.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -362,7 +362,7 @@ def test_texts_without_ids_still_link(spark):
     assert sorted((r.doc_id or 0, r.component_id) for r in got.collect()) == [(0, 4), (0, 4), (1, 1), (4, 4), (9, 4)]
 
 
-@pytest.mark.parametrize("found, columns", [(partenum._nearest, ("sketch",)), (partenum._hopeful, ("sketch",)), (partenum._joining, ("features", "sketch"))])
+@pytest.mark.parametrize("found, columns", [(partenum._nearest, ("sketch",)), (partenum._open, ("sketch",)), (partenum._joining, ("features", "sketch"))])
 def test_a_bucket_gives_no_more_rows_than_members(found, columns):
     """Of one large bucket of near copies, half of them just too far apart."""
     draw = np.random.default_rng(10)
@@ -376,8 +376,7 @@ def test_a_bucket_gives_no_more_rows_than_members(found, columns):
     k = len(sets)
     zero = np.zeros(k, np.int64)
     table = pa.table({"bucket": zero, "i": zero, "j": zero, "block": zero, "node": np.arange(k), "component": np.arange(k), "n": [len(e) for e in sets], "sketch": [partenum._sketch(e) for e in sets], "features": [e.tobytes() for e in sets]})
-    names = ("bucket", "node") if found is partenum._hopeful else ("a", "b")
-    out = partenum._each_bucket(found, columns, names, 80, 100)(table)
+    out = partenum._each_bucket(found, columns, 80, 100)(table)
     assert 0 < len(out) <= k
     if found is partenum._joining:
         links = {(i, j) for i in range(k) for j in range(i) if 100 * (s := len(np.intersect1d(sets[i], sets[j], assume_unique=True))) >= 80 * (len(sets[i]) + len(sets[j]) - s)}
