@@ -2,19 +2,18 @@
 
 Corners (Harris) are taken at several scales; each has an orientation, from the intensity
 centroid around it, and 256 binary tests of smoothed intensities in a pattern turned to that
-orientation. Every pair of descriptors within the Hamming distance meets: distances come from
-matrix products of the bits as +1 and -1, a tile at a time. (The bits are biased, so tables with
-probes for the whole distance return more candidates than there are pairs.) Last, the matches of
-a query and an image must agree on one similarity transform (scale, turn, shift).
-
-Queries are searched in blocks of a bounded number, each block broadcast against all images;
-equal images are described and searched once.
+orientation. Hamming tables find images that may match: each table keeps a fixed choice of
+``KEY_BITS`` bits, descriptors that agree on them share its key, and both sides' (key, image)
+rows meet in an equi-join. An image that ``LEAST_VOTES`` of a query's descriptors meet is a
+candidate; its descriptors and the query's are then all compared, and those within ``MOST_APART`` bits
+must agree on one similarity transform (scale, turn, shift).
+
+Neither side is collected or broadcast. A bitmap of fixed size tells which keys queries have,
+so images send few of their rows; it only spares rows. Equal images are described once.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,28 +21,28 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .textkernel import U64
+from .textkernel import U64, mix
 
-SCALES = (1.0, 0.75, 0.5625)
-CORNERS = (28, 14, 8)  # at each scale, the strongest; more as an image exceeds AREA
+SCALES = (1.0, 0.85, 0.72, 0.61)
+CORNERS = (24, 16, 10, 6)  # at each scale, the strongest; more as an image exceeds AREA
 AREA = 96 * 96
-RADIUS = 8
+RADIUS = 12
 TURNS = 30
+TABLES, KEY_BITS = 16, 32  # keys of a descriptor, and the bits that each of them keeps
+LEAST_VOTES = 3  # descriptors of a query that meet some descriptor of a candidate
+SLOTS = 26  # the bitmap has 2 ** SLOTS bits (8 MB)
 MOST_APART = 48  # of 256 bits
 LEAST_AGREEING = 6  # matches that agree on one transform
 SHIFT_PIXELS = 3.0
 APART = 3.0
 BENT = 0.35
-QUERY_BLOCK = 2000
-TILE = (1024, 4096)  # descriptors of images and of queries in one product
-MEETINGS = 50_000_000  # pairs of descriptors that are compared before matches are judged
-SCREENED = 500_000  # pairs of matches that are screened at a time
 
 _draw = np.random.Generator(np.random.PCG64(20))
 _TESTS = np.clip(_draw.normal(0, RADIUS / 2.2, (256, 2, 2)), -RADIUS, RADIUS)
 _ANGLE = np.arange(TURNS) * (2 * np.pi / TURNS)
 _ROTATED = np.rint(np.stack([np.stack([np.cos(a) * _TESTS[..., 0] - np.sin(a) * _TESTS[..., 1], np.sin(a) * _TESTS[..., 0] + np.cos(a) * _TESTS[..., 1]], -1) for a in _ANGLE])).astype(np.int64)
 _MARGIN = int(np.abs(_ROTATED).max()) + 1
+_MASKS = np.packbits([np.isin(np.arange(256), _draw.choice(256, KEY_BITS, replace=False)) for _ in range(TABLES)], axis=1).view(U64)
 _DISC = np.array([(x, y) for x in range(-RADIUS + 1, RADIUS) for y in range(-RADIUS + 1, RADIUS) if x * x + y * y < RADIUS * RADIUS])
 
 
@@ -143,31 +142,51 @@ def _describe(batches):
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h1"), part.column("h2"), pa.array(places, pa.binary()), pa.array(bits, pa.binary())], [x.split()[0] for x in _FEATURES.split(", ")])
 
 
-def _signs(bits: np.ndarray) -> np.ndarray:
-    """Descriptors as rows of 256 numbers, 1 or -1."""
-    return np.unpackbits(bits.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+def keys_of(bits: np.ndarray) -> np.ndarray:
+    """Descriptors by tables: the hash of the table and of the bits that it keeps."""
+    out = np.empty((len(bits), TABLES), dtype=U64)
+    for t, mask in enumerate(_MASKS):
+        kept, total = bits & mask, np.full(len(bits), t + 1, dtype=U64)
+        for k in range(4):
+            total = mix(total ^ kept[:, k])
+        out[:, t] = total
+    return out
+
+
+_KEYS = "key long, id long, h1 long, place byte"
 
 
-class Queries:
-    """A block of queries' descriptors."""
+def _deal(asked: np.ndarray | None):
+    """(key, image, place of the descriptor modulo 64) rows; with a bitmap only of keys that it has."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                raw = [x or b"" for x in part.column("bits").to_pylist()]
+                size = np.array([len(x) // 32 for x in raw])
+                bits = np.frombuffer(b"".join(raw), U64).reshape(-1, 4)
+                key = keys_of(bits).reshape(-1)
+                owner = np.repeat(np.repeat(np.arange(len(raw)), size), TABLES)
+                place = np.repeat(np.arange(len(bits)) - np.repeat(np.cumsum(size) - size, size), TABLES) % 64
+                if asked is not None:
+                    slot = key >> U64(64 - SLOTS)
+                    on = np.flatnonzero(asked[slot >> U64(3)] >> (slot & U64(7)).astype(np.uint8) & 1)
+                    key, owner, place = key[on], owner[on], place[on]
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(at), part.column("h1").take(at), pa.array(place.astype(np.int8))], ["key", "id", "h1", "place"])
+
+    return run
 
-    def __init__(self, rows: list[tuple]):
-        self.ids = np.array([r[0] for r in rows], dtype=np.int64)
-        self.place = np.concatenate([np.frombuffer(r[1], np.float32).reshape(-1, 4) for r in rows])
-        self.bits = np.concatenate([np.frombuffer(r[2], U64).reshape(-1, 4) for r in rows])
-        self.owner = np.repeat(np.arange(len(rows)), [len(r[2]) // 32 for r in rows])
 
-    def meet(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index of a given descriptor, index of a query's): all pairs within the distance."""
-        mine, theirs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for k in range(0, len(self.bits), TILE[1]):
-            other = _signs(self.bits[k : k + TILE[1]]).T
-            for lo in range(0, len(bits), TILE[0]):
-                # the product is 256 less twice the distance, exact in single precision
-                i, j = np.nonzero(_signs(bits[lo : lo + TILE[0]]) @ other >= 256 - 2 * MOST_APART)
-                mine.append(i + lo)
-                theirs.append(j + k)
-        return np.concatenate(mine), np.concatenate(theirs)
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Which slots (first ``SLOTS`` bits) keys have: at most 2 ** (SLOTS - 15) rows of 4 kB come to the driver."""
+    slot = F.shiftrightunsigned("key", 64 - SLOTS)
+    rows = keys.select((slot / 32768).cast("long").alias("segment"), (slot % 32768).alias("at")).groupBy("segment").agg(F.bitmap_construct_agg("at"))
+    out = np.zeros((1 << SLOTS) // 8, dtype=np.uint8)
+    for segment, bits in rows.collect():
+        out[segment * 4096 : (segment + 1) * 4096] = np.frombuffer(bits, np.uint8)
+    return out
 
 
 def _corners(z: np.ndarray) -> int:
@@ -192,75 +211,19 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> int:
     return min(_corners(za[best]), _corners(zb[best]))
 
 
-def _promising(a: np.ndarray, b: np.ndarray, first: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Which runs of matches may agree: some match's transform puts enough of its run in place, turned alike.
+def matches(a_place: np.ndarray, a_bits: np.ndarray, b_place: np.ndarray, b_bits: np.ndarray) -> tuple[int, int]:
+    """(pairs of descriptors within the distance, corners of them that agree on one transform)."""
+    i, j = np.nonzero(np.bitwise_count(a_bits[:, None] ^ b_bits[None]).sum(axis=2, dtype=np.int64) <= MOST_APART)
+    return len(i), agreeing(a_place[i], b_place[j]) if len(i) >= LEAST_AGREEING else 0
 
-    Only spares runs that agreeing() would turn down: its other conditions aren't asked here,
-    and shifts and turns have room for rounding.
-    """
-    zoom, turn = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
-    c, s = zoom * np.cos(turn), zoom * np.sin(turn)
-    ax, ay, bx, by = a[:, 0], a[:, 1], b[:, 0], b[:, 1]
-    tx, ty = bx - (c * ax - s * ay), by - (s * ax + c * ay)
-    room = (1.01 * SHIFT_PIXELS * np.maximum(1, zoom) + 0.05) ** 2
-    one = np.ones_like(ax)
-    there = np.stack([np.stack([c, -s, tx, -one], 1), np.stack([s, c, ty, -one], 1)])  # by a match's transform, less the place found
-    here = np.stack([np.stack([ax, ay, one, bx], 1), np.stack([ax, ay, one, by], 1)])
-    turned = np.stack([np.cos(turn), np.sin(turn)], 1)
-    nowhere = np.array([0, 0, 0, 1e9], np.float32)  # fills shorter runs up
-    good = np.zeros(len(first), dtype=bool)
-    order = np.flatnonzero(times >= LEAST_AGREEING)
-    order = order[np.argsort(times[order], kind="stable")]
-    lo = 0
-    while lo < len(order):
-        hi = lo + 1
-        while hi < len(order) and (2 * hi - lo + 1 - lo) * int(times[order[min(2 * hi - lo, len(order)) - 1]]) ** 2 <= SCREENED:
-            hi = min(2 * hi - lo, len(order))
-        some = order[lo:hi]
-        most = int(times[some[-1]])
-        inside = np.arange(most) < times[some][:, None]
-        at = np.where(inside, first[some][:, None] + np.arange(most), 0)
-        off = there[0][at] @ np.where(inside[..., None], here[0][at], nowhere).transpose(0, 2, 1)
-        off *= off
-        across = there[1][at] @ here[1][at].transpose(0, 2, 1)
-        across *= across
-        off += across
-        facing = turned[at]
-        n = np.count_nonzero((off <= room[at][..., None]) & (facing @ facing.transpose(0, 2, 1) > np.cos(BENT) - 0.001), axis=2)
-        good[some] = ((n >= LEAST_AGREEING) & inside).any(axis=1)
-        lo = hi
-    return good
-
-
-def _search(queries: Queries):
-    def run(batches):
-        for batch in batches:
-            sizes = [0 if x is None else len(x) // 32 for x in batch.column("bits").to_pylist()]
-            share = np.cumsum(sizes) * max(1, len(queries.bits)) // MEETINGS
-            for lo, hi in zip(starts := [0, *(np.flatnonzero(np.diff(share)) + 1).tolist()], [*starts[1:], len(sizes)]):
-                part, size = batch.slice(lo, hi - lo), sizes[lo:hi]
-                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), U64).reshape(-1, 4)
-                place = np.frombuffer(b"".join(part.column("places").to_pylist()), np.float32).reshape(-1, 4)
-                owner = np.repeat(np.arange(len(size)), size)
-                mine, theirs = queries.meet(bits)
-                pair = owner[mine] * len(queries.ids) + queries.owner[theirs]
-                order = np.argsort(pair, kind="stable")
-                mine, theirs, pair = mine[order], theirs[order], pair[order]
-                first = np.flatnonzero(np.diff(pair, prepend=-1))
-                key, times = pair[first], np.diff(first, append=len(pair))
-                a, b = queries.place[theirs], place[mine]
-                rows = []
-                for k in np.flatnonzero(_promising(a, b, first, times)).tolist():
-                    at = np.arange(first[k], first[k] + times[k])
-                    at = at[np.lexsort((theirs[at], mine[at]))]
-                    n = agreeing(a[at], b[at])
-                    if n >= LEAST_AGREEING:
-                        rows.append((key[k] % len(queries.ids), key[k] // len(queries.ids), int(times[k]), n))
-                if rows:
-                    q, i, m, n = map(list, zip(*rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), part.column("id").take(pa.array(i, pa.int64())), pa.array(m, pa.int64()), pa.array(n, pa.int64())], ["query_id", "match_id", "n_matches", "n_agreeing"])
 
-    return run
+def _judge(batches):
+    place, bits = (lambda x: np.frombuffer(x, np.float32).reshape(-1, 4)), (lambda x: np.frombuffer(x, U64).reshape(-1, 4))
+    for batch in batches:
+        sides = [[f(x) for x in batch.column(c).to_pylist()] for c, f in (("places_q", place), ("bits_q", bits), ("places", place), ("bits", bits))]
+        found = np.array([matches(*x) for x in zip(*sides)], dtype=np.int64).reshape(-1, 2)
+        on = pa.array(np.flatnonzero(found[:, 1] >= LEAST_AGREEING))
+        yield pa.RecordBatch.from_arrays([batch.column("id_q").take(on), batch.column("id").take(on), *(pa.array(found[:, k]).take(on) for k in (0, 1))], ["query_id", "match_id", "n_matches", "n_agreeing"])
 
 
 PAIR = "query_id long, match_id long, n_matches long, n_agreeing long"
@@ -268,7 +231,6 @@ PAIR = "query_id long, match_id long, n_matches long, n_agreeing long"
 
 def _searched(images: DataFrame, queries: DataFrame, id_col: str, image_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(features of all images, first id of each class of equal images, pairs)."""
-    spark = images.sparkSession
 
     def features(of: DataFrame) -> DataFrame:
         rows = of.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image")).where("id IS NOT NULL")
@@ -277,18 +239,15 @@ def _searched(images: DataFrame, queries: DataFrame, id_col: str, image_col: str
     every = scratch.table(features(images), "features")
     first = every.groupBy("h1", "h2").agg(F.min("id").alias("id"))
     index = every.join(first, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    asked = scratch.table(features(queries), "queries")
-    n = asked.count()
-    blocks = max(1, math.ceil(n / QUERY_BLOCK))
-    out = None
-    for k in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).select("id", "places", "bits").collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(Queries([tuple(r) for r in rows]))
-        found = index.select("id", "places", "bits").mapInArrow(lambda batches, shared=shared: _search(shared.value)(batches), PAIR)
-        out = found if out is None else out.union(found)
-    return every, first, out if out is not None else spark.createDataFrame([], PAIR)
+    asked = scratch.table(features(queries).dropDuplicates(["id", "h1", "h2"]), "queries")
+    side = lambda df: df.select(*[F.col(c).alias(f"{c}_q" if c != "key" else c) for c in df.columns])
+    wanted = scratch.table(asked.mapInArrow(_deal(None), _KEYS), "keys")
+    shared = images.sparkSession.sparkContext.broadcast(_bitmap(wanted))
+    offered = every.join(first, ["id", "h1", "h2"], "left_semi").mapInArrow(lambda batches: _deal(shared.value)(batches), _KEYS)
+    votes = offered.join(side(wanted), "key").groupBy("id_q", "h1_q", "id", "h1").agg(F.bit_or(F.expr("shiftleft(1L, place_q)")).alias("votes"))
+    candidates = scratch.table(votes.where(F.bit_count("votes") >= LEAST_VOTES).drop("votes"), "candidates")
+    fed = candidates.join(side(asked.select("id", "h1", "places", "bits")), ["id_q", "h1_q"]).join(index.select("id", "h1", "places", "bits"), ["id", "h1"])
+    return every, first, fed.mapInArrow(_judge, PAIR)
 
 
 def find_copies(images: DataFrame, queries: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
@@ -348,7 +307,7 @@ def _basis() -> np.ndarray:
 
 
 def _render(edited: bool):
-    """PGM images of vectors; edited: cropped, of other contrast and brightness, partly covered."""
+    """PGM images of vectors; edited: cropped, turned, rescaled, of other contrast and brightness, partly covered."""
     made: dict = {}
 
     def run(batches):
@@ -364,11 +323,12 @@ def _render(edited: bool):
                 grey = np.clip(128 + 22 * (np.asarray(v, np.float32) @ made[0]), 0, 255).reshape(SIDE, SIDE)
                 if edited:
                     draw = np.random.Generator(np.random.PCG64(i or 0))
-                    side = int(draw.integers(72, 89))
+                    side = int(draw.integers(80, 93))
                     y, x = draw.integers(0, SIDE - side + 1, 2)
                     grey = grey[y : y + side, x : x + side] * draw.uniform(0.8, 1.0) + draw.uniform(0, 20)
                     cy, cx = draw.integers(0, side - 16, 2)
                     grey[cy : cy + 16, cx : cx + 16] = 255
+                    grey = np.rot90(_resized(grey[None], draw.uniform(0.85, 1.0))[0], int(draw.integers(0, 4)))
                 out.append(write_pgm(grey))
             yield pa.RecordBatch.from_arrays([batch.column("image_id"), pa.array(out, pa.binary())], ["image_id", "image"])
 

@@ -192,16 +192,6 @@ def test_recall_against_brute_force(spark):
     assert len(rows) == spark.read.parquet(f"{SMALL}/embeddings.parquet").count() and all(r.image_id % 50 == 0 for r in asked)
     assert sum(r.found for r in asked) >= 0.9 * len(asked) > 0
     assert sum(r.n_queries > 0 for r in rows if not r.asked) <= 0.1 * len(asked)
-    every = [tuple(r) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding").limit(60).collect()]
-    base = imagecopies._basis()
-    images = np.stack([np.clip(128 + 22 * (np.asarray(v, np.float32) @ base), 0, 255).reshape(96, 96).astype(np.uint8) for _, v in every])
-    who, place, bits = imagecopies.describe(images)
-    cropped = images[:, 7:90, 3:86]
-    asked_who, asked_place, asked_bits = imagecopies.describe(cropped)
-    table = imagecopies.Queries([(i, asked_place[asked_who == i].tobytes(), asked_bits[asked_who == i].tobytes()) for i in range(len(every))])
-    met = set(zip(*(x.tolist() for x in table.meet(bits))))
-    near = {(i, j) for i in range(len(bits)) for j in np.flatnonzero(np.bitwise_count(bits[i] ^ asked_bits).sum(axis=1) <= 8).tolist()}
-    assert len(near & met) >= 0.9 * len(near)
 
 
 def test_turned_and_flat_images():
@@ -231,35 +221,54 @@ def fields(n, side=96):
 
 
 EDITS = {
+    "cropped": lambda x: x[:, 7:88, 5:86] * 0.9 + 10,
     "turned": lambda x: np.rot90(x, axes=(1, 2)).copy(),
     "rescaled": lambda x: imagecopies._resized(x, 0.85),
     "noisy": lambda x: np.clip(x + np.random.default_rng(12).normal(0, 8, x.shape), 0, 255),
 }
 
 
+def rendered(spark, n):
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").orderBy("vec_id").limit(n).collect()
+    base = imagecopies._basis()
+    return np.stack([np.clip(128 + 22 * (np.asarray(r.embedding, np.float32) @ base), 0, 255).reshape(96, 96) for r in rows])
+
+
 @pytest.mark.parametrize("edit", sorted(EDITS))
-def test_every_pair_within_the_distance_meets(edit):
-    images = fields(6)
+def test_search_against_brute_force(spark, edit):
+    """Of all pairs of a query and an image whose descriptors, all compared, agree on a transform."""
+    images = np.rint(np.concatenate([fields(15), rendered(spark, 85)])).astype(np.uint8).astype(np.float32)
+    edited = np.clip(np.rint(EDITS[edit](images)), 0, 255)
+    table = lambda x: spark.createDataFrame([(i, imagecopies.write_pgm(v)) for i, v in enumerate(x)], "image_id long, image binary")
+    got = {(r.query_id, r.match_id) for r in imagecopies.find_copies(table(images), table(edited)).collect()}
     who, place, bits = imagecopies.describe(images)
-    asked_who, asked_place, asked_bits = imagecopies.describe(EDITS[edit](images))
-    table = imagecopies.Queries([(i, asked_place[asked_who == i].tobytes(), asked_bits[asked_who == i].tobytes()) for i in range(len(images))])
-    wanted = set(zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(bits[:, None] ^ asked_bits[None]).sum(axis=-1) <= imagecopies.MOST_APART))))
-    assert len(wanted) > 50 and set(zip(*(x.tolist() for x in table.meet(bits)))) == wanted
-    parts = [pa.array([x[who == i].tobytes() for i in range(len(images))], pa.binary()) for x in (place, bits)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(images)), pa.int64()), *parts], ["id", "places", "bits"])
-    found = {(r["query_id"], r["match_id"]) for b in imagecopies._search(table)([batch]) for r in b.to_pylist()}
-    assert found == {(i, i) for i in range(len(images))}
-
-
-def test_screen_spares_only_what_does_not_agree():
-    draw = np.random.default_rng(13)
-    times = draw.integers(1, 70, 300)
-    first = np.cumsum(times) - times
-    a, b = (np.stack([draw.uniform(0, 96, n), draw.uniform(0, 96, n), draw.choice([1, 4 / 3, 16 / 9], n), draw.uniform(-np.pi, np.pi, n)], 1).astype(np.float32) for n in [times.sum()] * 2)
-    b[::3] = a[::3] + np.float32([5, -4, 0, 0])
-    kept = imagecopies._promising(a, b, first, times)
-    agree = np.array([imagecopies.agreeing(a[f : f + n], b[f : f + n]) >= imagecopies.LEAST_AGREEING for f, n in zip(first, times)])
-    assert 0 < agree.sum() < len(agree) and kept[agree].all() and not kept.all()
+    asked, asked_place, asked_bits = imagecopies.describe(edited)
+    of = lambda i: (place[who == i], bits[who == i])
+    wanted = {(q, i) for q in range(len(images)) for i in range(len(images)) if imagecopies.matches(asked_place[asked == q], asked_bits[asked == q], *of(i))[1] >= imagecopies.LEAST_AGREEING}
+    assert len({q for q, i in wanted if q == i}) >= 0.9 * len(images)
+    assert got <= wanted and len(got) >= 0.9 * len(wanted)
+
+
+def test_keys_of_near_descriptors_meet():
+    draw = np.random.default_rng(14)
+    a = draw.integers(0, 2**64, (2000, 4), dtype=np.uint64)
+    for apart, least in ((0, 1), (8, 0.95), (16, 0.7), (24, 0.38)):
+        flips = np.zeros((2000, 256), np.uint8)
+        for row in flips:
+            row[draw.choice(256, apart, replace=False)] = 1
+        b = a ^ np.packbits(flips, axis=1).view(np.uint64)
+        assert (imagecopies.keys_of(a) == imagecopies.keys_of(b)).any(axis=1).mean() >= least
+    assert not (imagecopies.keys_of(a)[:1000] == imagecopies.keys_of(a)[1000:]).any()
+
+
+def test_the_bitmap_only_spares_rows(spark):
+    bits = np.random.default_rng(15).integers(0, 2**64, (300, 4), dtype=np.uint64)
+    rows = spark.createDataFrame([(i, i, bits[i * 10 : i * 10 + 10].tobytes()) for i in range(30)], "id long, h1 long, bits binary")
+    asked = rows.where("id < 3").mapInArrow(imagecopies._deal(None), imagecopies._KEYS)
+    bitmap = imagecopies._bitmap(asked)
+    every = {tuple(r) for r in rows.mapInArrow(imagecopies._deal(None), imagecopies._KEYS).collect()}
+    left = {tuple(r) for r in rows.mapInArrow(imagecopies._deal(bitmap), imagecopies._KEYS).collect()}
+    assert len(every) == 300 * imagecopies.TABLES and {tuple(r) for r in asked.collect()} <= left <= every and len(left) < len(every) / 5
 
 
 def test_corners_grow_with_the_area_and_count_once_over_scales():
