@@ -570,19 +570,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if rest.take(1):  # buckets with few open pairs give those; in others members meet as sets
         still = scratch.table(sketched(rest).applyInArrow(_each_bucket(_open, ("sketch",), num, den), "bucket long, a long, b long"), "open")
         pairs = scratch.table(still.where("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(verify(pairs))
-        scratch.free()
-        comp, rest = residue(links)
+        more = verify(pairs)
         dense = rest.join(still.where("a = b").select("bucket", F.col("a").alias("node")).distinct(), ["bucket", "node"])
         dense = scratch.table(dense.join(sets.select("node", "n").distinct(), "node"), "dense")
         volume = dense.agg(F.sum("n")).first()[0]
         if volume:
             fed = _blocked(dense, "sum(n)", BLOCK_SHINGLES, max(shuffled, volume // BLOCK_SHINGLES)).join(sets.select("node", "features", "sketch"), "node")
             joining = fed.groupBy("chunk").applyInArrow(_each_bucket(_joining, ("features", "sketch"), num, den), "a long, b long")
-            more = scratch.table(joining.distinct(), "links")
+            more = more.union(scratch.table(joining.distinct(), "links"))
             scratch.free()
-            if more.take(1):
-                comp = scratch.table(components(links.union(more), scratch), "components")
+        if more.take(1):
+            comp = scratch.table(components(links.union(more), scratch), "components")
 
     scratch.drop(met, stars, sets)
     named = named.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))

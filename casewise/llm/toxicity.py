@@ -4,13 +4,16 @@ The kernel of two words sums over their common subsequences of two to four chara
 weighted by a decay to the power of the spans it takes up in both, so inserted characters
 lower the similarity but don't end it. Nystroem landmarks turn the kernel into a feature map
 of fixed size; a squared-hinge machine is fitted there by Newton steps. Labels belong to
-texts, the machine to words: a toxic text has some toxic word, a clean one has none, so
-the words that stand for toxic texts are chosen anew after each fit. A text's score is that
-of its worst word, calibrated by a logistic curve.
+texts, the machine to words: a toxic text has some toxic word, a clean one few or none, so
+the words that stand for toxic texts are chosen anew after each fit. They start from words, and
+from families of words with a common run of bytes (an insult with varying endings), that far
+more toxic than clean texts have; the families' runs are landmarks. A text's score is a logistic
+curve over its worst word and over how many of its words, and what share, are toxic.
 
 Words: runs of other than white space, lower-cased, less all but digits, letters and
 non-ASCII characters (``i-d.i*o-t`` is one word); three or more single characters in a row are
-one word too. A longer word is seen through overlapping windows.
+one word too. A word of over ``WINDOW`` bytes is seen through overlapping windows of that size, so a
+run that lies in one of them counts; a word of one byte has no subsequence and counts as clean.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ ORDERS = (2, 3, 4)
 WINDOW, STRIDE = 24, 12  # bytes
 LANDMARKS = 36
 SAMPLE = 1200  # labelled texts of each class that a model is fitted on, at most
-NEGATIVES = 12_000  # distinct words of clean texts among them, at most
+RUNS = range(4, 9)  # bytes of a family's common run
+FAMILIES = 20  # families, at most
 CACHE = 2_000_000  # words whose scores a Python worker keeps
-STRONG, SUPPORT = 4.0, 4  # standard errors, and toxic texts, from which a word may stand for a label
+STRONG, SUPPORT, TIMES = 4.0, 4, 5  # standard errors, toxic texts and times the share of clean texts from which a word or family stands for a label
 COST = 100.0
+WEIGHED = 0.01  # all toxic words together, of all clean words
 THRESHOLD = 0.7
 
 
@@ -141,16 +146,70 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float) -> tu
     return w[:-1], float(w[-1])
 
 
-def _curve(f: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve from f to the share of y."""
-    z, ab = np.column_stack([f, np.ones(len(f))]), np.zeros(2)
-    for _ in range(50):
+def _curve(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slopes of a logistic curve from the columns of z (the last is 1) to the share of y."""
+    ab, ridge = np.zeros(z.shape[1]), 1e-2 * np.eye(z.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ ab, -30, 30)))
-        step = np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + 1e-3 * np.eye(2), z.T @ (weight * (y - p)) - 1e-3 * ab)
+        step = np.linalg.solve((z.T * (weight * p * (1 - p))) @ z + ridge, z.T @ (weight * (y - p)) - ridge @ ab)
         ab = ab + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
-    return float(ab[0]), float(ab[1])
+    return ab
+
+
+def _strength(toxic, clean, n1: int, n0: int):
+    """How far texts with a mark tell the classes apart, in standard errors; 0 where support is too small."""
+    p1, p0 = (toxic + 0.1) / (n1 + 0.2), (clean + 0.1) / (n0 + 0.2)
+    return (p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) * ((p1 > TIMES * p0) & (toxic >= SUPPORT))
+
+
+def _runs_of(words: set[bytes], sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(distinct hashes, place and size of one occurrence, bytes) of the runs of ``sizes`` bytes in a text's words."""
+    raw, size = b"".join(words), np.array([len(w) for w in words], dtype=np.int64)
+    if not raw:
+        return np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64), raw
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(raw))  # bytes from here to the word's end
+    at = [np.flatnonzero(left >= n) for n in sizes]
+    first, long = np.concatenate(at), np.repeat(list(sizes), [len(x) for x in at])
+    key, one = np.unique(_hashes(np.frombuffer(raw, np.uint8), first, first + long), return_index=True)
+    return key, first[one], long[one], raw
+
+
+def _families(units: list[set[bytes]], toxic: np.ndarray) -> list[bytes]:
+    """Runs of bytes that tell toxic texts apart; each next one is chosen for the toxic texts that no earlier one is in."""
+    bad, good = ([u for u, label in zip(units, toxic) if label == k] for k in (1, 0))
+    found = np.empty(0, U64)
+    for n in RUNS:  # one size at a time, so that few are held
+        one, times = np.unique(np.concatenate([np.empty(0, U64), *(_runs_of(u, [n])[0] for u in bad)]), return_counts=True)
+        found = np.concatenate([found, one[times >= SUPPORT]])
+    found = np.sort(found)
+    if not len(found):
+        return []
+
+    def places(key):
+        at = np.minimum(np.searchsorted(found, key), len(found) - 1)
+        return at[found[at] == key]
+
+    clean = np.zeros(len(found))
+    for u in good:
+        clean[places(_runs_of(u, RUNS)[0])] += 1
+    which = [places(_runs_of(u, RUNS)[0]).astype(np.int32) for u in bad]
+    text, which = np.repeat(np.arange(len(which)), [len(x) for x in which]), np.concatenate(which)
+    rare = clean[which] < len(good) / TIMES
+    text, which = text[rare], which[rare]
+    left, out = np.ones(len(bad), dtype=bool), []
+    while len(out) < FAMILIES and left.sum() > SUPPORT:
+        strength = _strength(np.bincount(which[left[text]], minlength=len(found)).astype(float), clean, int(left.sum()), max(1, len(good)))
+        best = int(strength.argmax())
+        if strength[best] <= STRONG:
+            break
+        has = text[which == best]
+        key, first, long, raw = _runs_of(bad[has[0]], RUNS)
+        k = int(np.flatnonzero(key == found[best])[0])
+        out.append(raw[first[k] : first[k] + long[k]])
+        left[has] = False
+    return out
 
 
 def _altered(word: bytes) -> list[bytes]:
@@ -177,7 +236,7 @@ def _first_of_kind(units: list[set[bytes]], toxic: np.ndarray) -> np.ndarray:
 class Model:
     def __init__(self):
         self.keys, self.values = np.empty(0, U64), np.empty(0)
-        self.kernel, self.beta, self.bias, self.slope, self.offset = None, None, 0.0, 0.0, 0.0
+        self.kernel, self.beta, self.bias, self.curve = None, None, 0.0, np.zeros(4)
 
     def fit(self, texts: list[str], toxic: np.ndarray, population: tuple[int, int]) -> Model:
         """population: clean and toxic texts that the sample stands for."""
@@ -197,27 +256,27 @@ class Model:
         names = sorted(w for w in seen if len(w) >= min(ORDERS))
         if not names or len(set(toxic)) < 2:
             share = float(np.mean(toxic)) if len(toxic) else 0.0
-            self.offset = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+            self.curve = np.array([0, 0, 0, np.log((share + 1e-3) / (1 - share + 1e-3))])
             return self
         in_toxic, in_clean = (np.array([seen[w][k] for w in names], dtype=float) for k in (1, 0))
         n1, n0 = (toxic == 1).sum(), (toxic == 0).sum()
-        p1, p0 = (in_toxic + 0.1) / (n1 + 0.2), (in_clean + 0.1) / (n0 + 0.2)
-        odds = (p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0) * ((p1 > 10 * p0) & (in_toxic >= SUPPORT))
+        odds = _strength(in_toxic, in_clean, n1, n0)
         order = np.lexsort((names, -odds))
-        value = {names[i]: odds[i] for i in order}
-        marks = [names[i] for i in order[: LANDMARKS // 2] if odds[i] > STRONG] or [names[order[0]]]
+        families = _families(units, toxic)
+        kin = np.array([any(f in w for f in families) for w in names])
+        value = {names[i]: STRONG + 1 if kin[i] else odds[i] for i in order}
+        alone = [names[i] for i in order[: LANDMARKS // 2] if odds[i] > STRONG and not kin[i]]
+        marks = [*families, *alone][: LANDMARKS * 2 // 3] or [names[order[0]]]
         clean = sorted((w for w in names if seen[w][0]), key=lambda w: int(_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]))
-        near = Kernel(marks)
-        likeness = near.features(clean).max(axis=1)
-        hard = [clean[i] for i in np.lexsort((np.arange(len(clean)), -likeness))[: NEGATIVES // 2]]
-        negatives = list(dict.fromkeys([*hard, *clean]))[:NEGATIVES]
-        marks = list(dict.fromkeys([*marks, *hard[: LANDMARKS // 4], *clean]))[:LANDMARKS]
+        likeness = Kernel(marks).features(clean).max(axis=1)
+        hard = [clean[i] for i in np.lexsort((np.arange(len(clean)), -likeness))]
+        marks = list(dict.fromkeys([*marks, *hard[: LANDMARKS // 6], *clean]))[:LANDMARKS]
         self.kernel = Kernel(marks)
         gram = self.kernel.features(marks).astype(np.float64)
         e, v = np.linalg.eigh((gram + gram.T) / 2)
         root = v / np.sqrt(np.maximum(e, 1e-3)) @ v.T
 
-        x0 = self.kernel.features(negatives) @ root
+        x0 = self.kernel.features(clean) @ root
         every = sorted(set().union(*(u for u, label in zip(units, toxic) if label)) & value.keys())
         place = {w: i for i, w in enumerate(every)}
         x1 = self.kernel.features(every) @ root
@@ -237,23 +296,25 @@ class Model:
             x = np.concatenate([x0, x1[rows], self.kernel.features(altered) @ root])
             y = np.concatenate([-np.ones(len(x0)), np.ones(len(rows) + len(altered))])
             times = np.sqrt([chosen[r] for r in rows])
-            weight = np.concatenate([np.ones(len(x0)), times * (len(x0) / times.sum()), np.full(len(altered), len(x0) / (4 * max(1, len(altered))))])
+            total = len(x0) * WEIGHED
+            weight = np.concatenate([np.ones(len(x0)), times * (total / times.sum()), np.full(len(altered), total / (4 * max(1, len(altered))))])
             w, self.bias = _newton(x, y, weight, COST)
             worth = x1 @ w + self.bias
             self.beta = (root @ w).astype(np.float64)
         if self.beta is None:
             self.beta = np.zeros(len(marks))
-        f = self.worst(pa.array(texts, pa.string()))
+        z = self.evidence(pa.array(texts, pa.string()))
         weight = np.where(toxic == 1, population[1] / max(1, n1), population[0] / max(1, n0))
-        self.slope, self.offset = _curve(f, toxic.astype(float), weight / weight.mean())
+        self.curve = _curve(z, toxic.astype(float), weight / weight.mean())
         return self
 
-    def worst(self, column: pa.Array) -> np.ndarray:
-        """The highest word score of each text; -2 where it has no word."""
-        return np.concatenate([self._worst(data, offsets) for _, _, data, offsets in string_slices(column)]) if len(column) else np.empty(0)
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """Of each text: the highest word score (-2 where it has no word), how many toxic words, their share, 1."""
+        found = [self._evidence(data, offsets) for _, _, data, offsets in string_slices(column)]
+        return np.concatenate(found) if found else np.empty((0, 4))
 
-    def _worst(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        out = np.full(len(offsets) - 1, -2.0)
+    def _evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        out = np.tile([-2.0, 0.0, 0.0, 1.0], (len(offsets) - 1, 1))
         buf, start, end, text = word_units(data, offsets)
         on = end - start >= min(ORDERS)
         start, end, text = start[on], end[on], text[on]
@@ -274,11 +335,16 @@ class Model:
             keys = np.concatenate([self.keys, key[new]])
             order = np.argsort(keys)
             self.keys, self.values = keys[order], np.concatenate([self.values, values[new]])[order]
-        np.maximum.at(out, text, np.maximum(values[which], -2.0))
+        value = values[which]
+        np.maximum.at(out[:, 0], text, np.maximum(value, -2.0))
+        out[:, 0] = np.minimum(out[:, 0], 1.0)
+        bad, every = (np.bincount(t, minlength=len(out)) for t in (text[value > 0], text))
+        out[:, 1] = np.log1p(bad)
+        out[:, 2] = np.log1p(1000 * bad / np.maximum(every, 1))
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(column) + self.offset, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.evidence(column) @ self.curve, -30, 30)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
