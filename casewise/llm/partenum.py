@@ -42,13 +42,14 @@ from .textkernel import SPACED, U64, Words, mix, shingle_sets, string_slices
 
 FREQUENT = 0.002  # share of a slice's distinct sets from which a shingle counts as frequent
 PARTS, SPOILED = 3, 1  # n2, k2: parts in a group, and differences that a group's subsets bear
-SIGNATURES_PER_PART = 600_000
+SIGNATURES_PER_PART = 400_000
 SIGNATURES_PER_SHINGLE = 0.95  # about, over both roles
 BROADCAST_NODES = 500_000  # ids of 8 bytes that may be broadcast
+SLICE = 1 << 20  # bytes of text that are shingled together
 COUNTED = 1_500_000  # shingles that are counted together
 CHUNK_MEMBERS = 10_000  # of buckets that one call compares, about
 BLOCK_MEMBERS = 4096  # a bucket of more members is compared block by block
-BLOCK_SHINGLES = 1_000_000  # the same where whole sets are compared
+BLOCK_SHINGLES = 400_000  # the same where whole sets are compared
 
 
 class Bands:
@@ -156,7 +157,7 @@ def _member(e: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 def _slices(batches: Iterator[pa.RecordBatch], width: int):
     """(ids or None, hashes, bounds) of slices of (id, text) batches."""
     for batch in batches:
-        for a, b, data, offsets in string_slices(batch.column(1)):
+        for a, b, data, offsets in string_slices(batch.column(1), SLICE):
             yield batch.column(0).slice(a, b - a), *shingle_sets(Words(data, offsets, SPACED), width)
 
 
@@ -424,16 +425,15 @@ def _each_bucket(found, columns: tuple[str, ...], num: int, den: int):
     """``found`` over the members of each bucket of a chunk; of a bucket in blocks, members of blocks i and j meet."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        data = {c: table.column(c).to_numpy() for c in ("bucket", "i", "j", "node", "component", "n", "block")}
-        for c in columns:
-            data[c] = np.array(table.column(c).to_pylist() + [None], dtype=object)[:-1]
+        numbers = {c: table.column(c).to_numpy() for c in ("bucket", "i", "j", "node", "component", "n", "block")}
+        order = np.lexsort([numbers[c] for c in ("j", "i", "bucket")])
         new = np.ones(len(table), dtype=bool)
-        for c in ("bucket", "i", "j"):
-            new[1:] &= data[c][1:] == data[c][:-1]
-        new[1:] = ~new[1:]
-        at = np.append(np.flatnonzero(new), len(table)).tolist()
-        rows = [found({c: x[a:b] for c, x in data.items()}, data["i"][a] != data["j"][a], num, den) for a, b in zip(at[:-1], at[1:])]
+        new[1:] = np.logical_or.reduce([np.diff(numbers[c][order]) != 0 for c in ("bucket", "i", "j")])
+        rows = [np.empty((0, 2), np.int64)]
+        for at in np.split(order, np.flatnonzero(new)[1:]):  # sets of one bucket at a time
+            data = {c: x[at] for c, x in numbers.items()} | {c: table.column(c).take(pa.array(at)).to_pylist() for c in columns}
+            rows.append(found(data, data["i"][0] != data["j"][0], num, den))
+        rows = [x for x in rows if len(x)] or rows[1:] or rows
         rows = np.concatenate(rows)
         rows[:, -2:].sort(axis=1)
         rows = np.unique(rows, axis=0)
@@ -575,7 +575,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dense = scratch.table(dense.join(sets.select("node", "n").distinct(), "node"), "dense")
         volume = dense.agg(F.sum("n")).first()[0]
         if volume:
-            fed = _blocked(dense, "sum(n)", BLOCK_SHINGLES, max(shuffled, volume // BLOCK_SHINGLES)).join(sets.select("node", "features", "sketch"), "node")
+            fed = _blocked(dense, "sum(n)", BLOCK_SHINGLES, max(shuffled, volume // (2 * BLOCK_SHINGLES))).join(sets.select("node", "features", "sketch"), "node")
             joining = fed.groupBy("chunk").applyInArrow(_each_bucket(_joining, ("features", "sketch"), num, den), "a long, b long")
             more = more.union(scratch.table(joining.distinct(), "links"))
             scratch.free()
