@@ -82,13 +82,12 @@ def flag(x: Column) -> Column:
 
 
 def agreement(scores: Column) -> Column:
-    """Mean of the clipped block scores, lowered by their spread (population deviation, 1 at most)."""
-    held = F.transform(scores, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
-    n = F.size(scores)
+    """Mean of the clipped block scores, lowered by their spread (population deviation of the clipped, 1 at most); nulls don't count."""
+    held = F.transform(F.array_compact(scores), lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+    n = F.nullif(F.size(held), F.lit(0))
     mean = F.aggregate(held, F.lit(0.0), lambda s, x: s + x) / n
-    raw = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / n
-    spread = F.sqrt(F.aggregate(scores, F.lit(0.0), lambda s, x: s + (x - raw) * (x - raw)) / n)
-    return mean * (1 - F.least(spread, F.lit(1.0)))
+    spread = F.sqrt(F.aggregate(held, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
+    return F.coalesce(mean * (1 - F.least(spread, F.lit(1.0))), F.lit(0.0))
 
 
 def total(columns: list[Column]) -> Column:

@@ -1,6 +1,6 @@
 """Retrieval over embeddings, joined with part as the cases' attributes."""
 
-from pyspark.sql import Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.expr import cosine
@@ -52,45 +52,74 @@ def random_pair_stats(spark, sf_dir):
     return sims.agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.percentile("s", 0.95), 6).alias("p95"))
 
 
-CASE = "SELECT p_partkey AS id, p_brand AS vertical, p_type AS format, p_size AS campaign_id, p_retailprice - 1000 AS perf, p_retailprice AS spend, CASE p_size % 5 WHEN 0 THEN 'top_performer' WHEN 1 THEN 'fatigued' ELSE 'stable' END AS status FROM part"
-WIDE = f"""{SIMS},
+CASE = """SELECT p_partkey AS id, p_brand AS vertical, p_type AS format, p_size AS campaign_id, CASE WHEN p_size % 7 > 0 THEN p_retailprice - 1000 END AS perf, p_retailprice AS spend, p_size % 3 = 0 AS tired,
+  CASE WHEN p_size % 11 > 0 THEN p_retailprice / p_size END AS roas, p_size / 2.0::DOUBLE AS ipm, CASE WHEN p_size > 25 THEN p_size / 100.0::DOUBLE END AS ctr, CAST(NULL AS DOUBLE) AS cvr,
+  CASE p_size % 6 WHEN 0 THEN 'top_performer' WHEN 1 THEN 'fatigued' WHEN 2 THEN 'fatigue' WHEN 3 THEN 'stable' ELSE 'top_performer' END AS status FROM part"""
+SIDES = ", ".join(f"{p}.{c} AS {p}_{c}" for p in "qc" for c in "vertical format campaign_id perf spend tired roas ipm ctr cvr status".split())
+
+
+def candidates_sql(a: float, b: float, k: int = K, join: str = "a.vec_id <> b.vec_id", known: str = "count(*)", own: int = 1) -> str:
+    """Candidates under block weights, fetched as the index does: the query is one of those fetched."""
+    return f"""v AS (SELECT vec_id, label, list_slice(CAST(embedding AS DOUBLE[]), 1, 32) AS ea, list_slice(CAST(embedding AS DOUBLE[]), 33, 64) AS eb FROM embeddings),
 cs AS ({CASE}),
+sims AS (SELECT a.vec_id AS query_id, b.vec_id AS case_id, list_cosine_similarity(a.ea, b.ea) AS sa, list_cosine_similarity(a.eb, b.eb) AS sb FROM v a JOIN v b ON {join}),
+fetched AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round({a} * sa + {b} * sb, 12) DESC, case_id) AS nth FROM sims),
 cand AS (
-  SELECT k.query_id, k.case_id, round(0.6 * block_a + 0.4 * block_b, 9) AS similarity, block_a, block_b, q.vertical AS q_vertical, c.vertical AS c_vertical, q.format AS q_format, c.format AS c_format,
-    q.campaign_id AS q_campaign_id, c.campaign_id AS c_campaign_id, c.perf AS c_perf, c.spend AS c_spend, c.status AS c_status
-  FROM (SELECT k.*, round(list_cosine_similarity(a.ea, b.ea), 9) AS block_a, round(list_cosine_similarity(a.eb, b.eb), 9) AS block_b FROM knn k JOIN v a ON query_id = a.vec_id JOIN v b ON case_id = b.vec_id WHERE neighbor <= 100) k
-  LEFT JOIN cs q ON k.query_id = q.id LEFT JOIN cs c ON k.case_id = c.id),
-passed AS (
+  SELECT query_id, case_id, round({a} * round(sa, 9) + {b} * round(sb, 9), 9) AS similarity, round(sa, 9) AS block_a, round(sb, 9) AS block_b, {SIDES}
+  FROM fetched LEFT JOIN cs q ON query_id = q.id LEFT JOIN cs c ON case_id = c.id WHERE nth <= (SELECT least({known}, greatest({10 * k}, {k + 1}, 20)) - {own} FROM v))"""
+
+
+CHOSEN = """passed AS (
   SELECT *, (q_format IS NULL OR coalesce(q_format = c_format, false)) AND NOT coalesce(q_campaign_id = c_campaign_id, false) AND coalesce(c_spend >= 950, true) AS passes FROM cand),
 relaxing AS (SELECT *, NOT (sum(passes::INT) OVER (PARTITION BY query_id) >= 3) AS relaxed FROM passed),
-chosen AS (SELECT * EXCLUDE (passes) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS INT) AS neighbor FROM relaxing WHERE passes OR relaxed) WHERE neighbor <= 10),
-parts AS (
-  SELECT *, round((least(1, greatest(0, block_a)) + least(1, greatest(0, block_b))) / 2 * (1 - least(1, abs(block_a - block_b) / 2)), 6) AS agreement,
+chosen AS (SELECT * EXCLUDE (passes) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS INT) AS neighbor FROM relaxing WHERE passes OR relaxed) WHERE neighbor <= 10)"""
+PLACED = """parts AS (
+  SELECT *, round((least(1, greatest(0, block_a)) + least(1, greatest(0, block_b))) / 2 * (1 - least(1, abs(least(1, greatest(0, block_a)) - least(1, greatest(0, block_b))) / 2)), 6) AS agreement,
     round((coalesce(q_vertical = c_vertical, false)::INT + coalesce(q_format = c_format, false)::INT) / 2.0::DOUBLE, 6) AS context,
     round(least(1, greatest(0, 1 + 0.15 * coalesce(least(1, ln(1 + greatest(0, c_spend)) / 12), 0))), 6) AS quality FROM chosen),
 scored AS (SELECT *, round(least(1, greatest(-1, 0.70 * similarity + 0.15 * agreement + 0.10 * context + 0.05 * quality)), 6) AS final_score FROM parts),
 placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, case_id) AS INT) AS place FROM scored)"""
+WIDE = f"{candidates_sql(*BLOCKS.values())}, {CHOSEN}, {PLACED}"
+#: For evaluation: five neighbours, filters but no relaxation.
+STRICT = CHOSEN.replace("WHERE passes OR relaxed", "WHERE passes").replace("neighbor <= 10", "neighbor <= 5")
+
+
+def cases(spark, sf_dir):
+    """Embeddings with their blocks and the attributes of the part of the same number."""
+    size = F.col("p_size")
+    status = F.when(size % 6 == 0, "top_performer").when(size % 6 == 1, "fatigued").when(size % 6 == 2, "fatigue").when(size % 6 == 3, "stable").otherwise("top_performer")
+    case = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("vertical"), F.col("p_type").alias("format"), size.alias("campaign_id"),
+        F.when(size % 7 > 0, F.col("p_retailprice") - 1000).alias("perf"), F.col("p_retailprice").alias("spend"), (size % 3 == 0).alias("tired"),
+        F.when(size % 11 > 0, F.col("p_retailprice") / size).alias("roas"), (size / 2.0).alias("ipm"), F.when(size > 25, size / 100.0).alias("ctr"), F.lit(None).cast("double").alias("cvr"), status.alias("status"),
+    )
+    return vectors(spark, sf_dir).select("id", F.slice("vector", 1, 32).alias("a"), F.slice("vector", 33, 32).alias("b")).join(case, "id", "left")
+
+
+def fetched(spark, sf_dir, known, asked, k: int, weights: dict[str, float]):
+    """Candidates of each asked case by weighted similarity, with block similarities and both sides' attributes."""
+    vector = O.weighted_vector([(F.col("a"), weights["block_a"]), (F.col("b"), weights["block_b"])]).alias("vector")
+    same = known is asked
+    near = knn.nearest(known.select("id", vector), asked.select("id", vector), O.overfetch(known.count(), k) - same)
+    near = Scratch(spark, "retrieval").table(near.select("query_id", "case_id"))
+    side = lambda df, p, key: df.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "id"])
+    joined = near.join(side(asked, "q", "query_id"), "query_id").join(side(known, "c", "case_id"), "case_id")
+    joined = joined.withColumns({f"block_{x}": F.round(cosine(F.col(f"q_{x}"), F.col(f"c_{x}")), 9) for x in ("a", "b")}).drop("q_a", "q_b", "c_a", "c_b")
+    return joined.withColumn("similarity", F.round(sum(F.col(b) * w for b, w in weights.items()), 9))
 
 
-def wide(spark, sf_dir):
-    """Candidates of each embedding, with both blocks' similarities and cases' attributes."""
-    scratch = Scratch(spark, "retrieval")
-    v = vectors(spark, sf_dir)
-    near = scratch.table(knn.nearest(v, v, O.overfetch(10**9, K)).select("query_id", "case_id"))
-    part = read(spark, sf_dir, "part")
-    status = F.when(F.pmod("p_size", F.lit(5)) == 0, "top_performer").when(F.pmod("p_size", F.lit(5)) == 1, "fatigued").otherwise("stable")
-    case = part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("vertical"), F.col("p_type").alias("format"), F.col("p_size").alias("campaign_id"), (F.col("p_retailprice") - 1000).alias("perf"), F.col("p_retailprice").alias("spend"), status.alias("status"))
-    full = v.select("id", F.slice("vector", 1, 32).alias("a"), F.slice("vector", 33, 32).alias("b")).join(case, "id", "left")
-    side = lambda p, key: full.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in full.columns if c != "id"])
-    joined = near.join(side("q", "query_id"), "query_id").join(side("c", "case_id"), "case_id")
-    joined = joined.withColumns({f"block_{x}": F.round(cosine(F.col(f"q_{x}"), F.col(f"c_{x}")), 9) for x in ("a", "b")}).drop("q_a", "q_b", "c_a", "c_b")
-    return joined.withColumn("similarity", F.round(sum(F.col(b) * w for b, w in BLOCKS.items()), 9))
+def wide(spark, sf_dir, k: int = K, weights: dict[str, float] = BLOCKS):
+    every = cases(spark, sf_dir)
+    return fetched(spark, sf_dir, every, every, k, weights)
+
+
+def condition():
+    return O.passes(same=("format",), other=("campaign_id",), at_least={("spend",): 950})
 
 
 def chosen(spark, sf_dir):
     """Filtered and relaxed neighbours."""
-    condition = O.passes(same=("format",), other=("campaign_id",), at_least={("spend",): 950})
-    return Scratch(spark, "chosen").table(O.filtered(wide(spark, sf_dir), condition, K))
+    return Scratch(spark, "chosen").table(O.filtered(wide(spark, sf_dir), condition(), K))
 
 
 @query(f"WITH {WIDE} SELECT query_id, case_id, neighbor, round(similarity, 6) AS similarity, relaxed FROM chosen")
@@ -107,20 +136,21 @@ def retrieval_scored(spark, sf_dir):
     return scored(spark, sf_dir).select("query_id", "case_id", "place", "agreement", "context", "quality", "final_score")
 
 
-@query(f"""WITH {WIDE} SELECT query_id, case_id, concat_ws(',', CASE WHEN block_a >= 0.75 THEN 'HIGH_BLOCK_A_SIMILARITY' END, CASE WHEN block_b >= 0.75 THEN 'HIGH_BLOCK_B_SIMILARITY' END, CASE WHEN q_vertical = c_vertical THEN 'SAME_VERTICAL' END,
+@query(f"""WITH {WIDE} SELECT query_id, case_id, concat_ws(',', CASE WHEN block_a >= 0.75 THEN 'HIGH_CLIP_SIMILARITY' END, CASE WHEN block_b >= 0.75 THEN 'HIGH_CNN_SIMILARITY' END, CASE WHEN q_vertical = c_vertical THEN 'SAME_VERTICAL' END,
   CASE WHEN q_format = c_format THEN 'SAME_FORMAT' END, CASE WHEN quality < 0.45 THEN 'LOW_DATA_QUALITY' END, CASE WHEN agreement < 0.35 THEN 'LOW_BLOCK_AGREEMENT' END, CASE WHEN q_campaign_id = c_campaign_id THEN 'POSSIBLE_CAMPAIGN_DUPLICATE' END) AS reasons FROM placed""")
 def reason_codes(spark, sf_dir):
-    return scored(spark, sf_dir).select("query_id", "case_id", F.array_join(O.reasons(), ",").alias("reasons"))
+    return scored(spark, sf_dir).select("query_id", "case_id", F.array_join(O.reasons({"clip": "block_a", "cnn": "block_b"}), ",").alias("reasons"))
 
 
 REUSE = f"""{WIDE},
-summed AS (
-  SELECT query_id, count(*) AS neighbors, round(avg(similarity), 6) AS mean_similarity, round(max(similarity), 6) AS max_similarity, round(avg(agreement), 8) AS mean_agreement,
-    round(sum(CASE WHEN c_status = 'top_performer' THEN greatest(final_score, 0) ELSE 0 END) / nullif(sum(greatest(final_score, 0)), 0), 6) AS top_share,
-    round(sum(CASE WHEN c_status = 'fatigued' THEN greatest(final_score, 0) ELSE 0 END) / nullif(sum(greatest(final_score, 0)), 0), 6) AS fatigued_share,
-    round(CASE WHEN sum(CASE WHEN c_perf IS NOT NULL THEN greatest(final_score, 0) END) > 0 THEN sum(c_perf * greatest(final_score, 0)) / sum(CASE WHEN c_perf IS NOT NULL THEN greatest(final_score, 0) END) ELSE avg(c_perf) END, 6) AS weighted_perf,
-    round(median(c_perf), 6) AS median_perf, round(stddev_pop(c_perf), 6) AS perf_spread FROM placed GROUP BY query_id),
-reuse AS (SELECT *, round(least(1, greatest(0, 0.35 * least(1, neighbors / 10) + 0.35 * mean_similarity + 0.25 * mean_agreement - coalesce(least(0.35, perf_spread / (abs(weighted_perf) + 1e-6) * 0.1), 0))) + 1e-9, 6) AS confidence FROM summed)"""
+reuse AS (
+  SELECT query_id, count(*) AS neighbors, round(avg(similarity), 6) AS avg_similarity, round(avg(final_score) + 1e-9, 6) AS avg_final_score, round(median(c_perf), 6) AS median_perf, round(avg(c_perf), 6) AS mean_perf,
+    round(median(c_roas), 6) AS median_roas, round(median(c_ipm), 6) AS median_ipm, round(median(c_ctr), 6) AS median_ctr, round(median(c_cvr), 6) AS median_cvr,
+    round(avg(coalesce(c_status = 'top_performer', false)::INT), 6) AS top_ratio, round(avg(coalesce(c_status IN ('fatigued', 'fatigue'), false)::INT), 6) AS fatigued_ratio, round(avg(coalesce(c_status = 'stable', false)::INT), 6) AS stable_ratio,
+    {", ".join(f"round(CASE WHEN sum(w) FILTER (c_{c} IS NOT NULL) > 0 THEN sum(c_{c} * w) / sum(w) FILTER (c_{c} IS NOT NULL) ELSE avg(c_{c}) END, 6) AS weighted_{c}" for c in ("perf", "roas", "ipm"))},
+    round(least(1, greatest(0, 0.35 * least(1, count(*) / 10) + 0.35 * least(1, greatest(0, avg(similarity))) + 0.25 * avg(agreement)
+      - CASE WHEN count(c_perf) = 0 THEN 0.1 ELSE least(0.35, CASE WHEN count(c_perf) > 1 THEN stddev_pop(c_perf) ELSE 0 END / (abs(avg(c_perf)) + 1e-6) * 0.1) END)) + 1e-9, 6) AS confidence
+  FROM (SELECT *, greatest(final_score, 0) AS w FROM placed) GROUP BY query_id)"""
 
 
 @query(f"WITH {REUSE} SELECT * FROM reuse")
@@ -128,8 +158,8 @@ def reuse_summary(spark, sf_dir):
     return O.reuse_summary(scored(spark, sf_dir))
 
 
-@query(f"""WITH {REUSE} SELECT query_id, CASE WHEN neighbors < 3 OR confidence < 0.35 THEN 'INVESTIGATE' WHEN top_share >= 0.55 AND weighted_perf >= 0 AND fatigued_share <= 0.35 AND confidence >= 0.55 THEN 'SCALE'
-  WHEN fatigued_share >= 0.55 AND weighted_perf <= 0 AND confidence >= 0.5 THEN 'PAUSE' WHEN top_share < 0.45 AND confidence >= 0.45 THEN 'PIVOT' ELSE 'INVESTIGATE' END AS action FROM reuse""")
+@query(f"""WITH {REUSE} SELECT query_id, CASE WHEN neighbors < 3 OR confidence < 0.35 THEN 'INVESTIGATE' WHEN top_ratio >= 0.55 AND coalesce(weighted_perf, 0) >= 0 AND fatigued_ratio <= 0.35 AND confidence >= 0.55 THEN 'SCALE'
+  WHEN fatigued_ratio >= 0.55 AND coalesce(weighted_perf, 0) <= 0 AND confidence >= 0.5 THEN 'PAUSE' WHEN top_ratio < 0.45 AND confidence >= 0.45 THEN 'PIVOT' ELSE 'INVESTIGATE' END AS action FROM reuse""")
 def recommend_action(spark, sf_dir):
     return O.reuse_summary(scored(spark, sf_dir)).select("query_id", O.recommended_action().alias("action"))
 
@@ -140,57 +170,97 @@ def repetition_features(spark, sf_dir):
     return O.repetition_features(chosen(spark, sf_dir), ("vertical", "format"), 0.3)
 
 
-METRICS = f"""{SIMS},
-top AS (SELECT k.query_id, k.case_id, k.neighbor, k.similarity, a.label AS ql, b.label AS cl, (b.label + 1)::DOUBLE AS rel FROM knn k JOIN v a ON k.query_id = a.vec_id JOIN v b ON k.case_id = b.vec_id WHERE neighbor <= 5),
-best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, case_id) AS bp FROM top),
-q AS (SELECT query_id, avg((ql = cl)::INT) AS same, max((ql = cl)::INT) AS hit, sum(rel / log2(neighbor + 1)) / nullif(sum(rel / log2(bp + 1)), 0) AS ndcg FROM best GROUP BY query_id)"""
+def evaluated_sql(a: float, b: float) -> str:
+    return f"""{candidates_sql(a, b, 5)}, {STRICT}, {PLACED},
+judged AS (
+  SELECT query_id, max(q_perf) AS actual, round(avg(same), 6) AS label_consistency, round(max((coalesce(q_status = 'top_performer', false) AND coalesce(c_status = 'top_performer', false))::INT), 6) AS hit_top_performer,
+    round(CASE WHEN sum(same) > 0 THEN sum(same / log2(place + 1)) / list_sum(list_transform(range(1, CAST(sum(same) AS INT) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg,
+    round(avg((q_tired IS NOT DISTINCT FROM c_tired)::INT), 6) AS fatigue_consistency, max((query_id = case_id)::INT) AS self_found,
+    round(CASE WHEN sum(w) > 0 AND count(c_perf) > 0 THEN (sum(coalesce(c_perf * w, 0)) + coalesce(sum(w) FILTER (c_perf IS NULL), 0) * avg(c_perf)) / sum(w) ELSE avg(c_perf) END, 6) AS predicted
+  FROM (SELECT *, coalesce(q_status = c_status, false)::INT AS same, greatest(final_score, 0) AS w FROM placed WHERE q_perf IS NOT NULL) GROUP BY query_id)"""
 
 
-def labelled(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    labels = v.select("id", "label")
-    out = knn.nearest(v, v, 5)
-    out = out.join(labels.select(F.col("id").alias("query_id"), F.col("label").alias("q_label")), "query_id").join(labels.select(F.col("id").alias("case_id"), F.col("label").alias("c_label")), "case_id")
-    return out.withColumns({"c_relevance": (F.col("c_label") + 1).cast("double"), "c_perf": F.col("c_label").cast("double")})
+def evaluated(spark, sf_dir, weights: dict[str, float] = BLOCKS):
+    """Each query with a known outcome judged by its five strict neighbours."""
+    strict = O.filtered(wide(spark, sf_dir, 5, weights).where("q_perf IS NOT NULL"), condition(), 5, relax=False)
+    return Scratch(spark, "evaluated").table(O.query_metrics(O.rescored(strict, list(weights), ("vertical", "format"), ("spend",))))
+
 
+@query(f"WITH {evaluated_sql(*BLOCKS.values())} SELECT * FROM judged")
+def evaluation_rows(spark, sf_dir):
+    return evaluated(spark, sf_dir)
 
-@query(f"WITH {METRICS} SELECT count(*) AS queries, round(avg(same), 6) AS label_consistency, round(avg(hit), 6) AS hit_rate, round(avg(coalesce(ndcg, 0)), 6) AS ndcg FROM q")
+
+@query(f"""WITH {evaluated_sql(*BLOCKS.values())} SELECT count(*) AS queries, round(avg(label_consistency), 6) AS label_consistency, round(avg(hit_top_performer), 6) AS hit_rate_top_performer, round(avg(fatigue_consistency), 6) AS fatigue_consistency,
+  round(avg(ndcg), 6) AS ndcg, sum(self_found) AS self_neighbor_violations FROM judged""")
 def retrieval_metrics(spark, sf_dir):
-    return O.outcome_metrics(labelled(spark, sf_dir), 5)
+    rows = evaluated(spark, sf_dir)
+    means = {"label_consistency": "label_consistency", "hit_top_performer": "hit_rate_top_performer", "fatigue_consistency": "fatigue_consistency", "ndcg": "ndcg"}
+    return rows.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 6).alias(name) for c, name in means.items()], F.sum("self_found").alias("self_neighbor_violations"))
+
+
+PEARSON = "round(CASE WHEN count(*) FILTER (actual IS NOT NULL AND predicted IS NOT NULL) >= 3 AND count(DISTINCT actual) FILTER (predicted IS NOT NULL) > 1 AND count(DISTINCT predicted) FILTER (actual IS NOT NULL) > 1 THEN corr(actual, predicted) END, 6) AS pearson"
 
 
-@query(f"WITH {METRICS}, p AS (SELECT query_id, ql, round(CASE WHEN sum(greatest(similarity, 0)) > 0 THEN sum(cl * greatest(similarity, 0)) / sum(greatest(similarity, 0)) ELSE avg(cl) END, 6) AS predicted FROM top GROUP BY ALL) SELECT count(*) AS n, round(corr(ql, predicted), 6) AS pearson FROM p")
+@query(f"WITH {evaluated_sql(*BLOCKS.values())} SELECT count(*) AS n, {PEARSON} FROM judged")
 def outcome_correlation(spark, sf_dir):
-    rows = labelled(spark, sf_dir)
-    actual = rows.select("query_id", "q_label").distinct()
-    return O.predicted_outcomes(rows).join(actual, "query_id").agg(F.count("*").alias("n"), F.round(F.corr("q_label", "predicted"), 6).alias("pearson"))
+    return evaluated(spark, sf_dir).agg(F.count("*").alias("n"), O.guarded_correlation("actual", "predicted").alias("pearson"))
 
 
-TEMPORAL = SIMS.replace("JOIN v b ON a.vec_id <> b.vec_id", "JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id >= (SELECT greatest(3, floor(0.8 * count(*))) FROM v) AND b.vec_id < (SELECT greatest(3, floor(0.8 * count(*))) FROM v)")
+CUT = "greatest(3, floor(0.8 * count(*)))"
+NEWER = candidates_sql(*BLOCKS.values(), 5, f"a.vec_id >= (SELECT {CUT} FROM v) AND b.vec_id < (SELECT {CUT} FROM v)", CUT, 0)
+BY_ROW = f"""{NEWER},
+by_row AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS INT) AS neighbor FROM cand WHERE coalesce(c_spend >= 950, true))"""
 
 
-@query(f"WITH {TEMPORAL} SELECT query_id, case_id, neighbor FROM knn WHERE neighbor <= 5")
+def by_row(spark, sf_dir):
+    """New cases against the older ones: filters that need the query's own row in the index don't apply, the similarity is the final score."""
+    every = cases(spark, sf_dir)
+    cut = max(3, int(0.8 * every.count()))
+    near = fetched(spark, sf_dir, every.where(F.col("id") < cut), every.where(F.col("id") >= cut), 5, BLOCKS)
+    return O.filtered(near, O.passes(at_least={("spend",): 950}), 5, relax=False).withColumn("final_score", F.col("similarity"))
+
+
+@query(f"WITH {BY_ROW} SELECT query_id, case_id, neighbor, round(similarity, 6) AS final_score FROM by_row WHERE neighbor <= 5")
+def retrieval_by_row(spark, sf_dir):
+    return by_row(spark, sf_dir).select("query_id", "case_id", "neighbor", F.round("final_score", 6).alias("final_score"))
+
+
+@query(f"""WITH {BY_ROW}, judged AS (
+  SELECT query_id, max(q_perf) AS actual, round(CASE WHEN sum(w) > 0 AND count(c_perf) > 0 THEN (sum(coalesce(c_perf * w, 0)) + coalesce(sum(w) FILTER (c_perf IS NULL), 0) * avg(c_perf)) / sum(w) ELSE avg(c_perf) END, 6) AS predicted
+  FROM (SELECT *, greatest(similarity, 0) AS w FROM by_row WHERE neighbor <= 5 AND q_perf IS NOT NULL) GROUP BY query_id) SELECT count(*) AS n, {PEARSON} FROM judged""")
+def temporal_generalization(spark, sf_dir):
+    rows = O.query_metrics(by_row(spark, sf_dir).where("q_perf IS NOT NULL").withColumn("place", F.col("neighbor")))
+    return rows.agg(F.count("*").alias("n"), O.guarded_correlation("actual", "predicted").alias("pearson"))
+
+
+@query(f"WITH {NEWER} SELECT query_id, case_id, neighbor FROM (SELECT query_id, case_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS INT) AS neighbor FROM cand) WHERE neighbor <= 5")
 def temporal_split_eval(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    cut = max(3, int(0.8 * v.count()))
-    return knn.nearest(v.where(F.col("id") < cut), v.where(F.col("id") >= cut), 5).select("query_id", "case_id", "neighbor")
+    every = cases(spark, sf_dir)
+    cut = max(3, int(0.8 * every.count()))
+    near = fetched(spark, sf_dir, every.where(F.col("id") < cut), every.where(F.col("id") >= cut), 5, BLOCKS)
+    return O.filtered(near, F.lit(True), 5, relax=False).select("query_id", "case_id", "neighbor")
 
 
-WEIGHTS = [(0.6, 0.4), (0.5, 0.5), (0.8, 0.2), (0.2, 0.8)]
+TRIALS, TRIAL_SEED = 3, 42
 
 
-@query(" UNION ALL ".join(f"SELECT * FROM (WITH {SIMS}, s AS (SELECT k.query_id, k.case_id, a.label AS ql, b.label AS cl, round({a} * round(list_cosine_similarity(a.ea, b.ea), 9) + {b} * round(list_cosine_similarity(a.eb, b.eb), 9), 9) AS w FROM knn k JOIN v a ON query_id = a.vec_id JOIN v b ON case_id = b.vec_id WHERE neighbor <= 50), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, case_id) AS n FROM s) SELECT CAST({a} AS DOUBLE) AS weight_a, CAST({b} AS DOUBLE) AS weight_b, round(avg((ql = cl)::INT), 6) AS objective FROM r WHERE n <= 5)" for a, b in WEIGHTS))
+def trial_weights() -> list[dict[str, float]]:
+    """Block weights of each trial: Dirichlet draws, so each sums to 1."""
+    draws = np.random.default_rng(TRIAL_SEED).dirichlet(np.ones(len(BLOCKS)), TRIALS)
+    return [dict(zip(BLOCKS, (round(float(w), 6) for w in d))) for d in draws]
+
+
+@query("SELECT *, row_number() OVER (ORDER BY score DESC, trial) = 1 AS best FROM (" + " UNION ALL ".join(
+    f"SELECT * FROM (WITH {evaluated_sql(*w.values())} SELECT {t} AS trial, {w['block_a']}::DOUBLE AS weight_a, {w['block_b']}::DOUBLE AS weight_b, round(avg(ndcg), 6) AS score FROM judged)" for t, w in enumerate(trial_weights())) + ")")
 def weight_search(spark, sf_dir):
-    """Block similarities are computed once; every trial only weighs them anew."""
-    v = vectors(spark, sf_dir)
-    near = knn.nearest(v, v, 50).select("query_id", "case_id")
-    side = lambda p, key: v.select(F.col("id").alias(key), F.col("label").alias(f"{p}l"), F.slice("vector", 1, 32).alias(f"{p}a"), F.slice("vector", 33, 32).alias(f"{p}b"))
-    sims = near.join(side("q", "query_id"), "query_id").join(side("c", "case_id"), "case_id")
-    sims = sims.select("query_id", "case_id", (F.col("ql") == F.col("cl")).cast("double").alias("same"), *[F.round(cosine(F.col(f"q{x}"), F.col(f"c{x}")), 9).alias(x) for x in ("a", "b")])
-    trials = F.explode(F.array(*[F.struct(F.lit(a).alias("weight_a"), F.lit(b).alias("weight_b")) for a, b in WEIGHTS]))
-    all_trials = sims.withColumn("trial", trials).select("*", "trial.*").withColumn("w", F.round(F.col("weight_a") * F.col("a") + F.col("weight_b") * F.col("b"), 9))
-    order = Window.partitionBy("weight_a", "weight_b", "query_id").orderBy(F.desc("w"), F.asc("case_id"))
-    return all_trials.withColumn("n", F.row_number().over(order)).where("n <= 5").groupBy("weight_a", "weight_b").agg(F.round(F.avg("same"), 6).alias("objective"))
+    """Each trial retrieves and evaluates anew under its weights; the first best one wins."""
+    out = None
+    for trial, w in enumerate(trial_weights()):
+        one = evaluated(spark, sf_dir, w).agg(F.round(F.avg("ndcg"), 6).alias("score")).select(F.lit(trial).alias("trial"), F.lit(w["block_a"]).alias("weight_a"), F.lit(w["block_b"]).alias("weight_b"), "score")
+        out = one if out is None else out.union(one)
+    first = out.agg(F.min(F.struct((-F.col("score")).alias("s"), "trial"))["trial"].alias("first"))  # one row
+    return out.crossJoin(first).select("trial", "weight_a", "weight_b", "score", (F.col("trial") == F.col("first")).alias("best"))
 
 
 @query(f"""WITH {WIDE}, s1 AS (SELECT * EXCLUDE (enough, ok) FROM (SELECT *, coalesce(q_vertical = c_vertical, false) AS ok, sum(coalesce(q_vertical = c_vertical, false)::INT) OVER (PARTITION BY query_id) >= 3 AS enough FROM cand) WHERE ok OR NOT enough),
@@ -204,3 +274,17 @@ def retrieval_stepwise(spark, sf_dir):
 SELECT *, CASE WHEN block_a >= block_b THEN 'block_a,block_b' ELSE 'block_b,block_a' END AS drivers FROM m""")
 def retrieval_explained(spark, sf_dir):
     return O.explanations(chosen(spark, sf_dir), list(BLOCKS)).drop("evidence")
+
+
+PATTERNS = f"""WITH {WIDE}, h AS (SELECT *, coalesce(c_status = 'top_performer', false) AS high FROM placed), f AS (SELECT * FROM h WHERE query_id IN (SELECT query_id FROM h WHERE high)),
+long AS (SELECT query_id, high, 'vertical' AS feature, coalesce(c_vertical, 'None') AS value FROM f UNION ALL SELECT query_id, high, 'format', coalesce(c_format, 'None') FROM f),
+tops AS (SELECT query_id, feature, high, value, n, row_number() OVER (PARTITION BY query_id, feature, high ORDER BY n DESC, value) AS nth FROM (SELECT query_id, feature, high, value, count(*) AS n FROM long GROUP BY ALL)),
+shown AS (SELECT query_id, feature, coalesce(string_agg(value || ':' || n, ',' ORDER BY nth) FILTER (high AND nth <= 3), '') AS top_high, coalesce(string_agg(value || ':' || n, ',' ORDER BY nth) FILTER (NOT high AND nth <= 3), '') AS top_other FROM tops GROUP BY ALL)
+SELECT *, CAST(NULL AS DOUBLE) AS high_mean, CAST(NULL AS DOUBLE) AS other_mean FROM shown
+UNION ALL SELECT query_id, 'perf', NULL, NULL, round(avg(c_perf) FILTER (high), 6), round(avg(c_perf) FILTER (NOT high), 6) FROM f GROUP BY query_id
+UNION ALL SELECT query_id, 'roas', NULL, NULL, round(avg(c_roas) FILTER (high), 6), round(avg(c_roas) FILTER (NOT high), 6) FROM f GROUP BY query_id"""
+
+
+@query(PATTERNS)
+def retrieval_patterns(spark, sf_dir):
+    return O.patterns(scored(spark, sf_dir), ("vertical", "format"), ("perf", "roas"))
