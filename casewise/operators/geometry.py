@@ -60,7 +60,7 @@ def hsv(r: Column, g: Column, b: Column) -> Column:
 
 
 #: Upper bounds of hues in degrees, in order.
-HUES = ((15, "red"), (40, "orange"), (70, "yellow"), (160, "green"), (195, "cyan"), (255, "blue"), (290, "purple"), (345, "pink"))
+HUES = ((15, "red"), (40, "orange"), (70, "yellow"), (160, "green"), (195, "teal"), (255, "blue"), (290, "purple"), (345, "pink"))
 
 
 def color_name(r: Column, g: Column, b: Column) -> Column:
@@ -79,12 +79,28 @@ def zone_counts(boxes: Column) -> dict[str, Column]:
     return {"top": count(-1, 1 / 3), "middle": count(1 / 3, 2 / 3), "bottom": count(2 / 3, 9)}
 
 
-def layout_pattern(boxes: Column) -> Column:
-    """top_heavy, bottom_heavy, centered or split, by where the boxes' area lies; empty without boxes."""
-    total = F.aggregate(boxes, F.lit(0.0), lambda s, x: s + area(x))
-    share = lambda keep: F.aggregate(F.filter(boxes, keep), F.lit(0.0), lambda s, x: s + area(x)) / F.nullif(total, F.lit(0.0))
-    mid = lambda x: (x[1] + x[3]) / 2
-    return F.when(F.coalesce(total, F.lit(0.0)) <= 0, "empty").when(share(lambda x: mid(x) < 1 / 3) >= 0.6, "top_heavy").when(share(lambda x: mid(x) >= 2 / 3) >= 0.6, "bottom_heavy").when(share(lambda x: (mid(x) >= 1 / 3) & (mid(x) < 2 / 3)) >= 0.6, "centered").otherwise("split")
+def layout_template(elements: Column) -> dict[str, Column]:
+    """How an image's elements are laid out; an element: struct(shape, area, x, y, vertices), areas and centres as shares.
+
+    Elements under .0025 of the area are no cards; round ones among them are pagination dots.
+    Cards in two or more rows (centres in the same twentieth of the height) of two or more are
+    a grid, cards within .08 of the height a row; a large circle near a large card is a hero.
+    """
+    cards = F.filter(elements, lambda e: e["area"] >= 0.0025)
+    dots = F.size(F.filter(elements, lambda e: (e["area"] < 0.0025) & (e["shape"] == "circle")))
+    n = F.size(cards)
+    level = F.transform(cards, lambda e: F.floor(e["y"] * 20))
+    rows = F.filter(F.transform(F.array_distinct(level), lambda b: F.size(F.filter(level, lambda x: x == b))), lambda k: k >= 2)
+    grid = (n >= 4) & (F.size(rows) >= 2)
+    ys = F.transform(cards, lambda e: e["y"])
+    row = (n >= 2) & (F.array_max(ys) - F.array_min(ys) < 0.08)
+    large = F.filter(cards, lambda e: e["area"] > 0.02)
+    near = lambda a, b: (F.abs(a["x"] - b["x"]) < 0.3) & (F.abs(a["y"] - b["y"]) < 0.2)
+    hero = F.exists(large, lambda c: (c["shape"] == "circle") & F.exists(large, lambda r: r["shape"].contains("card") & near(c, r)))
+    template = F.when(grid, F.concat(F.lit("grid_"), F.size(rows).cast("string"), F.lit("x"), F.array_max(rows).cast("string"))).when(row & (n >= 3), "carousel_3").when(row & (n == 2), "dual_product")
+    template = template.when(hero, "hero_shapes").when(n == 1, "single_product").when(n == 0, "minimal").otherwise(F.concat(F.lit("multi_product_"), n.cast("string")))
+    arrow = F.exists(elements, lambda e: (e["x"] > 0.8) & (e["area"] > 0.002) & (e["area"] < 0.03) & (F.coalesce(e["vertices"], F.lit(0)) <= 5) & e["shape"].isin("shape", "card_portrait"))
+    return {"layout_template": template, "product_card_count": n, "pagination_dot_count": dots, "has_pagination_dots": dots >= 2, "has_grid_layout": grid, "has_carousel_indicator": arrow}
 
 
 def whitespace_balance(used: Column) -> Column:

@@ -27,16 +27,38 @@ def tired_scores(cases: DataFrame) -> DataFrame:
     return out.withColumn("tired_score", F.round(score, 6)).drop("_ctr", "_cvr")
 
 
-def with_percent(df: DataFrame, col: str, name: str) -> DataFrame:
-    """Add the average-tie percent rank of a column, to 6 places."""
-    return with_ranks(df, Rank(col, percent="_pct")).withColumn(name, F.round("_pct", 6)).drop("_pct")
+def repetition(neighbors: DataFrame, metadata: tuple[str, ...], near: float = 0.80) -> DataFrame:
+    """For each case: how alike its neighbours (q_ and c_ columns, numbered by likeness) are.
 
+    Mean similarity of the first 5 and 10, the greatest, how many reach ``near``, the mean
+    share of equal metadata (two missing values are equal) and of fatigued ones among the first 10.
+    """
+    first = lambda n, x: F.avg(F.when(F.col("neighbor") <= n, x))
+    share = sum((first(10, F.col(f"q_{c}").eqNullSafe(F.col(f"c_{c}")).cast("double")) for c in metadata), F.lit(0.0)) / max(1, len(metadata))
+    return neighbors.groupBy("query_id").agg(
+        F.count("*").alias("similar_cases"),
+        F.round(first(5, F.col("similarity")), 4).alias("avg_top5_similarity"),
+        F.round(first(10, F.col("similarity")), 4).alias("avg_top10_similarity"),
+        F.round(F.max("similarity"), 4).alias("max_similarity"),
+        F.count(F.when(F.col("similarity") >= near, 1)).alias("dense_neighbors"),
+        F.round(share, 4).alias("same_metadata_ratio"),
+        F.round(first(10, F.coalesce(F.col("c_status") == "fatigued", F.lit(False)).cast("double")), 4).alias("fatigued_neighbor_ratio"),
+    )
+
+
+REPETITION = ("similar_cases", "avg_top5_similarity", "avg_top10_similarity", "max_similarity", "dense_neighbors", "same_metadata_ratio", "fatigued_neighbor_ratio")
 
-def repetition_scores(features: DataFrame) -> DataFrame:
-    """Half the percent rank of the mean similarity, a quarter each the metadata share and the percent rank of the dense count."""
-    out = with_ranks(features.withColumn("_mean", F.round("mean_similarity", 4)), Rank("_mean", percent="_mean_pct"), Rank("dense", percent="_dense_pct"))
-    score = 0.50 * F.col("_mean_pct") + 0.25 * F.col("metadata_share") + 0.25 * F.col("_dense_pct")
-    return out.withColumn("repetition_score", F.round(score, 6)).drop("_mean", "_mean_pct", "_dense_pct")
+
+def repetition_scores(cases: DataFrame, features: DataFrame, id_col: str) -> DataFrame:
+    """Add repetition features, 0 for cases without neighbours, and repetition_score.
+
+    The score is half the percent rank of the mean similarity of the first ten, a quarter each
+    the metadata share and the percent rank of the near neighbours' number.
+    """
+    out = cases.join(features.withColumnRenamed("query_id", id_col), id_col, "left").na.fill(0, list(REPETITION))
+    out = with_ranks(Scratch(cases.sparkSession, "repetition").table(out), Rank("avg_top10_similarity", percent="_mean"), Rank("dense_neighbors", percent="_dense"))
+    score = 0.50 * F.col("_mean") + 0.25 * F.col("same_metadata_ratio") + 0.25 * F.col("_dense")
+    return out.withColumn("repetition_score", F.round(clip(score, 0, 1) + 1e-9, 6)).drop("_mean", "_dense")
 
 
 def with_status(df: DataFrame) -> DataFrame:
@@ -44,9 +66,9 @@ def with_status(df: DataFrame) -> DataFrame:
     tired, repeated = F.col("tired_score"), F.col("repetition_score")
     out = df.withColumns({
         "fatigue_status": cases_of((tired >= 0.65, "tired"), (tired >= 0.40, "at_risk"), otherwise="healthy"),
-        "repetition_status": cases_of((repeated >= 0.75, "high"), (repeated >= 0.55, "moderate"), otherwise="low"),
+        "repetition_status": cases_of((repeated >= 0.75, "high_repetition"), (repeated >= 0.55, "moderate_repetition"), otherwise="distinct"),
         "risk": F.greatest(tired, repeated),
     })
-    first = (F.col("fatigue_status") == "tired") | (F.col("repetition_status") == "high")
-    second = (F.col("fatigue_status") == "at_risk") | (F.col("repetition_status") == "moderate")
+    first = (F.col("fatigue_status") == "tired") | (F.col("repetition_status") == "high_repetition")
+    second = (F.col("fatigue_status") == "at_risk") | (F.col("repetition_status") == "moderate_repetition")
     return out.withColumn("health_hint", cases_of((first, "Refresh"), (second, "Monitor"), otherwise="Keep"))

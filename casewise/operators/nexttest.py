@@ -1,52 +1,91 @@
-"""What to test next: how winners of the same group differ from a case."""
+"""What to test next: how winners among similar cases differ from a case."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import cases_of
 
 MOST_TESTS = 5
 LEAST_SHARE, LEAST_DELTA = 0.35, 0.35
-NO_WINNERS = "Not enough winning neighbors to compare with"
-NO_DIFFERENCE = "Keep the current traits and test one small variation"
-
-
-def suggestions(cases: DataFrame, winners: DataFrame, by: tuple[str, ...], traits: tuple[str, ...], numbers: dict[str, str]) -> DataFrame:
-    """Add winners (how many the group has) and next_test.
-
-    Traits in order, then numbers in order (column -> label), the first ``MOST_TESTS``: a
-    trait whose most frequent value among winners (ties to the lesser) has a share of
-    ``LEAST_SHARE`` and isn't the case's; a number whose winners' median is at least
-    ``LEAST_DELTA`` sample deviations away.
+ENOUGH, POOL = 3, 20  # winners that suffice, and those of a fallback pool
+#: Suggestions where there is nothing to compare with or no difference, and how an action begins its text.
+NO_WINNERS = "test a clearer hook with a fresh visual angle"
+NO_DIFFERENCE = "keep the strongest pattern but refresh hook, CTA, or layout"
+GATHER = "Keep collecting data before deciding; test a small variant if budget allows."
+OPENINGS = {
+    "Scale": ("Scale the creative while testing a controlled variant: ", 2),
+    "Refresh": ("Refresh the creative: ", 3),
+    "Pause or rebuild": ("Rebuild the concept before scaling: ", 3),
+    "Keep": ("Keep running, and queue a controlled test: ", 2),
+    "Test next variation": ("Test next variation: ", 3),
+}
+
+
+def fallback_pools(ranking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pool of each vertical and format: kind, key, winner ids; the pools' members).
+
+    Top performers of the vertical if there are three, of these those of the format if there
+    are three, and of them the ``POOL`` with the best scores (none last, ties to the lesser id).
     """
-    pool = winners.groupBy(*by).agg(F.count("*").alias("winners"), *[F.median(c).alias(f"_{c}_median") for c in numbers], *[F.mode(c, True).alias(f"_{c}_mode") for c in traits])
-    out = cases.join(pool, list(by), "left")
+    top = ranking.where(F.col("status") == "top_performer").select("case_id", "vertical", "format", "best_score")
+    keys = {"both": F.to_json(F.struct("vertical", "format"), {"ignoreNullFields": "false"}), "vertical": F.to_json(F.struct("vertical"), {"ignoreNullFields": "false"}), "format": F.to_json(F.struct("format"), {"ignoreNullFields": "false"}), "any": F.lit("any")}
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("key")) for k, v in keys.items()]))
+    long = top.withColumn("k", kinds).select("case_id", "best_score", "k.*")
+    # the first of each of many parts of a key, then of the key: no key's rows meet in one task
+    order = lambda *by: Window.partitionBy(*by).orderBy(F.desc_nulls_last("best_score"), F.asc("case_id"))
+    long = long.withColumn("part", F.pmod(F.xxhash64("case_id"), F.lit(256)))
+    first = long.withColumn("place", F.row_number().over(order("kind", "key", "part"))).where(F.col("place") <= POOL)
+    members = first.withColumn("place", F.row_number().over(order("kind", "key"))).where(F.col("place") <= POOL).select("kind", "key", F.col("case_id").alias("winner_id"))
+    counts = long.groupBy("kind", "key").agg(F.count("*").alias("n"))
+    contexts = ranking.select("vertical", "format").distinct().withColumns({f"key_{k}": v for k, v in keys.items()})
+    for k in ("both", "vertical", "format"):
+        contexts = contexts.join(counts.where(F.col("kind") == k).select(F.col("key").alias(f"key_{k}"), F.col("n").alias(f"n_{k}")), f"key_{k}", "left")
+    enough = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0)) >= ENOUGH
+    kind = F.when(enough("vertical"), F.when(enough("both"), "both").otherwise("vertical")).otherwise(F.when(enough("format"), "format").otherwise("any"))
+    key = F.when(kind == "both", F.col("key_both")).when(kind == "vertical", F.col("key_vertical")).when(kind == "format", F.col("key_format")).otherwise(F.col("key_any"))
+    return contexts.select("vertical", "format", kind.alias("kind"), key.alias("key")), members
+
+
+def winner_facts(winners: DataFrame, by: tuple[str, ...], traits: tuple[str, ...], numbers: tuple[str, ...]) -> DataFrame:
+    """For each group of few winners (w_ columns): their number, each trait's mode (ties to the lesser) with its share, each number's median."""
+    out = winners.groupBy(*by).agg(
+        F.count("*").alias("winners"),
+        *[F.mode(f"w_{c}", True).alias(f"mode_{c}") for c in traits],
+        *[F.collect_list(f"w_{c}").alias(f"all_{c}") for c in traits],
+        *[F.median(f"w_{c}").alias(f"median_{c}") for c in numbers],
+    )
     for c in traits:
-        share = winners.groupBy(*by, F.col(c).alias(f"_{c}_mode")).agg(F.count("*").alias(f"_{c}_n"))
-        out = out.join(share, [*by, f"_{c}_mode"], "left")
-    spread = cases.agg(*[F.stddev_samp(c).alias(f"_{c}_std") for c in numbers])
-    out = out.crossJoin(F.broadcast(spread))
-    tests = [F.when((F.col(f"_{c}_n") / F.col("winners") >= LEAST_SHARE) & (F.col(f"_{c}_mode") != F.col(c)), F.concat(F.lit(f"test {c}='"), F.col(f"_{c}_mode").cast("string"), F.lit("'"))) for c in traits]
+        out = out.withColumn(f"share_{c}", F.expr(f"size(filter(all_{c}, x -> x = mode_{c}))") / F.col("winners")).drop(f"all_{c}")
+    return out
+
+
+def suggestions(traits: tuple[str, ...], numbers: dict[str, str]) -> Column:
+    """Over a case with its winners' facts and deviations (std_): traits in order, then numbers (column -> label), the first ``MOST_TESTS``."""
+    tests = [F.when((F.col(f"share_{c}") >= LEAST_SHARE) & (F.col(f"mode_{c}").cast("string") != F.coalesce(F.col(c).cast("string"), F.lit("nan"))), F.concat(F.lit(f"test {c}='"), F.col(f"mode_{c}").cast("string"), F.lit("'"))) for c in traits]
     for c, label in numbers.items():
-        delta = F.col(f"_{c}_median") - F.col(c)
-        tests.append(F.when(F.abs(delta) >= LEAST_DELTA * F.col(f"_{c}_std"), F.concat(F.when(delta > 0, "increase").otherwise("reduce"), F.lit(f" {label}"))))
+        delta = F.col(f"median_{c}") - F.col(c)
+        tests.append(F.when((F.col(f"std_{c}") > 0) & (F.abs(delta) >= LEAST_DELTA * F.col(f"std_{c}")), F.concat(F.when(delta > 0, "increase").otherwise("reduce"), F.lit(f" {label}"))))
     chosen = F.slice(F.array_compact(F.array(*tests)), 1, MOST_TESTS)
-    text = F.when(F.col("winners").isNull(), NO_WINNERS).when(F.size(chosen) == 0, NO_DIFFERENCE).otherwise(F.array_join(chosen, "; "))
-    extra = [f"_{c}_{k}" for c in traits for k in ("mode", "n")] + [f"_{c}_{k}" for c in numbers for k in ("median", "std")]
-    return out.withColumn("next_test", text).withColumn("winners", F.coalesce("winners", F.lit(0).cast("long"))).drop(*extra)
+    return F.when(F.coalesce("winners", F.lit(0)) == 0, F.array(F.lit(NO_WINNERS))).when(F.size(chosen) == 0, F.array(F.lit(NO_DIFFERENCE))).otherwise(chosen)
 
 
 def action() -> Column:
     """What to do with a case, by its segment, health and score."""
     segment = F.col("segment")
-    worn = (F.col("fatigue_status") == "tired") | (F.col("repetition_status") == "high")
+    worn = (F.col("fatigue_status") == "tired") | (F.col("repetition_status") == "high_repetition")
     return cases_of((segment == "low_evidence", "Gather evidence"), (worn, "Refresh"), (segment == "top_winner", "Scale"), (segment == "strong_candidate", "Keep"), (F.col("best_score") < 0.35, "Pause or rebuild"), otherwise="Test next variation")
 
 
+def composed(doing: Column, tests: Column) -> Column:
+    """One text of an action and its first suggestions."""
+    out = F.when(doing == "Gather evidence", F.lit(GATHER))
+    for name, (opening, n) in OPENINGS.items():
+        out = out.when(doing == name, F.concat(F.lit(opening), F.array_join(F.slice(tests, 1, n), "; ")))
+    return out
+
+
 def priority() -> Column:
     """0 to 1: winners by their risk, others also by what they lack."""
     lacking = F.coalesce(1 - F.col("best_score"), F.lit(0.5))
@@ -57,7 +96,3 @@ def priority() -> Column:
 def evidence(columns: tuple[str, ...]) -> Column:
     """The named columns as one JSON text, nulls kept."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-
-
-def any_of(flags: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, flags)

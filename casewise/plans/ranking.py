@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.expr import micros, safe_div
-from ..operators import health, nexttest
+from ..operators import health, knn, nexttest
 from ..operators import ranking as R
 from ..operators.order import quantiles
 from ..sources.scratch import Scratch
@@ -151,34 +151,53 @@ severity AS (
     CASE WHEN dq > 0 AND fatigue_day IS NOT NULL THEN greatest(0, least(1, 1 - fatigue_day / dq)) ELSE 0 END AS early_severity
   FROM aged a, (SELECT quantile_cont(greatest(0, coalesce(-ctr_decay, 0)), 0.95) AS cq, quantile_cont(greatest(0, coalesce(-cvr_decay, 0)), 0.95) AS vq, quantile_cont(fatigue_day, 0.95) AS dq FROM aged)),
 tired AS (SELECT s.*, round(0.35 * label_score + 0.25 * ctr_severity + 0.20 * cvr_severity + 0.20 * early_severity, 6) AS tired_score FROM severity s),
+near AS (
+  SELECT q.case_id AS query_id, c.case_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12) AS similarity,
+    q.format IS NOT DISTINCT FROM c.format AS same_format, q.size IS NOT DISTINCT FROM c.size AS same_size, c.status AS c_status
+  FROM embeddings a JOIN cases q ON a.vec_id = q.case_id JOIN cases c ON q.vertical = c.vertical AND q.case_id <> c.case_id JOIN embeddings b ON b.vec_id = c.case_id),
+neighbors AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS neighbor FROM near) WHERE neighbor <= 20),
 rep AS (
-  SELECT campaign_id, format, count(*) AS alike FROM cases GROUP BY campaign_id, format),
-repeated AS (
-  SELECT t.*, alike, {_pct("alike", name="alike_pct")} FROM tired t LEFT JOIN rep ON t.campaign_id IS NOT DISTINCT FROM rep.campaign_id AND t.format = rep.format),
+  SELECT query_id, count(*) AS similar_cases, round(avg(similarity) FILTER (neighbor <= 5), 4) AS avg_top5_similarity, round(avg(similarity) FILTER (neighbor <= 10), 4) AS avg_top10_similarity, round(max(similarity), 4) AS max_similarity,
+    count(*) FILTER (similarity >= 0.3) AS dense_neighbors, round((avg(same_format::INT) FILTER (neighbor <= 10) + avg(same_size::INT) FILTER (neighbor <= 10)) / 2, 4) AS same_metadata_ratio,
+    round(avg((c_status = 'fatigued')::INT) FILTER (neighbor <= 10), 4) AS fatigued_neighbor_ratio FROM neighbors GROUP BY query_id),
+filled AS (
+  SELECT t.*, {", ".join(f"coalesce({c}, 0) AS {c}" for c in health.REPETITION)} FROM tired t LEFT JOIN rep ON case_id = query_id),
+repeated AS (SELECT f.*, {_pct("avg_top10_similarity", name="mean_pct")}, {_pct("dense_neighbors", name="dense_pct")} FROM filled f),
+scored_health AS (SELECT r.*, round(least(1, greatest(0, 0.5 * mean_pct + 0.25 * same_metadata_ratio + 0.25 * dense_pct)) + 1e-9, 6) AS repetition_score FROM repeated r),
 health AS (
-  SELECT r.*, round(alike_pct, 6) AS repetition_score,
-    CASE WHEN tired_score >= 0.65 THEN 'tired' WHEN tired_score >= 0.40 THEN 'at_risk' ELSE 'healthy' END AS fatigue_status,
-    CASE WHEN round(alike_pct, 6) >= 0.75 THEN 'high' WHEN round(alike_pct, 6) >= 0.55 THEN 'moderate' ELSE 'low' END AS repetition_status
-  FROM repeated r),
+  SELECT r.*, CASE WHEN tired_score >= 0.65 THEN 'tired' WHEN tired_score >= 0.40 THEN 'at_risk' ELSE 'healthy' END AS fatigue_status,
+    CASE WHEN repetition_score >= 0.75 THEN 'high_repetition' WHEN repetition_score >= 0.55 THEN 'moderate_repetition' ELSE 'distinct' END AS repetition_status
+  FROM scored_health r),
 healthy AS (
   SELECT h.*, greatest(tired_score, repetition_score) AS risk,
-    CASE WHEN fatigue_status = 'tired' OR repetition_status = 'high' THEN 'Refresh' WHEN fatigue_status = 'at_risk' OR repetition_status = 'moderate' THEN 'Monitor' ELSE 'Keep' END AS health_hint
+    CASE WHEN fatigue_status = 'tired' OR repetition_status = 'high_repetition' THEN 'Refresh' WHEN fatigue_status = 'at_risk' OR repetition_status = 'moderate_repetition' THEN 'Monitor' ELSE 'Keep' END AS health_hint
   FROM health h)"""
 
 
-def healthy(spark, sf_dir):
-    base = cases(spark, sf_dir)
+def neighbors(spark, sf_dir, base):
+    """Up to twenty most similar cases of the same vertical, where a case has an embedding."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    known = vectors.join(base.select(F.col("case_id").alias("id"), "vertical"), "id")
+    near = Scratch(spark, "neighbors").table(knn.nearest(known, known, 20, group_col="vertical"))
+    side = lambda p, key: base.select(F.col("case_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("format", "size", "status")])
+    return near.join(side("q", "query_id"), "query_id").join(side("c", "case_id"), "case_id")
+
+
+def healthy(spark, sf_dir, base=None, near=None):
+    base = Scratch(spark, "cases").table(cases(spark, sf_dir)) if base is None else base
     aged = base.withColumns({
         "has_fatigue": F.col("status") == "fatigued",
         "ctr_decay": F.round(F.col("ctr") - 0.35, 6),
         "cvr_decay": F.round(F.col("cvr") - 1, 6),
         "fatigue_day": F.when(F.col("status") == "fatigued", F.col("size") + 1),
     })
-    alike = base.groupBy("campaign_id", "format").agg(F.count("*").alias("alike")).select(F.col("campaign_id").alias("_c"), F.col("format").alias("_f"), "alike")
-    tired = health.tired_scores(aged)
-    joined = tired.join(alike, F.col("campaign_id").eqNullSafe(F.col("_c")) & (F.col("format") == F.col("_f")), "left").drop("_c", "_f")
-    joined = Scratch(spark, "health").table(joined)
-    return health.with_status(health.with_percent(joined, "alike", "repetition_score"))
+    near = neighbors(spark, sf_dir, base) if near is None else near
+    return health.with_status(health.repetition_scores(health.tired_scores(aged), health.repetition(near, ("format", "size"), 0.3), "case_id"))
+
+
+@query(f"WITH {HEALTH} SELECT case_id, {', '.join(health.REPETITION)}, repetition_score FROM healthy")
+def repetition_scores(spark, sf_dir):
+    return healthy(spark, sf_dir).select("case_id", *health.REPETITION, "repetition_score")
 
 
 HEALTH_COLUMNS = ["case_id", "tired_score", "repetition_score", "fatigue_status", "repetition_status", "risk", "health_hint"]
@@ -194,9 +213,9 @@ def health_summary(spark, sf_dir):
     return healthy(spark, sf_dir).groupBy("fatigue_status", "repetition_status", "health_hint").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {HEALTH} PIVOT (SELECT fatigue_status, repetition_status FROM healthy) ON repetition_status IN ('high', 'low', 'moderate') USING count(*) GROUP BY fatigue_status")
+@query(f"WITH {HEALTH} PIVOT (SELECT fatigue_status, repetition_status FROM healthy) ON repetition_status IN ('high_repetition', 'moderate_repetition', 'distinct') USING count(*) GROUP BY fatigue_status")
 def status_crosstab(spark, sf_dir):
-    return healthy(spark, sf_dir).groupBy("fatigue_status").pivot("repetition_status", ["high", "low", "moderate"]).count().na.fill(0)
+    return healthy(spark, sf_dir).groupBy("fatigue_status").pivot("repetition_status", ["high_repetition", "moderate_repetition", "distinct"]).count().na.fill(0)
 
 
 @query(f"WITH {HEALTH} SELECT case_id, tired_score FROM healthy WHERE fatigue_status IN ('tired', 'at_risk') ORDER BY fatigue_status DESC, tired_score DESC, case_id LIMIT 100")
@@ -204,32 +223,70 @@ def health_tired_top(spark, sf_dir):
     return healthy(spark, sf_dir).where(F.col("fatigue_status").isin("tired", "at_risk")).orderBy(F.desc("fatigue_status"), F.desc("tired_score"), "case_id").limit(100).select("case_id", "tired_score")
 
 
+TRAITS, NUMBERS = ("format", "campaign_id"), {"size": "size", "ctr": "click-through rate", "cvr": "conversion rate"}
+
+
+def _facts(by: str) -> str:
+    """Facts of winners (w_ columns) by a key."""
+    modes = ", ".join(f"arg_min(w_{c}, o_{c}) AS mode_{c}, max(n_{c}) / count(*) AS share_{c}" for c in TRAITS)
+    counts = ", ".join(f"CASE WHEN w_{c} IS NOT NULL THEN count(*) OVER (PARTITION BY {by}, w_{c}) END AS n_{c}" for c in TRAITS)
+    order = ", ".join(f"row_number() OVER (PARTITION BY {by} ORDER BY n_{c} DESC NULLS LAST, w_{c}) AS o_{c}" for c in TRAITS)
+    return f"SELECT {by}, count(*) AS winners, {modes}, {', '.join(f'median(w_{c}) AS median_{c}' for c in NUMBERS)} FROM (SELECT *, {order} FROM (SELECT *, {counts} FROM {{0}})) GROUP BY {by}"
+
+
+W = ", ".join(f"w.{c} AS w_{c}" for c in (*TRAITS, *NUMBERS))
+TESTS = ", ".join([f"CASE WHEN share_{c} >= 0.35 AND CAST(mode_{c} AS VARCHAR) <> coalesce(CAST(r.{c} AS VARCHAR), 'nan') THEN 'test {c}=''' || mode_{c} || '''' END" for c in TRAITS] + [
+    f"CASE WHEN std_{c} > 0 AND abs(median_{c} - r.{c}) >= 0.35 * std_{c} THEN CASE WHEN median_{c} > r.{c} THEN 'increase' ELSE 'reduce' END || ' {label}' END" for c, label in NUMBERS.items()])
 NEXT = f"""{RANKING}, {HEALTH.split(CASES + ",", 1)[1]},
-pool AS (SELECT vertical, case_id, format, size, perf_score, ctr FROM ranking WHERE segment IN ('top_winner', 'strong_candidate')),
-modes AS (
-  SELECT vertical, format AS mode_format, n / total AS share FROM (
-    SELECT vertical, format, n, sum(n) OVER (PARTITION BY vertical) AS total, row_number() OVER (PARTITION BY vertical ORDER BY n DESC, format) AS k FROM (SELECT vertical, format, count(*) AS n FROM pool GROUP BY vertical, format)) WHERE k = 1),
-medians AS (SELECT vertical, count(*) AS winners, median(size) AS m_size, median(ctr) AS m_ctr FROM pool GROUP BY vertical),
-spread AS (SELECT stddev_samp(size) AS s_size, stddev_samp(ctr) AS s_ctr FROM cases),
+top AS (SELECT case_id, vertical, format, best_score FROM ranking WHERE status = 'top_performer'),
+long AS (SELECT case_id, best_score, 'both' AS kind, concat_ws('|', vertical, format) AS key FROM top UNION ALL SELECT case_id, best_score, 'vertical', vertical FROM top UNION ALL SELECT case_id, best_score, 'format', format FROM top UNION ALL SELECT case_id, best_score, 'any', 'any' FROM top),
+members AS (SELECT kind, key, case_id AS winner_id FROM (SELECT *, row_number() OVER (PARTITION BY kind, key ORDER BY best_score DESC NULLS LAST, case_id) AS place FROM long) WHERE place <= 20),
+counts AS (SELECT kind, key, count(*) AS n FROM long GROUP BY ALL),
+contexts AS (
+  SELECT vertical, format, CASE WHEN v.n >= 3 THEN CASE WHEN b.n >= 3 THEN 'both' ELSE 'vertical' END WHEN f.n >= 3 THEN 'format' ELSE 'any' END AS kind
+  FROM (SELECT DISTINCT vertical, format FROM ranking) d LEFT JOIN counts v ON v.kind = 'vertical' AND v.key = vertical LEFT JOIN counts b ON b.kind = 'both' AND b.key = concat_ws('|', vertical, format) LEFT JOIN counts f ON f.kind = 'format' AND f.key = format),
+keyed AS (SELECT *, CASE kind WHEN 'both' THEN concat_ws('|', vertical, format) WHEN 'vertical' THEN vertical WHEN 'format' THEN format ELSE 'any' END AS key FROM contexts),
+own_rows AS (SELECT query_id, {W} FROM neighbors JOIN ranking w USING (case_id) WHERE w.status = 'top_performer'), own AS ({_facts("query_id").format("own_rows")}),
+pool_rows AS (SELECT kind || ':' || key AS pool, {W} FROM members JOIN ranking w ON winner_id = w.case_id), pools AS ({_facts("pool").format("pool_rows")}),
+seen AS (SELECT query_id, count(*) AS similar_cases, count(*) FILTER (c_status = 'top_performer') AS similar_top, count(*) FILTER (c_status = 'fatigued') AS similar_fatigued, round(avg(similarity), 6) AS avg_similarity FROM neighbors GROUP BY query_id),
+facts AS (
+  SELECT r.case_id, coalesce(o.winners, 0) >= 3 AS by_neighbors, {", ".join(f"CASE WHEN o.winners >= 3 THEN o.{c} ELSE p.{c} END AS {c}" for c in ("winners", *[f"{k}_{t}" for t in TRAITS for k in ("mode", "share")], *[f"median_{n}" for n in NUMBERS]))}
+  FROM ranking r LEFT JOIN own o ON r.case_id = o.query_id LEFT JOIN keyed k ON r.vertical = k.vertical AND r.format = k.format LEFT JOIN pools p ON p.pool = k.kind || ':' || k.key),
 suggested AS (
-  SELECT r.case_id, best_score, segment, coalesce(winners, 0) AS winners, risk, fatigue_status, repetition_status,
-    concat_ws('; ', CASE WHEN share >= 0.35 AND mode_format <> r.format THEN 'test format=''' || mode_format || '''' END,
-      CASE WHEN abs(m_size - r.size) >= 0.35 * s_size THEN CASE WHEN m_size > r.size THEN 'increase' ELSE 'reduce' END || ' size' END,
-      CASE WHEN abs(m_ctr - r.ctr) >= 0.35 * s_ctr THEN CASE WHEN m_ctr > r.ctr THEN 'increase' ELSE 'reduce' END || ' click-through rate' END) AS tests
-  FROM ranking r JOIN healthy h USING (case_id) LEFT JOIN modes o ON r.vertical = o.vertical LEFT JOIN medians d ON r.vertical = d.vertical, spread)"""
+  SELECT r.case_id, best_score, segment, coalesce(winners, 0) AS winners, by_neighbors, risk, fatigue_status, repetition_status, coalesce(s.similar_cases, 0) AS similar_cases, coalesce(similar_top, 0) AS similar_top, coalesce(similar_fatigued, 0) AS similar_fatigued, avg_similarity,
+    [x FOR x IN [{TESTS}] IF x IS NOT NULL][1:5] AS found
+  FROM ranking r JOIN (SELECT case_id, risk, fatigue_status, repetition_status FROM healthy) h USING (case_id) JOIN facts USING (case_id) LEFT JOIN seen s ON r.case_id = s.query_id, (SELECT {", ".join(f"stddev_samp({c}) AS std_{c}" for c in NUMBERS)} FROM cases)),
+decided AS (
+  SELECT *, CASE WHEN winners = 0 THEN ['{nexttest.NO_WINNERS}'] WHEN len(found) = 0 THEN ['{nexttest.NO_DIFFERENCE}'] ELSE found END AS tests,
+    CASE WHEN segment = 'low_evidence' THEN 'Gather evidence' WHEN fatigue_status = 'tired' OR repetition_status = 'high_repetition' THEN 'Refresh' WHEN segment = 'top_winner' THEN 'Scale' WHEN segment = 'strong_candidate' THEN 'Keep'
+      WHEN best_score < 0.35 THEN 'Pause or rebuild' ELSE 'Test next variation' END AS action FROM suggested)"""
 
 
 @query(f"""WITH {NEXT}
-SELECT case_id, winners, CASE WHEN winners = 0 THEN 'Not enough winning neighbors to compare with' WHEN tests = '' THEN 'Keep the current traits and test one small variation' ELSE tests END AS next_test,
-  CASE WHEN segment = 'low_evidence' THEN 'Gather evidence' WHEN fatigue_status = 'tired' OR repetition_status = 'high' THEN 'Refresh' WHEN segment = 'top_winner' THEN 'Scale' WHEN segment = 'strong_candidate' THEN 'Keep'
-    WHEN best_score < 0.35 THEN 'Pause or rebuild' ELSE 'Test next variation' END AS action,
+SELECT case_id, winners, by_neighbors, similar_cases, similar_top, similar_fatigued, avg_similarity, action, tests[1] AS suggestion_1, tests[2] AS suggestion_2, tests[3] AS suggestion_3,
+  CASE action WHEN 'Gather evidence' THEN '{nexttest.GATHER}' {" ".join(f"WHEN '{a}' THEN '{t}' || array_to_string(tests[1:{n}], '; ')" for a, (t, n) in nexttest.OPENINGS.items())} END AS next_test,
   round(CASE WHEN segment IN ('top_winner', 'strong_candidate') THEN 0.40 + 0.60 * risk ELSE 0.60 * coalesce(1 - best_score, 0.5) + 0.40 * risk END + 1e-9, 4) AS priority
-FROM suggested""")
+FROM decided""")
 def next_tests(spark, sf_dir):
     scratch = Scratch(spark, "next")
-    ranking = scratch.table(ranked(spark, sf_dir))
-    state = healthy(spark, sf_dir).select("case_id", "risk", "fatigue_status", "repetition_status")
-    winners = ranking.where(F.col("segment").isin("top_winner", "strong_candidate"))
-    joined = scratch.table(ranking.join(state, "case_id"))
-    found = nexttest.suggestions(joined, winners, ("vertical",), ("format",), {"size": "size", "ctr": "click-through rate"})
-    return found.select("case_id", "winners", "next_test", nexttest.action().alias("action"), nexttest.priority().alias("priority"))
+    base = scratch.table(cases(spark, sf_dir))
+    ranking = scratch.table(R.winner_ranking(base))
+    near = scratch.table(neighbors(spark, sf_dir, base))
+    state = healthy(spark, sf_dir, base, near).select("case_id", "risk", "fatigue_status", "repetition_status")
+    traits = ranking.select(F.col("case_id").alias("winner_id"), F.col("status").alias("w_status"), *[F.col(c).alias(f"w_{c}") for c in (*TRAITS, *NUMBERS)])
+    own = near.select("query_id", F.col("case_id").alias("winner_id")).join(traits.where("w_status = 'top_performer'"), "winner_id")
+    own = nexttest.winner_facts(own, ("query_id",), TRAITS, tuple(NUMBERS)).where(F.col("winners") >= nexttest.ENOUGH)
+    contexts, members = nexttest.fallback_pools(ranking)
+    pools = nexttest.winner_facts(members.join(traits, "winner_id"), ("kind", "key"), TRAITS, tuple(NUMBERS))
+    names = [c for c in own.columns if c != "query_id"]
+    spread = base.agg(*[F.stddev_samp(c).alias(f"std_{c}") for c in NUMBERS])
+    seen = near.groupBy("query_id").agg(F.count("*").alias("similar_cases"), F.count(F.when(F.col("c_status") == "top_performer", 1)).alias("similar_top"), F.count(F.when(F.col("c_status") == "fatigued", 1)).alias("similar_fatigued"), F.round(F.avg("similarity"), 6).alias("avg_similarity"))
+    out = ranking.join(state, "case_id").join(own.select(F.col("query_id").alias("case_id"), *[F.col(c).alias(f"own_{c}") for c in names]), "case_id", "left").join(seen.withColumnRenamed("query_id", "case_id"), "case_id", "left")
+    out = out.join(contexts, ["vertical", "format"], "left").join(pools, ["kind", "key"], "left").crossJoin(F.broadcast(spread))  # one row
+    out = out.withColumn("by_neighbors", F.col("own_winners").isNotNull())
+    out = out.withColumns({c: F.when(F.col("by_neighbors"), F.col(f"own_{c}")).otherwise(F.col(c)) for c in names})
+    out = out.withColumn("tests", nexttest.suggestions(TRAITS, NUMBERS)).withColumn("action", nexttest.action())
+    return out.select(
+        "case_id", F.coalesce("winners", F.lit(0)).alias("winners"), "by_neighbors", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("similar_cases", "similar_top", "similar_fatigued")], "avg_similarity", "action",
+        *[F.get("tests", k).alias(f"suggestion_{k + 1}") for k in range(3)], nexttest.composed(F.col("action"), F.col("tests")).alias("next_test"), nexttest.priority().alias("priority"),
+    )

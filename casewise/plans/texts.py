@@ -61,12 +61,46 @@ def token_overlap_all(spark, sf_dir):
     return pairs.select("item_id", "doc_id", F.round("overlap", 6).alias("overlap"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, lower(text) AS t, length(text) / 500.0::DOUBLE AS a FROM conversations)
-SELECT kind, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(t, 'buy|get|download|play|shop|join|start|install') AND length(t) <= 24 THEN 'cta' WHEN regexp_matches(t, 'rated|friends|reviews') THEN 'social' WHEN regexp_matches(t, '% off|off|sale|discount') THEN 'discount'
-  WHEN regexp_matches(t, '[$€£¥]\\s?\\d|\\d\\s?[$€£¥]') THEN 'price' WHEN regexp_matches(t, 'terms|license|privacy') THEN 'legal' WHEN a >= 0.2 THEN 'headline' ELSE 'other' END AS kind FROM t) GROUP BY kind""")
+LABELS = """SELECT p_partkey, CASE p_size % 12 WHEN 0 THEN '</s>' || p_brand WHEN 1 THEN 'Claim your reward now' WHEN 2 THEN p_type WHEN 3 THEN p_name WHEN 4 THEN 'Reviews: 5 stars' WHEN 5 THEN 'Up to 50% off' WHEN 6 THEN '$ 12.50' WHEN 7 THEN '20 EUR'
+  WHEN 8 THEN 'Learn more' WHEN 9 THEN 'Privacy and terms' WHEN 10 THEN 'plain words here' END AS text, p_brand AS brand, CASE p_size % 2 WHEN 0 THEN 'Start playing' ELSE 'Claim your reward' END AS cta, p_type AS headline, p_name AS subhead, p_size / 50.0::DOUBLE AS y, p_retailprice / 100000.0::DOUBLE AS area FROM part"""
+LABEL = "trim(regexp_replace(lower(trim(regexp_replace(coalesce({0}, ''), '</?s>', '', 'g'))), '[^a-z0-9%$]+', ' ', 'g'))"
+LABELLED = f"""l AS ({LABELS}), n AS (SELECT p_partkey, {", ".join(f"{LABEL.format(c)} AS {c}" for c in ("text", "brand", "cta", "headline", "subhead"))}, y, area FROM l),
+w AS (SELECT *, {", ".join(f"list_distinct([x FOR x IN string_split({c}, ' ') IF x <> '']) AS w_{c}" for c in ("text", "brand", "cta", "headline", "subhead"))} FROM n),
+m AS (SELECT *, coalesce(len(list_intersect(w_text, w_brand))::DOUBLE / nullif(len(w_brand), 0), 0) AS o_brand, {", ".join(f"""CASE WHEN text = '' OR {c} = '' THEN 0 WHEN text = {c} THEN 1 WHEN contains(text, {c}) THEN 0.9 WHEN contains({c}, text) THEN CASE WHEN length(text)::DOUBLE / length({c}) >= 0.6 THEN 0.8 ELSE 0 END
+  WHEN len(list_intersect(w_text, w_{c}))::DOUBLE / nullif(len(w_{c}), 0) >= 0.6 THEN len(list_intersect(w_text, w_{c}))::DOUBLE / len(w_{c}) ELSE 0 END AS m_{c}""" for c in ("cta", "headline", "subhead"))} FROM w)"""
+
+
+def _any(words) -> str:
+    return "(" + " OR ".join(f"contains(text, '{w}')" for w in words) + ")"
+
+
+TYPED = f"""WITH {LABELLED}, k AS (SELECT p_partkey, CASE WHEN text <> '' AND brand <> '' AND (text = brand OR contains(text, brand) OR contains(brand, text) OR 1 - levenshtein(text, brand)::DOUBLE / greatest(length(text), length(brand)) >= 0.75) THEN ('brand_name', 0.92::DOUBLE)
+  WHEN text <> '' AND brand <> '' AND o_brand >= 0.5 THEN ('brand_name', 0.82::DOUBLE) WHEN m_cta > 0 THEN ('cta_button', least(1, 0.80 + 0.15 * m_cta)::DOUBLE) WHEN m_headline > 0 THEN ('headline', least(1, 0.75 + 0.2 * m_headline)::DOUBLE) WHEN m_subhead > 0 THEN ('subheadline', least(1, 0.7 + 0.2 * m_subhead)::DOUBLE)
+  WHEN {_any(O.SOCIAL_KEYWORDS)} THEN ('social_proof', 0.88::DOUBLE) WHEN {_any(O.PROMO_KEYWORDS)} THEN ('discount_badge', 0.88::DOUBLE) WHEN contains(text, '$') OR regexp_matches(text, '\\b\\d+[.,]?\\d*\\s*(%|off)\\b') OR {_any(O.CURRENCIES)} THEN ('price_tag', 0.85::DOUBLE)
+  WHEN len([x FOR x IN string_split(text, ' ') IF x <> '']) <= 3 AND {_any(O.CTA_KEYWORDS)} THEN ('cta_button', 0.75::DOUBLE) WHEN {_any(O.LEGAL_KEYWORDS)} OR (y > 0.9 AND area < 0.01) THEN ('legal_text', 0.7::DOUBLE) ELSE ('other', 0.55::DOUBLE) END AS k FROM m)
+SELECT p_partkey, k[1] AS kind, round(k[2], 6) AS confidence FROM k"""
+
+
+def labels(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    size = F.col("p_size") % 12
+    text = F.when(size == 0, F.concat(F.lit("</s>"), "p_brand")).when(size == 1, F.lit("Claim your reward now")).when(size == 2, F.col("p_type")).when(size == 3, F.col("p_name"))
+    for k, words in enumerate(("Reviews: 5 stars", "Up to 50% off", "$ 12.50", "20 EUR", "Learn more", "Privacy and terms", "plain words here"), 4):
+        text = text.when(size == k, words)
+    return p.select("p_partkey", text.alias("text"), F.col("p_brand").alias("brand"), F.when(F.col("p_size") % 2 == 0, "Start playing").otherwise("Claim your reward").alias("cta"), F.col("p_type").alias("headline"), F.col("p_name").alias("subhead"), (F.col("p_size") / 50.0).alias("y"), (F.col("p_retailprice") / 100000.0).alias("area"))
+
+
+@query(TYPED)
 def text_classify(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    return c.select(O.text_type(F.col("text"), F.length("text") / 500.0).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    kind = O.text_type(*[F.col(c) for c in ("text", "brand", "cta", "headline", "subhead", "y", "area")])
+    return labels(spark, sf_dir).select("p_partkey", kind.alias("k")).select("p_partkey", "k.*")
+
+
+@query(f"WITH {LABELLED} SELECT p_partkey, {', '.join(f'm_{c} > 0 AS {c}_matches, round(m_{c}, 6)::DOUBLE AS {c}_score' for c in ('cta', 'headline'))} FROM m")
+def reference_matches(spark, sf_dir):
+    rows = labels(spark, sf_dir)
+    found = {c: O.reference_match(O.normalize_label(F.col("text")), O.normalize_label(F.col(c))) for c in ("cta", "headline")}
+    return rows.select("p_partkey", *[x for c, m in found.items() for x in (m["matches"].alias(f"{c}_matches"), m["score"].alias(f"{c}_score"))])
 
 
 @query("""WITH p AS (SELECT page_id, url, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', '') AS path FROM pages)
@@ -111,20 +145,40 @@ def zone_assign(spark, sf_dir):
     return boxes(spark, sf_dir).select(G.vertical_zone(c[1]).alias("row_zone"), G.horizontal_zone(c[0], exact=False).alias("column_zone")).groupBy("row_zone", "column_zone").agg(F.count("*").alias("n"))
 
 
-@query()
+HSV = """rgb AS (SELECT l_discount * 10 AS r, l_tax * 12 AS g, l_quantity / 50 AS b FROM lineitem), x AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS d FROM rgb),
+hsv AS (SELECT v, CASE WHEN v = 0 THEN 0 ELSE d / v END AS s, CASE WHEN d = 0 THEN 0 WHEN v = r THEN CASE WHEN (60 * (g - b) / d) % 360 < 0 THEN ((60 * (g - b) / d) % 360 + 360) % 360 ELSE (60 * (g - b) / d) % 360 END WHEN v = g THEN 60 * (b - r) / d + 120 ELSE 60 * (r - g) / d + 240 END AS h FROM x)"""
+
+
+@query(f"""WITH {HSV} SELECT color, count(*) AS n FROM (SELECT CASE WHEN v < 0.15 THEN 'black' WHEN s < 0.10 AND v > 0.85 THEN 'white' WHEN s < 0.15 THEN 'gray' WHEN h < 15 OR h >= 345 THEN 'red' WHEN h < 40 THEN 'orange' WHEN h < 70 THEN 'yellow' WHEN h < 160 THEN 'green'
+  WHEN h < 195 THEN 'teal' WHEN h < 255 THEN 'blue' WHEN h < 290 THEN 'purple' ELSE 'pink' END AS color FROM hsv) GROUP BY color""")
 def color_names(spark, sf_dir):
     c = [F.col("l_discount") * 10, F.col("l_tax") * 12, F.col("l_quantity") / 50]
     return read(spark, sf_dir, "lineitem").select(G.color_name(*c).alias("color")).groupBy("color").agg(F.count("*").alias("n"))
 
 
-@query()
+ELEMENTS = """e AS (SELECT l_orderkey AS image, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'circle' WHEN 1 THEN 'rounded_card' WHEN 2 THEN 'card_portrait' ELSE 'shape' END AS shape, l_discount * l_tax AS area, l_quantity / 50 AS x, CASE WHEN l_orderkey % 3 = 0 THEN 0.5 + l_tax / 2 ELSE l_discount * 8 END AS y, l_linenumber + 1 AS vertices FROM lineitem),
+cards AS (SELECT *, floor(y * 20) AS level FROM e WHERE area >= 0.0025), levels AS (SELECT image, count(*) AS rows, max(n) AS cols FROM (SELECT image, level, count(*) AS n FROM cards GROUP BY ALL HAVING count(*) >= 2) GROUP BY image),
+heroes AS (SELECT DISTINCT c.image FROM cards c JOIN cards r ON c.image = r.image AND c.shape = 'circle' AND contains(r.shape, 'card') AND c.area > 0.02 AND r.area > 0.02 AND abs(c.x - r.x) < 0.3 AND abs(c.y - r.y) < 0.2),
+images AS (SELECT image, count(*) FILTER (area >= 0.0025) AS n, count(*) FILTER (area < 0.0025 AND shape = 'circle') AS dots, max(y) FILTER (area >= 0.0025) - min(y) FILTER (area >= 0.0025) AS span,
+  bool_or(x > 0.8 AND area > 0.002 AND area < 0.03 AND vertices <= 5 AND shape IN ('shape', 'card_portrait')) AS arrow FROM e GROUP BY image),
+laid AS (SELECT i.*, n >= 4 AND coalesce(rows, 0) >= 2 AS grid, rows, cols, h.image IS NOT NULL AS hero FROM images i LEFT JOIN levels USING (image) LEFT JOIN heroes h USING (image))"""
+
+
+@query(f"""WITH {ELEMENTS} SELECT image, CASE WHEN grid THEN 'grid_' || rows || 'x' || cols WHEN n >= 3 AND span < 0.08 THEN 'carousel_3' WHEN n = 2 AND span < 0.08 THEN 'dual_product' WHEN hero THEN 'hero_shapes' WHEN n = 1 THEN 'single_product' WHEN n = 0 THEN 'minimal' ELSE 'multi_product_' || n END AS layout_template,
+  n AS product_card_count, dots AS pagination_dot_count, dots >= 2 AS has_pagination_dots, grid AS has_grid_layout, arrow AS has_carousel_indicator FROM laid""")
 def layout_patterns(spark, sf_dir):
-    grouped = boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list("a").alias("boxes"))
-    return grouped.select(G.layout_pattern(F.col("boxes")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+    line = read(spark, sf_dir, "lineitem")
+    shape = F.element_at(F.array(*map(F.lit, ("circle", "rounded_card", "card_portrait", "shape"))), F.col("l_linenumber") % 4 + 1)
+    y = F.when(F.col("l_orderkey") % 3 == 0, 0.5 + F.col("l_tax") / 2).otherwise(F.col("l_discount") * 8)
+    element = F.struct(shape.alias("shape"), (F.col("l_discount") * F.col("l_tax")).alias("area"), (F.col("l_quantity") / 50).alias("x"), y.alias("y"), (F.col("l_linenumber") + 1).alias("vertices"))
+    grouped = line.select(F.col("l_orderkey").alias("image"), element.alias("e")).groupBy("image").agg(F.collect_list("e").alias("elements"))
+    laid = grouped.select("image", *[c.alias(n) for n, c in G.layout_template(F.col("elements")).items()])
+    return laid.withColumns({c: F.col(c).cast("long") for c in ("product_card_count", "pagination_dot_count")})
 
 
 TFIDF = f"""
-tok AS (SELECT doc_id AS id, unnest([x FOR x IN regexp_split_to_array({NORM.format('text')}, '[^\\p{{L}}\\p{{N}}_]+') IF length(x) >= 2]) AS term FROM documents),
+words AS (SELECT doc_id AS id, [x FOR x IN regexp_split_to_array({NORM.format('text')}, '[^\\p{{L}}\\p{{N}}_]+') IF length(x) >= 2] AS w FROM documents),
+tok AS (SELECT id, unnest(w) AS term FROM words UNION ALL SELECT id, a || ' ' || b FROM (SELECT id, unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM words WHERE len(w) > 1)),
 cnt AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM cnt GROUP BY term),
 raw AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)::DOUBLE) + 1) AS raw FROM cnt JOIN dfs USING (term), (SELECT count(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL)),
@@ -138,7 +192,7 @@ def tfidf_terms(spark, sf_dir):
     return w.groupBy("term").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 5).alias("total")).where("n >= 50")
 
 
-@query(f"WITH {TFIDF}, q AS (SELECT term, count(*) AS t FROM (SELECT unnest([x FOR x IN string_split('{BRIEF}', ' ') IF length(x) >= 2]) AS term) GROUP BY term) SELECT id, round(sum(weight * t / (SELECT sqrt(sum(t * t)) FROM q)), 6) AS similarity FROM w JOIN q USING (term) GROUP BY id")
+@query(f"WITH {TFIDF}, bw AS (SELECT string_split('{BRIEF}', ' ') AS w), q AS (SELECT term, count(*) AS t FROM (SELECT unnest(w) AS term FROM bw UNION ALL SELECT a || ' ' || b FROM (SELECT unnest(w[1:len(w) - 1]) AS a, unnest(w[2:]) AS b FROM bw)) GROUP BY term) SELECT id, round(sum(weight * t / (SELECT sqrt(sum(t * t)) FROM q)), 6) AS similarity FROM w JOIN q USING (term) GROUP BY id")
 def tfidf_brief_match(spark, sf_dir):
     return O.brief_match(O.tfidf(read(spark, sf_dir, "documents"), "doc_id", "text"), BRIEF, spark)
 

@@ -59,9 +59,51 @@ def test_health_is_null_safe(spark):
 
 
 def test_next_test_without_winners(spark):
-    df = cases(spark).withColumns({"risk": F.lit(0.1), "fatigue_status": F.lit("healthy"), "repetition_status": F.lit("low"), "best_score": F.lit(0.2), "segment": F.lit("not_top")})
-    out = nexttest.suggestions(df, df.limit(0), ("vertical",), ("format",), {"spend": "spend"}).select("next_test", nexttest.action().alias("a"), nexttest.priority().alias("p")).distinct().collect()
-    assert [tuple(r) for r in out] == [(nexttest.NO_WINNERS, "Pause or rebuild", 0.52)]
+    df = cases(spark).withColumns({"risk": F.lit(0.1), "fatigue_status": F.lit("healthy"), "repetition_status": F.lit("distinct"), "best_score": F.lit(0.2), "segment": F.lit("not_top"), "winners": F.lit(0)})
+    df = df.withColumns({"mode_format": F.lit(None).cast("string"), "share_format": F.lit(None).cast("double"), "median_spend": F.lit(None).cast("double"), "std_spend": F.lit(1.0)})
+    out = df.select(nexttest.suggestions(("format",), {"spend": "spend"}).alias("tests"), nexttest.action().alias("a"), nexttest.priority().alias("p"))
+    out = out.select(nexttest.composed(F.col("a"), F.col("tests")), "a", "p").distinct().collect()
+    assert [tuple(r) for r in out] == [("Rebuild the concept before scaling: test a clearer hook with a fresh visual angle", "Pause or rebuild", 0.52)]
+
+
+def test_fallback_pool_narrows_while_three_are_left(spark):
+    rows = [(i, "game", "video" if i < 3 else "image", 0.1 * i) for i in range(5)] + [(10, "shop", "video", 0.9), (11, "shop", "image", None)]
+    ranking = spark.createDataFrame([(*r, "top_performer") for r in rows] + [(20, "game", "banner", 0.5, "stable"), (21, "none", "video", 0.5, "stable"), (22, "none", None, 0.5, "stable")], "case_id int, vertical string, format string, best_score double, status string")
+    contexts, members = nexttest.fallback_pools(ranking)
+    pools = contexts.join(members, ["kind", "key"]).groupBy("vertical", "format").agg(F.sort_array(F.collect_list("winner_id")).alias("w"))
+    got = {(r.vertical, r.format): r.w for r in pools.collect()}
+    assert got["game", "video"] == [0, 1, 2] and got["game", "image"] == [0, 1, 2, 3, 4] == got["game", "banner"]
+    assert got["shop", "video"] == [0, 1, 2, 10] == got["none", "video"] and got["none", None] == [0, 1, 2, 3, 4, 10, 11]
+
+
+def test_reuse_takes_plain_shares_and_the_plain_mean(spark):
+    rows = [(1, i, 0.9 - 0.1 * i, 0.5, f, p, s, None, 1.0, None, None) for i, (f, p, s) in enumerate([(0.8, 1.0, "top_performer"), (0.2, 3.0, "fatigue"), (-0.5, None, "fatigued"), (0.0, 2.0, "stable")])]
+    rows.append((2, 0, 0.5, None, 0.5, None, "stable", None, None, None, None))
+    df = spark.createDataFrame(rows, "query_id int, case_id int, similarity double, agreement double, final_score double, c_perf double, c_status string, c_roas double, c_ipm double, c_ctr double, c_cvr double")
+    a, b = retrieval.reuse_summary(df).orderBy("query_id").collect()
+    assert (a.top_ratio, a.fatigued_ratio, a.stable_ratio, a.median_perf, a.weighted_perf) == (0.25, 0.5, 0.25, 2.0, 1.4)
+    spread = (2 / 3) ** 0.5  # of 1, 3 and 2
+    assert a.confidence == pytest.approx(0.35 * 0.4 + 0.35 * 0.75 + 0.25 * 0.5 - spread / (2 + 1e-6) * 0.1, abs=1e-6)
+    assert b.confidence == pytest.approx(0.35 * 0.1 + 0.35 * 0.5 + 0.25 * 0.5 - 0.1, abs=1e-6) and b.weighted_perf is None
+    action = retrieval.reuse_summary(df).withColumns({"neighbors": F.lit(5), "confidence": F.lit(0.6), "top_ratio": F.lit(0.6), "fatigued_ratio": F.lit(0.1), "weighted_perf": F.lit(None).cast("double")})
+    assert action.select(retrieval.recommended_action()).first()[0] == "SCALE"  # an unknown outcome counts as 0
+
+
+def test_prediction_fills_unknown_outcomes_and_ndcg_takes_equal_labels(spark):
+    rows = [(1, 7, 1, 0.6, 1.0, "a", "a", True, None, 5.0), (1, 8, 2, 0.3, None, "a", "b", None, None, 5.0), (1, 9, 3, 0.1, 3.0, "a", "a", None, True, 5.0)]
+    df = spark.createDataFrame(rows, "query_id int, case_id int, place int, final_score double, c_perf double, q_status string, c_status string, c_tired boolean, q_tired boolean, q_perf double")
+    r = retrieval.query_metrics(df).first()
+    assert r.predicted == pytest.approx(0.6 + 0.3 * 2 + 0.1 * 3) and r.label_consistency == pytest.approx(2 / 3, abs=1e-6) and r.fatigue_consistency == pytest.approx(1 / 3, abs=1e-6)
+    assert r.ndcg == pytest.approx((1 + 0.5) / (1 + 1 / np.log2(3)), abs=1e-6) and r.hit_top_performer == 0 and r.actual == 5
+
+
+def test_weights_sum_to_one_and_candidates_follow_them(spark):
+    from casewise.plans import retrieval as plan
+
+    assert all(sum(w.values()) == pytest.approx(1, abs=2e-6) for w in plan.trial_weights())
+    df = spark.createDataFrame([([3.0, 4.0], [0.0, 2.0])], "a array<double>, b array<double>")
+    got = df.select(retrieval.weighted_vector([(F.col("a"), 0.64), (F.col("b"), 0.36)])).first()[0]
+    assert got == pytest.approx([0.48, 0.64, 0.0, 0.6])
 
 
 def test_contracts(spark):
@@ -125,8 +167,50 @@ def test_geometry(spark):
 
 
 def test_texts(spark):
-    r = spark.range(1).select(texts.fuzzy_match(F.lit("Play Now!"), F.lit("play now")).alias("a"), texts.fuzzy_match(F.lit(""), F.lit("x")).alias("b"), texts.token_overlap(F.lit("a b c"), F.lit("b c d e")).alias("c"), texts.text_type(F.lit("Get it"), F.lit(0.1)).alias("d"), texts.inferred_group(F.lit("der die das"), {"en": ("the",), "de": ("der", "die")}).alias("e")).first()
-    assert tuple(r) == (True, False, 0.5, "cta", "de")
+    r = spark.range(1).select(texts.fuzzy_match(F.lit("Play Now!"), F.lit("play now")).alias("a"), texts.fuzzy_match(F.lit(""), F.lit("x")).alias("b"), texts.token_overlap(F.lit("a b c"), F.lit("b c d e")).alias("c"), texts.inferred_group(F.lit("der die das"), {"en": ("the",), "de": ("der", "die")}).alias("e")).first()
+    assert tuple(r) == (True, False, 0.5, "de")
+
+
+def test_label_types_by_rule(spark):
+    cases = [
+        ("Acme Gmes", "acme games", None, None, None, 0.5, "brand_name", 0.92),
+        ("games by acme corp now", "acme corp ltd", None, None, None, 0.5, "brand_name", 0.82),
+        ("Order today", "zzz", "order today", None, None, 0.5, "cta_button", 0.95),
+        ("</s>Flash sale live!", None, None, "flash sale live", None, 0.5, "headline", 0.95),
+        ("big words of the season", None, None, None, "words of the season", 0.5, "subheadline", 0.88),
+        ("5 stars", None, None, None, None, 0.5, "social_proof", 0.88),
+        ("50% more", None, None, None, None, 0.5, "discount_badge", 0.88),
+        ("coffee", None, None, None, None, 0.5, "discount_badge", 0.88),
+        ("$ 3", None, None, None, None, 0.5, "price_tag", 0.85),
+        ("try it", None, None, None, None, 0.5, "cta_button", 0.75),
+        ("privacy", None, None, None, None, 0.5, "legal_text", 0.7),
+        ("tiny", None, None, None, None, 0.95, "legal_text", 0.7),
+        (None, "acme", "x", "y", "z", 0.5, "other", 0.55),
+    ]
+    df = spark.createDataFrame([c[:6] for c in cases], "t string, brand string, cta string, head string, sub string, y double")
+    got = df.select(texts.text_type(*[F.col(c) for c in ("t", "brand", "cta", "head", "sub", "y")], F.lit(0.001)).alias("k")).select("k.*").collect()
+    assert [(r.kind, r.confidence) for r in got] == [c[6:] for c in cases]
+
+
+def test_layouts_by_rule(spark):
+    card = lambda x, y, area=0.1, shape="card_portrait": (shape, area, x, y, 4)
+    cases = [
+        ([card(x, y) for x in (0.2, 0.8) for y in (0.2, 0.7)], "grid_2x2"),
+        ([card(x, 0.5) for x in (0.2, 0.5, 0.9)], "carousel_3"),
+        ([card(0.2, 0.5), card(0.7, 0.55)], "dual_product"),
+        ([card(0.4, 0.4, shape="circle"), card(0.5, 0.55)], "hero_shapes"),
+        ([card(0.5, 0.5), card(0.5, 0.9, 0.001, "circle"), card(0.6, 0.9, 0.001, "circle")], "single_product"),
+        ([], "minimal"),
+        ([card(0.1, 0.1), card(0.1, 0.9)], "multi_product_2"),
+    ]
+    df = spark.createDataFrame([(e,) for e, _ in cases], "e array<struct<shape:string,area:double,x:double,y:double,vertices:int>>")
+    got = df.select(*[c.alias(n) for n, c in geometry.layout_template(F.col("e")).items()]).collect()
+    assert [r.layout_template for r in got] == [t for _, t in cases] and got[4].has_pagination_dots and got[1].has_carousel_indicator is False
+
+
+def test_terms_are_words_and_pairs(spark):
+    df = spark.createDataFrame([("The cät sat, a mat",), ("one",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(texts.terms(F.col("t"))).collect()] == [["the", "cat", "sat", "mat", "the cat", "cat sat", "sat mat"], ["one"], [], None]
 
 
 def test_blocks(spark):
