@@ -8,8 +8,8 @@ rows meet in an equi-join. An image that ``LEAST_VOTES`` of a query's descriptor
 candidate; its descriptors and the query's are then all compared, and those within ``MOST_APART`` bits
 must agree on one similarity transform (scale, turn, shift).
 
-Neither side is collected or broadcast. A bitmap of fixed size tells which keys queries have,
-so images send few of their rows; it only spares rows. Equal images are described once.
+Neither side is collected or broadcast. A bitmap of fixed size tells which keys queries may
+have, so images send few of their rows; it only spares rows. Equal images are searched once.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ SCALES = (1.0, 0.85, 0.72, 0.61)
 CORNERS = (24, 16, 10, 6)  # at each scale, the strongest; more as an image exceeds AREA
 AREA = 96 * 96
 RADIUS = 12
-TURNS = 30
-TABLES, KEY_BITS = 16, 32  # keys of a descriptor, and the bits that each of them keeps
+TURNS = 60
+PROBES = (0, 1, -1)  # a query's corners are also described turned by a bin, as an orientation may be off by one
+TABLES, KEY_BITS = 16, 44  # keys of a descriptor, and the bits that each of them keeps
 LEAST_VOTES = 3  # descriptors of a query that meet some descriptor of a candidate
-SLOTS = 26  # the bitmap has 2 ** SLOTS bits (8 MB)
+SLOTS, MARKS = 27, 3  # the bitmap has 2 ** SLOTS bits (16 MB); bits that a key sets
 MOST_APART = 48  # of 256 bits
 LEAST_AGREEING = 6  # matches that agree on one transform
 SHIFT_PIXELS = 3.0
@@ -85,8 +86,11 @@ def _resized(x: np.ndarray, scale: float) -> np.ndarray:
     return rows[:, :, x0] * (1 - fx) + rows[:, :, np.minimum(x0 + 1, x.shape[2] - 1)] * fx
 
 
-def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(image, (x, y, scale, turn), descriptor as four numbers) of the corners of images [n, h, w]."""
+def describe(images: np.ndarray, probes: tuple[int, ...] = (0,)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, (x, y, scale, turn), descriptor as four numbers) of the corners of images [n, h, w].
+
+    With more ``probes`` the descriptors of a corner, each turned by so many bins, lie side by side.
+    """
     owners, places, bits = [], [], []
     base = images.astype(np.float32)
     grown = max(1.0, images.shape[1] * images.shape[2] / AREA)
@@ -112,34 +116,40 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         who, y, x = who[keep], y[keep], x[keep]
         around = level[who[:, None], y[:, None] + _DISC[:, 1], x[:, None] + _DISC[:, 0]]
         turn = np.arctan2((around * _DISC[:, 1]).sum(axis=1), (around * _DISC[:, 0]).sum(axis=1))
-        pattern = _ROTATED[np.rint(turn / (2 * np.pi / TURNS)).astype(int) % TURNS]
-        grey = level[who[:, None, None], y[:, None, None] + pattern[..., 1], x[:, None, None] + pattern[..., 0]]
         owners.append(who)
         places.append(np.stack([(x + 0.5) / scale, (y + 0.5) / scale, np.full(len(x), 1 / scale), turn], axis=1).astype(np.float32))
-        bits.append(np.packbits(grey[..., 0] < grey[..., 1], axis=1).view(U64).reshape(len(x), 4))
+        each = []
+        for probe in probes:
+            pattern = _ROTATED[(np.rint(turn / (2 * np.pi / TURNS)).astype(int) + probe) % TURNS]
+            grey = level[who[:, None, None], y[:, None, None] + pattern[..., 1], x[:, None, None] + pattern[..., 0]]
+            each.append(np.packbits(grey[..., 0] < grey[..., 1], axis=1).view(U64).reshape(len(x), 4))
+        bits.append(np.concatenate(each, axis=1))
     if not owners:
-        return np.empty(0, np.int64), np.empty((0, 4), np.float32), np.empty((0, 4), U64)
+        return np.empty(0, np.int64), np.empty((0, 4), np.float32), np.empty((0, 4 * len(probes)), U64)
     who = np.concatenate(owners)
     order = np.argsort(who, kind="stable")
     return who[order], np.concatenate(places)[order], np.concatenate(bits)[order]
 
 
-_FEATURES = "id long, h1 long, h2 long, places binary, bits binary"
+_FEATURES = "id long, h1 long, h2 long, places binary, bits binary, probes binary"
 
 
-def _describe(batches):
+def _describe(batches, probes: tuple[int, ...]):
+    """Features of images; probes: descriptors that keys are taken from, where there are more than ``bits``."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 64):
             part = batch.slice(lo, 64)
             decoded = [None if x is None else read_pgm(x) for x in part.column("image").to_pylist()]
-            places, bits = [b""] * len(decoded), [b""] * len(decoded)
+            places, bits, turned = ([b""] * len(decoded) for _ in range(3))
             for shape in {x.shape for x in decoded if x is not None}:
                 rows = [i for i, x in enumerate(decoded) if x is not None and x.shape == shape]
-                who, place, bit = describe(np.stack([decoded[i] for i in rows]))
+                who, place, bit = describe(np.stack([decoded[i] for i in rows]), probes)
                 at = np.searchsorted(who, np.arange(len(rows) + 1))
                 for k, i in enumerate(rows):
-                    places[i], bits[i] = place[at[k] : at[k + 1]].tobytes(), bit[at[k] : at[k + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h1"), part.column("h2"), pa.array(places, pa.binary()), pa.array(bits, pa.binary())], [x.split()[0] for x in _FEATURES.split(", ")])
+                    own = bit[at[k] : at[k + 1]]
+                    places[i], bits[i] = place[at[k] : at[k + 1]].tobytes(), own[:, :4].tobytes()
+                    turned[i] = own.tobytes() if len(probes) > 1 else b""
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h1"), part.column("h2"), pa.array(places, pa.binary()), pa.array(bits, pa.binary()), pa.array(turned, pa.binary())], [x.split()[0] for x in _FEATURES.split(", ")])
 
 
 def keys_of(bits: np.ndarray) -> np.ndarray:
@@ -156,22 +166,33 @@ def keys_of(bits: np.ndarray) -> np.ndarray:
 _KEYS = "key long, id long, h1 long, place byte"
 
 
-def _deal(asked: np.ndarray | None):
-    """(key, image, place of the descriptor modulo 64) rows; with a bitmap only of keys that it has."""
+def _marks(key: np.ndarray) -> list[np.ndarray]:
+    """Bits of the bitmap that a key sets."""
+    out = []
+    for _ in range(MARKS):
+        out.append((key >> U64(64 - SLOTS)).astype(np.int64))
+        key = mix(key)
+    return out
+
+
+def _deal(asked: np.ndarray | None, column: str):
+    """(key, image, place of the descriptor modulo 64) rows; with a bitmap only of keys that it may have."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                raw = [x or b"" for x in part.column("bits").to_pylist()]
+                raw = [x or b"" for x in part.column(column).to_pylist()]
                 size = np.array([len(x) // 32 for x in raw])
                 bits = np.frombuffer(b"".join(raw), U64).reshape(-1, 4)
                 key = keys_of(bits).reshape(-1)
                 owner = np.repeat(np.repeat(np.arange(len(raw)), size), TABLES)
                 place = np.repeat(np.arange(len(bits)) - np.repeat(np.cumsum(size) - size, size), TABLES) % 64
                 if asked is not None:
-                    slot = key >> U64(64 - SLOTS)
-                    on = np.flatnonzero(asked[slot >> U64(3)] >> (slot & U64(7)).astype(np.uint8) & 1)
+                    on = np.arange(len(key))
+                    for k in range(MARKS):  # each mark spares most of what is left
+                        slot = _marks(key[on])[k]
+                        on = on[(asked[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)]
                     key, owner, place = key[on], owner[on], place[on]
                 at = pa.array(owner)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("id").take(at), part.column("h1").take(at), pa.array(place.astype(np.int8))], ["key", "id", "h1", "place"])
@@ -179,12 +200,17 @@ def _deal(asked: np.ndarray | None):
     return run
 
 
+def _slots(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(_marks(batch.column("key").to_numpy().view(U64)))))], ["slot"])
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Which slots (first ``SLOTS`` bits) keys have: at most 2 ** (SLOTS - 15) rows of 4 kB come to the driver."""
-    slot = F.shiftrightunsigned("key", 64 - SLOTS)
-    rows = keys.select((slot / 32768).cast("long").alias("segment"), (slot % 32768).alias("at")).groupBy("segment").agg(F.bitmap_construct_agg("at"))
+    """The bitmap of all keys: at most 2 ** (SLOTS - 15) rows of 4 kB come to the driver."""
+    slots = keys.select("key").mapInArrow(_slots, "slot long")
+    rows = slots.select((F.col("slot") / 32768).cast("long").alias("segment"), (F.col("slot") % 32768).alias("at")).groupBy("segment").agg(F.bitmap_construct_agg("at"))
     out = np.zeros((1 << SLOTS) // 8, dtype=np.uint8)
-    for segment, bits in rows.collect():
+    for segment, bits in rows.toLocalIterator():
         out[segment * 4096 : (segment + 1) * 4096] = np.frombuffer(bits, np.uint8)
     return out
 
@@ -232,18 +258,18 @@ PAIR = "query_id long, match_id long, n_matches long, n_agreeing long"
 def _searched(images: DataFrame, queries: DataFrame, id_col: str, image_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(features of all images, first id of each class of equal images, pairs)."""
 
-    def features(of: DataFrame) -> DataFrame:
+    def features(of: DataFrame, probes: tuple[int, ...]) -> DataFrame:
         rows = of.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).alias("image")).where("id IS NOT NULL")
-        return rows.select("id", F.xxhash64("image").alias("h1"), F.xxhash64(F.lit(1), "image").alias("h2"), "image").mapInArrow(_describe, _FEATURES)
+        return rows.select("id", F.xxhash64("image").alias("h1"), F.xxhash64(F.lit(1), "image").alias("h2"), "image").mapInArrow(lambda batches: _describe(batches, probes), _FEATURES)
 
-    every = scratch.table(features(images), "features")
+    every = scratch.table(features(images, (0,)), "features")
     first = every.groupBy("h1", "h2").agg(F.min("id").alias("id"))
     index = every.join(first, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    asked = scratch.table(features(queries).dropDuplicates(["id", "h1", "h2"]), "queries")
+    asked = scratch.table(features(queries, PROBES).dropDuplicates(["id", "h1", "h2"]), "queries")
     side = lambda df: df.select(*[F.col(c).alias(f"{c}_q" if c != "key" else c) for c in df.columns])
-    wanted = scratch.table(asked.mapInArrow(_deal(None), _KEYS), "keys")
+    wanted = scratch.table(asked.mapInArrow(_deal(None, "probes"), _KEYS), "keys")
     shared = images.sparkSession.sparkContext.broadcast(_bitmap(wanted))
-    offered = every.join(first, ["id", "h1", "h2"], "left_semi").mapInArrow(lambda batches: _deal(shared.value)(batches), _KEYS)
+    offered = every.join(first, ["id", "h1", "h2"], "left_semi").mapInArrow(lambda batches: _deal(shared.value, "bits")(batches), _KEYS)
     votes = offered.join(side(wanted), "key").groupBy("id_q", "h1_q", "id", "h1").agg(F.bit_or(F.expr("shiftleft(1L, place_q)")).alias("votes"))
     candidates = scratch.table(votes.where(F.bit_count("votes") >= LEAST_VOTES).drop("votes"), "candidates")
     fed = candidates.join(side(asked.select("id", "h1", "places", "bits")), ["id_q", "h1_q"]).join(index.select("id", "h1", "places", "bits"), ["id", "h1"])
