@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import carried, with_record
+from .scratch import fed, part_of, with_record
 from .textkernel import U64, Words, _BASE, _LETTER, _powers, mix, string_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -258,16 +258,18 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def predict_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """One row per document: doc_id, lang_pred, score; with ``whole`` also record, the input row as a struct.
+    """One row per document: doc_id, lang_pred, score; with ``whole`` record, the input row as a struct, in place of doc_id.
 
     score: the predicted language's share of the likelihoods. A text that is null or has no
     letter, and any text where no language was learned, is ``und`` with score 0; ties go to
     the language first by name. Whole texts of any size are scored; rows repeat as the input
     does; other columns are ignored.
     """
-    fed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"), *carried(docs, whole))
+    text = F.col(f"`{text_col}`")
+    rows = fed(docs, whole, doc_id=F.col(id_col).cast("long"), text=text)
+    rows = rows.withColumn("lettered", F.coalesce((F.col("record")[text_col] if whole else F.col("text")).rlike(r"\p{L}"), F.lit(False)))
     if model is None:
-        return fed.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), *fed.columns[3:])
+        return rows.select(rows.columns[0], F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -275,17 +277,17 @@ def predict_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_i
         names = np.array([*model.languages, "und"], dtype=object)
         for batch in batches:
             lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in string_slices(batch.column("text")):
+            for a, b, data, offsets in string_slices(part_of(batch, "text", text_col)):
                 log = model.score(Words(data, offsets, LETTERS))
                 best = log.argmax(axis=1)
                 score = 1 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
                 on = lettered[a:b]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array(names[np.where(on, best, len(names) - 1)], pa.string()), pa.array(np.where(on, score, 0.0)), *(batch.column(k).slice(a, b - a) for k in range(3, batch.num_columns))],
-                    ["doc_id", "lang_pred", "score", *batch.schema.names[3:]],
+                    [batch.column(0).slice(a, b - a), pa.array(names[np.where(on, best, len(names) - 1)], pa.string()), pa.array(np.where(on, score, 0.0))],
+                    [batch.schema.names[0], "lang_pred", "score"],
                 )
 
-    return fed.mapInArrow(run, with_record("doc_id long, lang_pred string, score double", fed))
+    return rows.mapInArrow(run, with_record("doc_id long, lang_pred string, score double", rows))
 
 
 def op1_marginal_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,24 @@ from pyspark.sql.types import StructType
 
 from ..sources.scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "carried", "shared_dir", "with_record"]
+__all__ = ["Scratch", "fed", "part_of", "shared_dir", "with_record"]
 
 
-def carried(df: DataFrame, whole: bool) -> list[Column]:
-    """The whole row as the struct ``record``, so that no result has to be joined back by an id."""
-    return [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record")] if whole else []
+def fed(df: DataFrame, whole: bool, **columns: Column) -> DataFrame:
+    """What goes to Python: the columns or, with ``whole``, the row as the struct ``record`` (its texts go once)."""
+    if whole:
+        return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("record"))
+    return df.select(*[c.alias(name) for name, c in columns.items()])
 
 
-def with_record(schema: str, fed: DataFrame) -> StructType:
-    """A schema, and the record of ``fed`` if it has one."""
+def part_of(batch, name: str, column: str):
+    """A column of a batch, from its record (there named ``column``) if it has one."""
+    return batch.column("record").field(column) if "record" in batch.schema.names else batch.column(name)
+
+
+def with_record(schema: str, source: DataFrame) -> StructType:
+    """A schema; for rows with a record that in place of doc_id."""
     out = StructType.fromDDL(schema)
-    return out.add(fed.schema["record"]) if "record" in fed.columns else out
+    if "record" not in source.columns:
+        return out
+    return StructType([source.schema["record"], *[f for f in out if f.name not in ("doc_id", "id", "text")]])

@@ -218,12 +218,21 @@ def read_index(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
     return placed.groupBy("index_range").applyInArrow(_merge, merged)
 
 
-def op10_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
     path = scratch.path("archives")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     scratch.free()
-    return read_index(spark, path, scratch).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "index_range", "index_slot", "sort_key")
+    return read_index(spark, path, scratch)
+
+
+def op10_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _captured(spark, sf_dir).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_capture_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same index with each capture's place: ranges in order, slots from 0 in each."""
+    return _captured(spark, sf_dir).select("page_id", "index_range", "index_slot", "sort_key")
 
 
 OP10_SQL = """

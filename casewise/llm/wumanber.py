@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, carried, with_record
+from .scratch import Scratch, fed, part_of, with_record
 from .textkernel import ALNUM, U64, Words, mix, string_slices
 
 STRETCH = 256  # words that one cursor searches
@@ -138,12 +138,13 @@ class Patterns:
         return np.cumsum(delta[:-1]) > 0, items
 
 
-def _scan(patterns: Patterns, last: bool):
-    """Search batches of (id, text, hits: a byte for each word so far, items so far, and what is carried along)."""
+def _scan(patterns: Patterns, text_col: str, last: bool):
+    """Search batches of (id and text, or record; hits: a byte for each word so far; items so far)."""
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in string_slices(batch.column("text")):
+            kept = [c for c in ("record", "id", "text") if c in batch.schema.names]
+            for a, b, data, offsets in string_slices(part_of(batch, "text", text_col)):
                 words = Words(data, offsets, ALNUM)
                 hit, items = patterns.search(words)
                 bounds = words.first
@@ -151,18 +152,16 @@ def _scan(patterns: Patterns, last: bool):
                 if before.null_count < b - a:
                     hit = hit | np.frombuffer(b"".join(before.to_pylist()), dtype=bool)
                 known = batch.column("items").slice(a, b - a).to_pylist()
-                found = [sorted(items.get(i, set()).union(known[i] or ())) for i in range(b - a)]
-                ids, names = batch.column("id").slice(a, b - a), batch.schema.names[4:]
-                more = [batch.column(c).slice(a, b - a) for c in names]
+                found = pa.array([sorted(items.get(i, set()).union(known[i] or ())) for i in range(b - a)], pa.list_(pa.string()))
                 if last:
                     total = np.concatenate([[0], np.cumsum(hit)])
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]]), pa.array(found, pa.list_(pa.string())), *more], ["doc_id", "n_words", "n_hit", "items", *names])
-                else:
-                    raw = hit.tobytes()
                     yield pa.RecordBatch.from_arrays(
-                        [ids, batch.column("text").slice(a, b - a), pa.array([raw[x:y] for x, y in zip(bounds[:-1], bounds[1:])], pa.binary()), pa.array(found, pa.list_(pa.string())), *more],
-                        ["id", "text", "hits", "items", *names],
+                        [batch.column(kept[0]).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(total[bounds[1:]] - total[bounds[:-1]]), found], ["record" if kept[0] == "record" else "doc_id", "n_words", "n_hit", "items"]
                     )
+                else:
+                    raw = hit.tobytes()
+                    hits = pa.array([raw[x:y] for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in kept), hits, found], [*kept, "hits", "items"])
 
     return run
 
@@ -170,7 +169,7 @@ def _scan(patterns: Patterns, last: bool):
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, whole: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (ids with occurring windows, sorted as strings).
 
-    With ``whole`` also record, the input row as a struct.
+    With ``whole`` record, the input row as a struct, in place of doc_id.
 
     A-Z are lower-cased; words are runs of digits, letters and non-ASCII characters. Windows:
     ``window`` consecutive words of an item; an item of fewer, but not none, is one window.
@@ -185,14 +184,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kept = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where("body IS NOT NULL")
     size = kept.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    out = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"), *carried(docs, whole))
+    rows = fed(docs, whole, id=F.col(id_col).cast("long"), text=F.col(text_col))
+    out = rows.withColumns({"hits": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
+    between, after = out.schema, with_record("doc_id long, n_words long, n_hit long, items array<string>", rows)
     for k in range(blocks):
         block = [tuple(r) for r in kept.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == k).collect()]
         shared = spark.sparkContext.broadcast(Patterns(block, window))
         last = k == blocks - 1
-        scan = lambda batches, shared=shared, last=last: _scan(shared.value, last)(batches)
+        scan = lambda batches, shared=shared, last=last: _scan(shared.value, text_col, last)(batches)
         before = out
-        out = out.mapInArrow(scan, with_record("doc_id long, n_words long, n_hit long, items array<string>" if last else "id long, text string, hits binary, items array<string>", out))
+        out = out.mapInArrow(scan, after if last else between)
         if not last:
             out = scratch.table(out, "pass")
             if k:
