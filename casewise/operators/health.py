@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import cases_of, clip
 from ..sources.scratch import Scratch
-from .order import Rank, quantile, with_ranks
+from .order import Rank, column_quantiles, with_ranks
 
 
 def tired_scores(cases: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def tired_scores(cases: DataFrame) -> DataFrame:
     """
     drop = {k: F.greatest(F.lit(0.0), F.coalesce(-F.col(f"{k}_decay"), F.lit(0.0))) for k in ("ctr", "cvr")}
     out = Scratch(cases.sparkSession, "health").table(cases.withColumns({f"_{k}": v for k, v in drop.items()}))
-    top = {c: quantile(out, c, 0.95) or 0.0 for c in ("_ctr", "_cvr", "fatigue_day")}
+    top = {c: q or 0.0 for c, q in column_quantiles(out, {c: (c, 0.95) for c in ("_ctr", "_cvr", "fatigue_day")}).items()}
     severity = lambda k: F.least(F.lit(1.0), F.col(f"_{k}") / top[f"_{k}"]) if top[f"_{k}"] > 0 else F.lit(0.0)
     early = F.coalesce(clip(1 - F.col("fatigue_day") / top["fatigue_day"], 0, 1), F.lit(0.0)) if top["fatigue_day"] > 0 else F.lit(0.0)
     label = F.greatest((F.col("status") == "fatigued").cast("double"), F.col("has_fatigue").cast("double"))

@@ -7,14 +7,17 @@ the ranges below, a table of at most ``CUTS`` + 1 rows for each group.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 
 CUTS = 127
+ACCURACY, FEW = 1000, 100_000  # of approximate percentiles; values that the driver sorts at most
 
 
 def value_table(df: DataFrame, col: str, by: tuple[str, ...] = (), cut_by: tuple[str, ...] = ()) -> DataFrame:
@@ -71,7 +74,55 @@ def with_ranks(df: DataFrame, *ranks: Rank) -> DataFrame:
 
 def quantile(df: DataFrame, col: str, share: float) -> float | None:
     """One exact quantile of a whole column, as a number."""
-    return quantiles(df, col, {"q": share}).first()[0]
+    return column_quantiles(df, {col: (col, share)})[col]
+
+
+def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dict[str, float | None]:
+    """Exact quantiles (linear interpolation) of whole columns; wanted: name -> (column, share). None for a column of nulls.
+
+    Approximate percentiles bracket each quantile; rows below the bracket are counted and the
+    distinct values inside it, few by then, come to the driver. A bracket that still has more
+    than ``FEW`` values is narrowed in the same way.
+    """
+    margin, todo, out = 2.0 / ACCURACY, {}, {}
+    own = {name: (F.col(c).cast("double"), p) for name, (c, p) in wanted.items()}
+
+    def bracket(x: Column, p: float) -> Column:
+        return F.percentile_approx(x, F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))), ACCURACY)
+
+    first = df.agg(*[e for name, (x, p) in own.items() for e in (F.count(x).alias(f"{name}_n"), bracket(x, p).alias(f"{name}_b"))]).first()
+    for name, (_, p) in own.items():
+        n = first[f"{name}_n"]
+        out[name] = None
+        if n:
+            todo[name] = (p * (n - 1), *first[f"{name}_b"])
+    tries = 0
+    while todo:
+        tries += 1
+        below = df.agg(*[F.count(F.when(own[name][0] < lo, 1)).alias(name) for name, (_, lo, _) in todo.items()]).first()
+        rows = {}
+        for name, (place, lo, hi) in list(todo.items()):
+            x = own[name][0]
+            inside = df.where((x >= lo) & (x <= hi)).groupBy(x.alias("v")).count()
+            rows[name] = sorted(tuple(r) for r in inside.limit(FEW + 1).collect())
+            found = rows[name]
+            if len(found) <= FEW:
+                ends = below[name] + np.cumsum([c for _, c in found])
+                if below[name] <= int(place) and (len(ends) and ends[-1] > math.ceil(place)):
+                    low, high = (found[int(np.searchsorted(ends, k, side="right"))][0] for k in (math.floor(place), math.ceil(place)))
+                    out[name] = low + (high - low) * (place - math.floor(place))
+                    del todo[name]
+                else:  # the approximation missed it: everything, to be narrowed
+                    todo[name] = (place, -math.inf, math.inf)
+            else:
+                m = df.where((x >= lo) & (x <= hi)).count()
+                p = min(1.0, max(0.0, (place - below[name]) / m))
+                todo[name] = (place, *df.where((x >= lo) & (x <= hi)).agg(bracket(x, p)).first()[0])
+        if tries > 20:  # brackets that don't narrow: many equal approximations
+            for name in todo:
+                out[name] = quantiles(df, wanted[name][0], {"q": wanted[name][1]}).first()[0]
+            break
+    return out
 
 
 def quantiles(df: DataFrame, col: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:

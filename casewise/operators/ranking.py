@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import cases_of
 from ..sources.scratch import Scratch
-from .order import Rank, quantile, with_ranks
+from .order import Rank, column_quantiles, quantile, with_ranks
 
 #: Weights of the percent ranks, and what a top performer gets on top.
 WEIGHTS = {"perf_score": 0.40, "roas": 0.25, "ipm": 0.20, "cvr": 0.10, "ctr": 0.05}
@@ -24,7 +24,7 @@ def winner_ranking(cases: DataFrame) -> DataFrame:
     """
     scratch = Scratch(cases.sparkSession, "ranking")
     cases = scratch.table(cases)
-    floors = {c: quantile(cases, c, EVIDENCE_SHARE) for c in ("spend", "impressions")}
+    floors = column_quantiles(cases, {c: (c, EVIDENCE_SHARE) for c in ("spend", "impressions")})
     enough = (F.col("spend") >= F.lit(floors["spend"])) | (F.col("impressions") >= F.lit(floors["impressions"]))
     marked = cases.withColumn("has_evidence", F.coalesce(enough, F.lit(False)))
     marked = marked.withColumns({f"_{m}": F.when(F.col("has_evidence"), F.col(m)) for m in WEIGHTS})

@@ -45,6 +45,53 @@ def test_quantile_matches_numpy(spark):
     assert order.quantile(df.limit(0), "x", 0.5) is None
 
 
+def test_narrowed_quantiles_match_numpy(spark, monkeypatch):
+    monkeypatch.setattr(order, "FEW", 40)  # so that brackets are narrowed several times
+    monkeypatch.setattr(order, "ACCURACY", 20)
+    draw = np.random.default_rng(5)
+    a, b = draw.normal(size=4000), np.repeat([1.0, 2.0, 2.0, 7.0], 1000)
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)] + [(None, None, None)], "a double, b double, c double").repartition(5)
+    wanted = {"a1": ("a", 0.0), "a2": ("a", 0.25), "a3": ("a", 0.9), "a4": ("a", 1.0), "b1": ("b", 0.25), "b2": ("b", 0.8), "c1": ("c", 0.5)}
+    got = order.column_quantiles(df, wanted)
+    values = {"a": a, "b": b}
+    assert got == {n: None if c == "c" else pytest.approx(np.quantile(values[c], p), abs=1e-12) for n, (c, p) in wanted.items()}
+
+
+def test_random_pairs_are_about_as_many_as_asked(spark):
+    df = spark.range(3000)
+    for n in (500, 6000):
+        rows = [tuple(r) for r in knn.random_pairs(df, n).collect()]
+        assert 0.7 * n < len(rows) < 1.3 * n and len(set(rows)) == len(rows) and all(a != b for a, b in rows)
+        assert rows and sorted(rows) == sorted(tuple(r) for r in knn.random_pairs(df.repartition(7), n).collect())
+
+
+def test_neighbours_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAST_ROWS", 8)
+    monkeypatch.setattr(knn, "QUERY_ROWS", 16)
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(90, 5))
+    x[7] = x[40] = x[41]
+    rows = [(i, None if i == 3 else x[i].tolist(), "g" if i % 3 else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, kind string").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 12)
+
+    def wanted(same):
+        out = {}
+        for i in range(90):
+            others = [j for j in range(90) if j not in (i, 3) and (not same or (i % 3 > 0) == (j % 3 > 0))]
+            out[i] = sorted(others, key=lambda j: (-sims[i, j], j))[:4]
+        del out[3]
+        return out
+
+    for group in (None, "kind"):
+        got = {}
+        for r in knn.nearest(df, df, 4, group_col=group).orderBy("query_id", "neighbor").collect():
+            got.setdefault(r.query_id, []).append(r.case_id)
+        assert got == wanted(group is not None)
+    assert knn.nearest(df.limit(0), df, 4).count() == 0 == knn.nearest(df, df.limit(0), 4).count()
+
+
 def test_winner_ranking_without_evidence(spark):
     out = {r.case_id: r for r in ranking.winner_ranking(cases(spark)).collect()}
     assert out[0].segment == "low_evidence" and out[0].best_score is None and out[0].hint == "Gather more data"
