@@ -1,6 +1,7 @@
 """Surrogates for personal data, with DataFrame functions only.
 
-Entities are found by one regular expression. Each distinct entity gets a keyed surrogate of
+Entities are found by one regular expression; names by their title or by a common given name
+before a surname, and wherever a name found in a text occurs in it again on its own. Each distinct entity gets a keyed surrogate of
 its own type: same format, script and (for names) gender. A surrogate is checked against all
 others and against all entities found in the corpus; of those that collide one stays and the
 others draw again, so distinct entities stay distinct, no surrogate is another person's real
@@ -20,6 +21,9 @@ MOST_DRAWS = 64
 MALE = "Mr|Sir|Herr|Señor|Sr|Monsieur|Господин"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Señora|Sra|Madame|Mme|Госпожа"
 _NAME = r"\p{Lu}[\p{Ll}'’-]{1,30}+"
+#: Common given names that aren't common words of another kind.
+GIVEN_M = "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Daniel|Matthew|Anthony|Steven|Andrew|Kenneth|Kevin|Brian|George|Edward|Peter|Paul|Hans|Klaus|Jürgen|Wolfgang|Stefan|Andreas|Jean|Pierre|Michel|Philippe|Jacques|Antoine|Carlos|José|Juan|Miguel|Pedro|Diego|Иван|Сергей|Дмитрий|Алексей|Андрей"
+GIVEN_F = "Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Nancy|Margaret|Sandra|Ashley|Emily|Michelle|Laura|Anna|Maria|Julia|Ursula|Monika|Petra|Sabine|Claudia|Marie|Isabelle|Sophie|Camille|Nathalie|Carmen|Lucía|Elena|Ana|Pilar|Ольга|Наталья|Екатерина|Татьяна|Елена"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}",
     "ipv4": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
@@ -28,6 +32,7 @@ PATTERNS = {
     "card": r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?!\d)",
     "secret": r"""(?<=["'])(?<=(?i:token|secret|password|passwd|api_?key|access_?key)[^\w"']{0,8}[=:][^\w"']{0,8}["'])[^"'\s]{8,200}+(?=["'])|(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?!\w)""",
     "name": rf"(?<!\w)(?:{MALE}|{FEMALE})\.? {_NAME}(?: {_NAME})?",
+    "full_name": rf"(?<!\w)(?:{GIVEN_M}|{GIVEN_F}) {_NAME}",
 }
 PATTERN = "|".join(PATTERNS.values())
 
@@ -115,7 +120,7 @@ def _kind(found: Column) -> Column:
     out = F.when(found.contains("@"), "email")
     for name in ("ipv4", "ssn", "card"):
         out = out.when(found.rlike(f"^(?:{PATTERNS[name]})$"), name)
-    return out.when(found.rlike(rf"^(?:{MALE}|{FEMALE})\.? {_NAME}"), "name").when(found.rlike(r"^[+(\d][\d ().+-]+$") & (F.length(_digits(found)) >= 8), "phone").otherwise("secret")
+    return out.when(found.rlike(rf"^(?:{MALE}|{FEMALE})\.? {_NAME}"), "name").when(found.rlike(rf"^(?:{GIVEN_M}|{GIVEN_F}) {_NAME}$"), "full_name").when(found.rlike(r"^[+(\d][\d ().+-]+$") & (F.length(_digits(found)) >= 8), "phone").otherwise("secret")
 
 
 def _pieces(found: Column) -> Column:
@@ -133,7 +138,25 @@ def _pieces(found: Column) -> Column:
     title = piece(F.concat(parts[0], F.lit(" ")), none, none)
     last = F.element_at(parts, -1)
     names = F.when(F.size(parts) == 3, F.array(title, piece(F.get(parts, 1), given, F.initcap(F.get(parts, 1))), piece(F.lit(" "), none, none), piece(last, F.lit("surname"), F.initcap(last)))).otherwise(F.array(title, piece(last, F.lit("surname"), F.initcap(last))))
-    return F.when(kind == "name", names).otherwise(plain)
+    called = F.when(parts[0].rlike(rf"^(?:{GIVEN_F})$"), F.lit("given_f")).otherwise(F.lit("given_m"))
+    full = F.array(piece(parts[0], called, F.initcap(parts[0])), piece(F.lit(" "), none, none), piece(last, F.lit("surname"), F.initcap(last)))
+    return F.when(kind == "name", names).when(kind == "full_name", full).otherwise(plain)
+
+
+def _woven(text: Column, pattern: Column, pieces) -> Column:
+    """Text cut at a pattern's matches: literal gaps, and ``pieces`` of each match."""
+    none = F.lit(None).cast("string")
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    return F.flatten(F.zip_with(gaps, found, lambda gap, match: F.concat(F.array(F.struct(gap.alias("lit"), none.alias("kind"), none.alias("value"))), F.when(match.isNotNull(), pieces(match)).otherwise(F.array()))))
+
+
+def _mentions(pieces: Column) -> Column:
+    """Pieces with the names among them found again in the literal text, as whole words, as they were written."""
+    names = F.array_distinct(F.filter(pieces, lambda p: p["kind"].isin("given_m", "given_f", "surname")))
+    listed = F.array_join(F.array_distinct(F.transform(names, lambda p: p["lit"])), "|")
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), listed, F.lit(r")(?![\p{L}\p{N}])"))
+    again = F.transform(pieces, lambda p: F.when(p["kind"].isNotNull(), F.array(p)).otherwise(_woven(p["lit"], pattern, lambda m: F.slice(F.filter(names, lambda n: n["lit"] == m), 1, 1))))
+    return F.when(F.size(names) > 0, F.flatten(again)).otherwise(pieces)
 
 
 def _written(raw: Column, kind: Column, new: Column) -> Column:
@@ -172,21 +195,22 @@ def replace_entities(docs: DataFrame, text_col: str = "text", key: str = KEY) ->
     """(record, new_text, n_entities) for each row; record: the whole input row as a struct.
 
     Texts without an entity, empty ones among them, are as before; a null text stays null.
-    Numbers that fail the Luhn check are no cards and stay. Equal texts get equal results;
-    an empty table gives an empty result.
+    Numbers that fail the Luhn check are no cards and stay. A name's parts are replaced wherever
+    they stand alone in the same text, also where the word means something else there. Texts
+    of any length are whole; rows that repeat and equal texts get equal results, an entity the
+    same surrogate in all texts; of surrogates that collide the least value keeps its own. An
+    empty table gives an empty result; other columns, whatever their names, stay in record.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     rows = docs.select(F.struct("*").alias("record"), F.col(text_col).alias("text"))
     text = F.col("text")  # cheap tests first: without an @ there is no email, and so on
     of = lambda *kinds: text.rlike("|".join(PATTERNS[k] for k in kinds))
-    has = (text.contains("@") & of("email")) | (text.rlike("[0-9]") & of("ipv4", "phone", "ssn", "card")) | (text.rlike("[\"']|AKIA|gh[pousr]_|sk-") & of("secret")) | of("name")
+    has = (text.contains("@") & of("email")) | (text.rlike("[0-9]") & of("ipv4", "phone", "ssn", "card")) | (text.rlike("[\"']|AKIA|gh[pousr]_|sk-") & of("secret")) | of("name", "full_name")
     has = F.coalesce(has, F.lit(False))
     clean = rows.where(~has).select("record", F.col("text").alias("new_text"), F.lit(0).cast("long").alias("n_entities"))
 
-    gaps, found = F.split("text", PATTERN, -1), F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))
-    none = F.lit(None).cast("string")
-    woven = F.flatten(F.zip_with(gaps, found, lambda gap, match: F.concat(F.array(F.struct(gap.alias("lit"), none.alias("kind"), none.alias("value"))), F.when(match.isNotNull(), _pieces(match)).otherwise(F.array()))))
-    marked = scratch.table(rows.where(has).select("record", woven.alias("pieces"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("casewise"), "text").alias("h2")), "marked")
+    rough = rows.where(has).select("record", "text", _woven(F.col("text"), F.lit(PATTERN), _pieces).alias("pieces"))
+    marked = scratch.table(rough.select("record", _mentions(F.col("pieces")).alias("pieces"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("casewise"), "text").alias("h2")), "marked")
 
     each = marked.select("h1", "h2", F.posexplode("pieces").alias("at", "piece")).where("piece.kind IS NOT NULL")
     each = each.select("h1", "h2", "at", "piece.*").distinct()

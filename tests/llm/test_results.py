@@ -150,6 +150,14 @@ def test_surrogates(spark):
     assert re.search(r"Госпожа [А-Я][а-я]+;", new) and re.search(r"9\d\d-\d\d-\d{4}$", new)
 
 
+def test_names_without_titles_and_their_mentions(spark):
+    texts = ["Yesterday Maria Lopez called. Lopez said that maria and Maria's friend, John Smith, left; Smith's dog, Smithson and LOPEZ stayed. Dr. Weber too.", "Smith alone is nobody's name here."]
+    a, b = [r.new_text for r in pii.replace_entities(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")).orderBy("record.doc_id").collect()]
+    first = re.match(r"Yesterday (\w+) (\w+) called\. (\w+) said that maria and (\w+)'s friend, (\w+) (\w+), left; (\w+)'s dog, Smithson and LOPEZ stayed\. Dr\. Weber too\.$", a)
+    assert first and first[2] == first[3] and first[1] == first[4] and first[6] == first[7] and first[1][-1] == "a"
+    assert not {"Maria", "Lopez", "John", "Smith"} & set(first.groups()) and b == texts[1]
+
+
 def test_surrogates_stay_distinct(spark):
     values = [(f"+1 ({200 + i // 100:03d}) 555-{i % 100:04d}", i) for i in range(3000)]
     out = pii.replace_entities(spark.createDataFrame(values, "text string, doc_id int")).select("record.text", "new_text").collect()
