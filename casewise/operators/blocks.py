@@ -38,6 +38,12 @@ def allowed_columns(df: DataFrame, mode: str, outcomes: tuple[str, ...] = (), mo
     return [c for c in names if (share[c] if share[c] is not None else 1.0) <= most_missing]
 
 
+def require_target(names: list[str], target: str) -> None:
+    """Evaluation needs its target column."""
+    if target not in names:
+        raise ValueError(f"the target column {target} is required for evaluation")
+
+
 def leaking_columns(mode: str, names: list[str]) -> list[str]:
     return [c for c in names if c.startswith(FORBIDDEN[mode])]
 
@@ -66,6 +72,60 @@ def transform(df: DataFrame, stats: DataFrame, id_col: str, columns: list[str],
     return raw.select(id_col, F.transform("_raw", lambda v: v / norm(F.col("_raw"))).alias(name))
 
 
+def missing_row_ratio(blocks: dict[str, list[str]]):
+    """Mean over blocks of the share of a row's nulls in each; blocks without columns don't count."""
+    shares = [sum((F.col(c).isNull().cast("double") for c in columns), F.lit(0.0)) / len(columns) for columns in blocks.values() if columns]
+    return sum(shares, F.lit(0.0)) / max(1, len(shares))
+
+
+def fit_levels(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, level) of the fitted rows; a missing value is the level ``__missing__``."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.coalesce(F.col(c).cast("string"), F.lit("__missing__")).alias("level")) for c in columns]))
+    return df.select(pairs.alias("p")).select("p.*").distinct()
+
+
+def one_hot(df: DataFrame, levels: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """(id, column_name, level, weight): the non-zero places of each row's one-hot block at length 1; unknown levels have none.
+
+    Levels are joined, not broadcast: they are as many as the columns have values.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.coalesce(F.col(c).cast("string"), F.lit("__missing__")).alias("level")) for c in columns]))
+    known = df.select(id_col, pairs.alias("p")).select(id_col, "p.*").join(levels, ["column_name", "level"])
+    length = known.groupBy(id_col).agg(F.sqrt(F.count("*")).alias("length"))
+    return known.join(length, id_col).select(id_col, "column_name", "level", F.round(1 / F.col("length"), 6).alias("weight"))
+
+
+#: Modes by the beginnings of feature-set names.
+MODES = ("early_3d", "early_7d", "early_14d", "prelaunch")
+
+
+def mode_of(feature_set: str, default: str) -> str:
+    return next((m for m in MODES if feature_set.startswith(m)), default)
+
+
+def gate(df: DataFrame, wanted: list[str], mode: str, outcomes: tuple[str, ...] = (), metadata: tuple[str, ...] = (), categories: tuple[str, ...] = (), most_missing: float = 0.8) -> dict[str, str]:
+    """What becomes of each wanted column: absent, outcome, forbidden, metadata, missing, text, or kept.
+
+    ``categories``: columns of categorical blocks, which may be metadata and needn't be numbers.
+    Null shares come from one pass. An empty table has no share that is too high.
+    """
+    out, numeric = {}, set(numeric_columns(df))
+    for c in wanted:
+        if c not in df.columns:
+            out[c] = "absent"
+        elif c in outcomes:
+            out[c] = "outcome"
+        elif c.startswith(FORBIDDEN.get(mode, ())):
+            out[c] = "forbidden"
+        elif c in metadata and c not in categories:
+            out[c] = "metadata"
+    left = [c for c in wanted if c not in out]
+    share = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in left]).first() if left else {}
+    for c in left:
+        out[c] = "missing" if (share[c] or 0.0) > most_missing else "kept" if c in numeric or c in categories else "text"
+    return {c: out[c] for c in wanted}
+
+
 def category_similarity(a: list, b: list):
     """Share of equal one-hot columns; a missing value is a level of its own."""
     same = [F.coalesce(x.cast("string"), F.lit("__missing__")) == F.coalesce(y.cast("string"), F.lit("__missing__")) for x, y in zip(a, b)]

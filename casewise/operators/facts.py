@@ -46,6 +46,17 @@ def rolling_previous(days: DataFrame, columns: tuple[str, ...], widths: tuple[in
     return days.withColumns({f"{c}_{name}_{w}d": F.coalesce(F.sum(c).over(f), F.lit(0)) for w, f in frames.items() for c in columns})
 
 
+def rolling_rates(rolled: DataFrame, widths: tuple[int, ...] = (3, 7, 14), name: str = "prev") -> DataFrame:
+    """Add ctr, cvr, ipm and (where there is spend) roas of the sums over previous days; null where the denominator is 0."""
+    has, out = set(rolled.columns), {}
+    for w in widths:
+        for rate, (n, d, m) in {"ctr": ("clicks", "impressions", 1), "cvr": ("conversions", "clicks", 1), "ipm": ("conversions", "impressions", 1000), "roas": ("revenue", "spend", 1)}.items():
+            top, below = f"{n}_{name}_{w}d", f"{d}_{name}_{w}d"
+            if {top, below} <= has:
+                out[f"{rate}_{name}_{w}d"] = F.round(safe_div(F.col(top) * m, F.col(below)), 6)
+    return rolled.withColumns(out)
+
+
 def early_windows(days: DataFrame, entity: str = "user_id", widths: tuple[int, ...] = (3, 7, 14)) -> DataFrame:
     """For each entity and window: active days, sums, spread of daily ctr, ratios of sums.
 

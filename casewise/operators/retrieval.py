@@ -19,6 +19,23 @@ def normalized_weights(weights: dict[str, float]) -> dict[str, float]:
     return {k: w / sum(used.values()) for k, w in used.items()}
 
 
+def resolved_filters(defaults: dict, exclude_same_campaign: bool, call: dict | None = None) -> dict:
+    """Configured filters, the default for cases of the same campaign over them, a call's own over both."""
+    return defaults | {"exclude_same_campaign": exclude_same_campaign} | (call or {})
+
+
+def neighbor_summary(neighbors: DataFrame) -> DataFrame:
+    """For each query: how many neighbours, how alike, their statuses and median outcomes (c_status, c_perf, c_roas, c_ipm)."""
+    status = lambda s: F.count(F.when(F.col("c_status") == s, 1))
+    four = lambda x, name: F.round(x, 4).alias(name)
+    return neighbors.groupBy("query_id").agg(
+        F.count("*").alias("similar_case_count"), four(F.avg("similarity"), "avg_similarity"), four(F.max("similarity"), "max_similarity"),
+        *[status(s).alias(f"{n}_count") for n, s in (("top_performer", "top_performer"), ("stable", "stable"), ("fatigued", "fatigued"))],
+        four(status("top_performer") / F.count("*"), "top_performer_ratio"), four(status("fatigued") / F.count("*"), "fatigued_ratio"),
+        *[four(F.median(f"c_{c}") + 1e-9, f"median_{c}") for c in ("perf", "roas", "ipm")],  # halves go up, however they are stored
+    )
+
+
 def overfetch(n: int, k: int) -> int:
     """How many of n indexed cases are fetched before filters; the query itself is one of them."""
     return min(n, max(10 * k, k + 1, 20))

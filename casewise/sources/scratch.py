@@ -7,6 +7,7 @@ executor, and unlike shuffle files they are compact and can be dropped when read
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is named (tests)."""
+    """The cluster's shared folder; a temporary one is set where none is named and all runs in this process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="casewise-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

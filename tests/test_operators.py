@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from casewise import catalog
 from casewise.functions import expr
 from casewise.operators import blocks, facts, geometry, health, knn, nexttest, order, profile, ranking, retrieval, serving, texts
-from casewise.sources import readers
+from casewise.sources import readers, scratch
 from casewise.sources.scratch import Scratch
 from casewise.streaming import rollup
 
@@ -218,6 +218,34 @@ def test_texts(spark):
     assert tuple(r) == (True, False, 0.5, "de")
 
 
+def test_feature_gate_modes_and_filters(spark):
+    df = spark.createDataFrame([(1.0, 0.5, None, 2.0, "x", "v")] * 5, "perf_score double, first_3d_ctr double, mostly_null double, clip_0 double, note string, vertical string")
+    wanted = ["missing_col", "perf_score", "first_3d_ctr", "vertical", "mostly_null", "note", "clip_0"]
+    got = blocks.gate(df, wanted, "prelaunch", ("perf_score",), ("vertical",))
+    assert got == dict(zip(wanted, ("absent", "outcome", "forbidden", "metadata", "missing", "text", "kept")))
+    assert blocks.gate(df, ["vertical", "first_3d_ctr"], "early_3d", (), ("vertical",), ("vertical",)) == {"vertical": "kept", "first_3d_ctr": "kept"}
+    assert blocks.gate(df.limit(0), ["clip_0"], "prelaunch") == {"clip_0": "kept"}
+    assert [blocks.mode_of(n, "all") for n in ("early_7d_core", "prelaunch_x", "full")] == ["early_7d", "prelaunch", "all"]
+    with pytest.raises(ValueError):
+        blocks.require_target(df.columns, "roas")
+    assert retrieval.resolved_filters({"same_vertical": True, "min_spend": 5}, True, {"exclude_same_campaign": False, "min_spend": 9}) == {"same_vertical": True, "min_spend": 9, "exclude_same_campaign": False}
+
+
+def test_unknown_levels_have_no_place(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, None, "y"), (3, "new", "x"), (4, "new", "new")], "id int, p string, q string")
+    rows = blocks.one_hot(df, blocks.fit_levels(df.where("id < 3"), ["p", "q"]), "id", ["p", "q"]).collect()
+    assert {(r.id, r.column_name, r.level, r.weight) for r in rows} == {(1, "p", "a", 0.707107), (1, "q", "x", 0.707107), (2, "p", "__missing__", 0.707107), (2, "q", "y", 0.707107), (3, "q", "x", 1.0)}
+
+
+def test_saved_index_can_be_read_again(spark, tmp_path):
+    from casewise.sources import indexes
+
+    df = spark.createDataFrame([(1, [0.1, 0.2]), (2, [1.0, 0.0])], "id long, vector array<double>")
+    manifest = indexes.save_index(df, f"file://{tmp_path}/i", {"clip": 0.5, "cnn": 0.5})
+    cases, again = indexes.load_index(spark, f"file://{tmp_path}/i")
+    assert again == manifest and again["cases"] == 2 and again["width"] == 2 and cases.count() == 2
+
+
 def test_label_types_by_rule(spark):
     cases = [
         ("Acme Gmes", "acme games", None, None, None, 0.5, "brand_name", 0.92),
@@ -305,6 +333,19 @@ def test_streamed_rollup_equals_batch(spark, tmp_path):
     assert got and got <= {tuple(r) for r in rollup.daily_counts(events).collect()}
 
 
+def test_a_cluster_must_name_the_shared_folder():
+    from types import SimpleNamespace
+
+    def session(master, named=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: named, set=lambda k, v: None), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,512]", "k8s://host"):
+        with pytest.raises(ValueError):
+            scratch.shared_dir(session(master))
+        assert scratch.shared_dir(session(master, "hdfs:///tmp")) == "hdfs:///tmp"
+    assert scratch.shared_dir(session("local[4]")).startswith("file:///")
+
+
 def test_scratch_tables_can_be_dropped(spark):
     scratch = Scratch(spark, "test")
     t = scratch.table(spark.range(3).toDF("x"))
