@@ -75,9 +75,12 @@ def temporal_split(spark, sf_dir):
     return J.temporal_split(read(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "is_train")
 
 
-@query()
+@query("SELECT count(DISTINCT user_id) AS users, 0 AS split_users, 5 AS folds, count(*) AS events FROM events WHERE user_id IS NOT NULL")
 def group_folds(spark, sf_dir):
-    return J.folds(read(spark, sf_dir, "events"), 5, "user_id").groupBy("fold").agg(F.countDistinct("user_id").alias("users"))
+    """What holds whatever the hash: each user's events lie in one fold, and no event is lost."""
+    dealt = J.folds(read(spark, sf_dir, "events").where("user_id IS NOT NULL"), 5, "user_id")
+    users = dealt.groupBy("user_id").agg(F.countDistinct("fold").alias("in_folds"), F.collect_set("fold").alias("which"), F.count("*").alias("n"))
+    return users.agg(F.count("*").alias("users"), F.coalesce(F.sum((F.col("in_folds") > 1).cast("int")), F.lit(0)).cast("int").alias("split_users"), F.size(F.array_distinct(F.flatten(F.collect_set("which")))).alias("folds"), F.sum("n").alias("events"))
 
 
 @query("SELECT role, string_agg(column_name, ',' ORDER BY column_name) AS names FROM (VALUES ('p_partkey', 'identifier'), ('p_name', 'text'), ('p_brand', 'text'), ('p_type', 'text'), ('p_size', 'number'), ('p_retailprice', 'number')) t(column_name, role) GROUP BY role")
