@@ -389,13 +389,13 @@ def whole(spark, tmp_path, name, **tables):
 
 def test_long_and_null_texts_are_normalized(spark, tmp_path):
     docs = spark.createDataFrame([(1, "É  A " * 3000), (2, None), (3, "x")], "doc_id long, text string")
-    found = whole(spark, tmp_path, "text_normalize_all", documents=docs)
+    found = whole(spark, tmp_path, "text_normalize", documents=docs)
     assert found == [(1, " ".join(["e a"] * 3000)), (2, None), (3, "x")]
 
 
 def test_words_beyond_the_twentieth_count(spark, tmp_path):
     docs = spark.createDataFrame([("en", "a " * 30 + " late" * 5), ("en", None), ("de", "a a")], "lang string, text string")
-    assert whole(spark, tmp_path, "explode_list_all", documents=docs) == [("en", "a", 30), ("en", "late", 5)]
+    assert whole(spark, tmp_path, "explode_list", documents=docs) == [("en", "a", 30), ("en", "late", 5)]
 
 
 def test_rows_without_a_partner_stay(spark, tmp_path):
@@ -403,11 +403,11 @@ def test_rows_without_a_partner_stay(spark, tmp_path):
     supplier = spark.createDataFrame([(2, "s2"), (7, "s7")], "s_suppkey long, s_name string")
     customer = spark.createDataFrame([(2, "c2"), (3, "c3"), (99, "c99")], "c_custkey long, c_name string")
     lines = spark.createDataFrame([(1, 1, 1, 2, 5.0), (1, 2, 9, 7, 50.0), (2, 1, None, None, 1.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
-    assert whole(spark, tmp_path, "fact_enrich_all", part=part, supplier=supplier, lineitem=lines, customer=customer) == [(1, 1, "b1", "k1", "s2"), (1, 2, None, None, "s7"), (2, 1, None, None, None)]
+    assert whole(spark, tmp_path, "fact_enrich", part=part, supplier=supplier, lineitem=lines, customer=customer) == [(1, 1, "b1", "k1", "s2"), (1, 2, None, None, "s7"), (2, 1, None, None, None)]
     outer = [(2, "s2", "c2"), (3, None, "c3"), (7, "s7", None), (99, None, "c99")]
-    assert whole(spark, tmp_path, "join_outer_all") == whole(spark, tmp_path, "explanations_outer_all") == outer
+    assert whole(spark, tmp_path, "join_outer") == whole(spark, tmp_path, "explanations_outer") == outer
     docs, labels = spark.createDataFrame([(1,), (2,)], "doc_id long"), spark.createDataFrame([(1, 1), (2, 0), (5, 1), (None, 1)], "doc_id long, quality int")
-    assert whole(spark, tmp_path, "fact_consistency_all", documents=docs, labels=labels) == [(4, 2, 1)]
+    assert whole(spark, tmp_path, "fact_consistency", documents=docs, labels=labels) == [(4, 2, 1)]
 
 
 def test_overlap_of_all_pairs_equals_brute_force(spark, tmp_path, monkeypatch):
@@ -417,5 +417,5 @@ def test_overlap_of_all_pairs_equals_brute_force(spark, tmp_path, monkeypatch):
     words = lambda t: set(re.findall(r"[a-z0-9%$€£¥]+", (t or "").lower()))
     wanted = [(i, d, round(len(words(y) & words(x)) / len(words(y)), 6)) for i, y in items for d, x in bodies if words(x) & words(y)]
     docs, bench = spark.createDataFrame(bodies, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert whole(spark, tmp_path, "token_overlap_all", documents=docs, benchmark=bench) == sorted(wanted, key=str)
+    assert whole(spark, tmp_path, "token_overlap", documents=docs, benchmark=bench) == sorted(wanted, key=str)
     assert texts.overlapping(docs, bench.limit(0), "doc_id", "item_id").count() == 0
