@@ -29,6 +29,16 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, clean:
     return cleaned(df) if clean else df
 
 
+def read_first(spark: SparkSession, *paths: str, **options) -> DataFrame:
+    """The first of the paths that exists, such as a Parquet table, its CSV sibling and a default folder's."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(conf).exists(at):
+            return read_table(spark, path, **options)
+    raise FileNotFoundError(" or ".join(paths))
+
+
 def cleaned(df: DataFrame) -> DataFrame:
     """Strings trimmed; NaN and infinities null."""
     def one(name: str, kind: str):

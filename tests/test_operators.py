@@ -316,6 +316,36 @@ def test_reads_and_writes(spark, tmp_path):
         readers.read_table(spark, "x.txt")
 
 
+def test_fallbacks_conversion_marts_and_catalogs(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, "a")], "id int, s string")
+    readers.write_table(df, f"{tmp_path}/t.csv")
+    readers.convert(spark, f"{tmp_path}/t.csv", f"{tmp_path}/u.parquet")
+    assert readers.read_first(spark, f"{tmp_path}/no.parquet", f"{tmp_path}/u.parquet", f"{tmp_path}/t.csv").count() == 2
+    with pytest.raises(FileNotFoundError):
+        readers.read_first(spark, f"{tmp_path}/no.parquet", f"{tmp_path}/no.csv")
+    paths = readers.write_marts({"t": df, "u": df}, str(tmp_path / "marts"), {"t": ("id",)})
+    assert [r.id for r in spark.read.parquet(paths["t"]).coalesce(1).collect()] and spark.read.parquet(paths["u"]).count() == 2
+    assert readers.feature_sets('{"core": ["a", "b"]}', "core") == ["a", "b"]
+    with pytest.raises(KeyError):
+        readers.feature_sets("{}", "core")
+
+
+def test_sql_names_of_expressions(spark):
+    expr.register_functions(spark)
+    r = spark.sql("SELECT cw_safe_div(1, 0) AS a, cw_clip(5, 0, 1) AS b, cw_clip(NULL, 0, 1) AS c, cw_normalize_text('  \u00c9t\u00e9  x ') AS d, cw_dot(array(1D, 2D), array(3D, 4D)) AS e").first()
+    assert tuple(r) == (None, 1.0, None, "ete x", 11.0)
+
+
+def test_weights_categories_zones_and_columns(spark):
+    assert retrieval.normalized_weights({"a": 3.0, "b": 1.0, "off": 0.0}) == {"a": 0.75, "b": 0.25}
+    boxes = F.array(*[F.array(*map(F.lit, b)) for b in ((0.0, 0.0, 0.2, 0.2), (0.0, 0.4, 0.2, 0.6), (0.1, 0.8, 0.3, 1.0), (0.0, 0.7, 1.0, 0.9))])
+    counts = geometry.zone_counts(boxes)
+    r = spark.range(1).select(*[c.alias(n) for n, c in counts.items()], geometry.whitespace_balance(F.lit(0.62)).alias("best"), geometry.whitespace_balance(F.lit(1.0)).alias("worst"), blocks.category_similarity([F.lit("a"), F.lit(None), F.lit("x")], [F.lit("a"), F.lit(None), F.lit("y")]).alias("same")).first()
+    assert (r.top, r.middle, r.bottom) == (1, 1, 2) and r.best == pytest.approx(1) and r.worst == 0 and r.same == pytest.approx(2 / 3)
+    df = spark.createDataFrame([(1.0, None, 2.0, 3.0)] * 3, "clip_0 double, empty double, first_3d_ctr double, roas double")
+    assert blocks.allowed_columns(df, "prelaunch", ("roas",)) == ["clip_0"] and blocks.leaking_columns("prelaunch", df.columns) == ["first_3d_ctr"]
+
+
 def test_image_headers(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"rest")
     (tmp_path / "b.png").write_bytes(b"nothing")
