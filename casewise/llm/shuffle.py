@@ -49,8 +49,8 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = 16, seed: int = 1
 
     Columns: shard, slot (gapless from 0 within a shard), record (the whole input row as a
     struct, so no name can clash). Shards' counts are at most one apart. The order depends
-    only on the rows and ``seed``; rows equal in all columns are interchangeable, and if they
-    are so many that their bucket is over-full, they are dealt over more buckets by position.
+    only on the rows and ``seed``; rows equal in all columns are interchangeable. A bucket that is
+    over-full, by many rows, many equal ones or a very long text, is dealt over more buckets.
     Null and empty texts are rows like others; an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -64,11 +64,14 @@ def external_shuffle(docs: DataFrame, path: str, shards: int = 16, seed: int = 1
 
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()
     full = {r.bucket: math.ceil(r.size / BUCKET_BYTES) for r in sizes if r.size > 4 * max(BUCKET_BYTES, total / buckets)}
-    if full:
-        spread = F.create_map(*[F.lit(x) for item in full.items() for x in item])
-        first = F.create_map(*[F.lit(x) for b, at in zip(full, np.cumsum([buckets, *full.values()]).tolist()) for x in (b, at)])
-        salted = (first[F.col("bucket")] + F.pmod(F.monotonically_increasing_id(), spread[F.col("bucket")])).cast("int")
-        keyed = keyed.withColumn("bucket", F.coalesce(salted, F.col("bucket")))
+    if full:  # dealt over more buckets by other hashes; equal rows, counted first, by their number among their like
+        edges = np.cumsum([buckets, *full.values()]).tolist()
+        spread = F.broadcast(spark.createDataFrame([(b, at, n) for (b, n), at in zip(full.items(), edges)], "bucket int, first int, spread int"))  # fewer than the buckets
+        also = F.xxhash64(F.lit(seed + 2), *[F.col(f"record.`{c}`") for c in docs.columns])
+        like = keyed.join(spread, "bucket").groupBy("first", "spread", "place", also.alias("also")).agg(F.first("record").alias("record"), F.first("size").alias("size"), F.count("*").alias("n"))
+        like = like.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        salted = (F.col("first") + F.pmod(F.xxhash64(F.lit(seed + 3), "place", "copy"), F.col("spread"))).cast("int").alias("bucket")
+        keyed = keyed.join(spread, "bucket", "left_anti").select("record", "place", "size", "bucket").union(like.select("record", "place", "size", salted))
         buckets += sum(full.values())
         sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).collect()
     counts = np.zeros(buckets + 1, dtype=np.int64)

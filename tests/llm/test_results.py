@@ -189,6 +189,10 @@ def test_repeated_rows_are_spread(spark, monkeypatch):
     df = spark.range(900).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text")).repartition(3)
     out = shuffle.external_shuffle(df, Scratch(spark, "test").path("s"), 4)
     assert [r.n for r in out.groupBy("shard").agg(F.count("*").alias("n")).collect()] == [225] * 4
+    mixed = spark.range(500).select(F.when(F.col("id") < 300, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") == 400, F.expr("repeat('x', 90000)")).otherwise("t").alias("text"))
+    runs = [shuffle.external_shuffle(d, Scratch(spark, "test").path("s"), 4) for d in (mixed.repartition(3), mixed.repartition(11))]
+    places = [sorted((r.shard, r.slot, r.record.doc_id, r.record.text) for r in x.collect()) for x in runs]
+    assert places[0] == places[1] and len(places[0]) == 500  # however the rows lie
 
 
 # images
