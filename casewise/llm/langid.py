@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import fed, part_of, with_record
+from .scratch import fed, part_of, small_batches, with_record
 from .textkernel import U64, Words, _BASE, _LETTER, _powers, mix, string_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -265,6 +265,7 @@ def predict_languages(docs: DataFrame, model: Model | None, id_col: str = "doc_i
     the language first by name. Whole texts of any size are scored; rows repeat as the input
     does; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     rows = fed(docs, whole, doc_id=F.col(id_col).cast("long"), text=text)
     rows = rows.withColumn("lettered", F.coalesce((F.col("record")[text_col] if whole else F.col("text")).rlike(r"\p{L}"), F.lit(False)))

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, small_batches
 from .textkernel import SPACED, U64, Words, mix, shingle_sets, string_slices
 
 FREQUENT = 0.002  # share of a slice's distinct sets from which a shingle counts as frequent
@@ -494,6 +494,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "partenum")
+    small_batches(spark)
     shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), (F.lit(0) if mark is None else mark).cast("long").alias("mark")), F.col(text_col).alias("text"))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import BLOCK, RESCALED, SHORT, VOCABULARY, Lattice
+from .scratch import small_batches
 from .textkernel import _LETTER, U64, _Powers, mix, string_slices
 
 SHARPNESS = 1.5
@@ -215,6 +216,7 @@ def encode_sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     its own key, and so do repeated ids. An empty table gives an empty result; other columns
     are ignored.
     """
+    small_batches(docs.sparkSession)
     fed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string")).alias("key"))
     made: dict = {}
 

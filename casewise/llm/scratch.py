@@ -1,12 +1,21 @@
 """Tables between passes (see ``casewise.sources.scratch``), and rows carried through Python whole."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.scratch import Scratch, shared_dir
 
-__all__ = ["Scratch", "fed", "part_of", "shared_dir", "with_record"]
+__all__ = ["Scratch", "fed", "part_of", "shared_dir", "small_batches", "with_record"]
+
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows in an Arrow batch from now on in this session: Spark's 10,000 whole texts take more of a worker than its work does."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def fed(df: DataFrame, whole: bool, **columns: Column) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, fed, part_of, with_record
+from .scratch import Scratch, fed, part_of, small_batches, with_record
 from .textkernel import ALNUM, U64, Words, mix, string_slices
 
 STRETCH = 256  # words that one cursor searches
@@ -181,6 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "wumanber")
+    small_batches(spark)
     kept = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("body")).where("body IS NOT NULL")
     size = kept.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
