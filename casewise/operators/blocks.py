@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import finite, norm
+from .order import column_quantiles
 from .profile import numeric_columns
 
 #: Column prefixes that each mode may not use.
@@ -49,15 +50,18 @@ def leaking_columns(mode: str, names: list[str]) -> list[str]:
 
 
 def fit(df: DataFrame, columns: list[str], robust: bool = False) -> DataFrame:
-    """One row for each column: median, center and spread (0 counts as 1) of the imputed column, in two passes."""
-    values = {c: finite(F.col(c).cast("double")) for c in columns}
-    medians = df.agg(*[F.median(v).alias(c) for c, v in values.items()])
-    filled = df.select(*[v.alias(c) for c, v in values.items()]).crossJoin(F.broadcast(medians.select(*[F.col(c).alias(f"_{c}") for c in columns])))
-    x = {c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in columns}
-    spread = (lambda v: F.percentile(v, 0.75) - F.percentile(v, 0.25)) if robust else F.stddev_pop
-    center = F.median if robust else F.avg
-    stats = filled.agg(F.array(*[F.struct(F.lit(c).alias("column_name"), F.max(f"_{c}").alias("median"), center(v).alias("center"), spread(v).alias("spread")) for c, v in x.items()]).alias("all"))
-    return stats.select(F.explode("all").alias("s")).select("s.*").withColumn("spread", F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0))
+    """One row for each column: median, center and spread (0 counts as 1) of the imputed column; nulls for a column without values."""
+    values = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    medians = column_quantiles(values, {c: (c, 0.5) for c in columns})
+    filled = values.select(*[F.coalesce(F.col(c), F.lit(medians[c])).alias(c) for c in columns])
+    if robust:
+        q = column_quantiles(filled, {f"{c} {p}": (c, p) for c in columns for p in (0.25, 0.5, 0.75)})
+        stats = {c: (q[f"{c} 0.5"], None if medians[c] is None else q[f"{c} 0.75"] - q[f"{c} 0.25"]) for c in columns}
+    else:
+        row = filled.agg(*[f(c).alias(f"{name} {c}") for c in columns for name, f in (("center", F.avg), ("spread", F.stddev_pop))]).first()
+        stats = {c: (row[f"center {c}"], row[f"spread {c}"]) for c in columns}
+    rows = [(c, medians[c], center, spread if spread and spread > 0 else 1.0) for c, (center, spread) in stats.items()]
+    return df.sparkSession.createDataFrame(rows, "column_name string, median double, center double, spread double")
 
 
 def transform(df: DataFrame, stats: DataFrame, id_col: str, columns: list[str], name: str = "block") -> DataFrame:

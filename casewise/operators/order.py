@@ -85,7 +85,7 @@ def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dic
     than ``FEW`` values is narrowed in the same way.
     """
     margin, todo, out = 2.0 / ACCURACY, {}, {}
-    own = {name: (F.col(c).cast("double"), p) for name, (c, p) in wanted.items()}
+    own = {name: (F.col(f"`{c}`").cast("double"), p) for name, (c, p) in wanted.items()}
 
     def bracket(x: Column, p: float) -> Column:
         return F.percentile_approx(x, F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))), ACCURACY)
