@@ -52,7 +52,7 @@ def random_pair_stats(spark, sf_dir):
     return sims.agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 6).alias("mean"), F.round(F.percentile("s", 0.95), 6).alias("p95"))
 
 
-CASE = """SELECT p_partkey AS id, p_brand AS vertical, p_type AS format, p_size AS campaign_id, CASE WHEN p_size % 7 > 0 THEN p_retailprice - 1000 END AS perf, p_retailprice AS spend, p_size % 3 = 0 AS tired,
+CASE = """SELECT p_partkey AS id, p_brand AS vertical, p_type AS format, p_size AS campaign_id, CASE WHEN p_size % 7 > 0 THEN p_retailprice - 910 END AS perf, p_retailprice AS spend, p_size % 3 = 0 AS tired,
   CASE WHEN p_size % 11 > 0 THEN p_retailprice / p_size END AS roas, p_size / 2.0::DOUBLE AS ipm, CASE WHEN p_size > 25 THEN p_size / 100.0::DOUBLE END AS ctr, CAST(NULL AS DOUBLE) AS cvr,
   CASE p_size % 6 WHEN 0 THEN 'top_performer' WHEN 1 THEN 'fatigued' WHEN 2 THEN 'fatigue' WHEN 3 THEN 'stable' ELSE 'top_performer' END AS status FROM part"""
 SIDES = ", ".join(f"{p}.{c} AS {p}_{c}" for p in "qc" for c in "vertical format campaign_id perf spend tired roas ipm ctr cvr status".split())
@@ -70,7 +70,7 @@ cand AS (
 
 
 CHOSEN = """passed AS (
-  SELECT *, (q_format IS NULL OR coalesce(q_format = c_format, false)) AND NOT coalesce(q_campaign_id = c_campaign_id, false) AND coalesce(c_spend >= 950, true) AS passes FROM cand),
+  SELECT *, (q_format IS NULL OR coalesce(q_format = c_format, false)) AND NOT coalesce(q_campaign_id = c_campaign_id, false) AND coalesce(c_spend >= 902, true) AS passes FROM cand),
 relaxing AS (SELECT *, NOT (sum(passes::INT) OVER (PARTITION BY query_id) >= 3) AS relaxed FROM passed),
 chosen AS (SELECT * EXCLUDE (passes) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS INT) AS neighbor FROM relaxing WHERE passes OR relaxed) WHERE neighbor <= 10)"""
 PLACED = """parts AS (
@@ -90,7 +90,7 @@ def cases(spark, sf_dir):
     status = F.when(size % 6 == 0, "top_performer").when(size % 6 == 1, "fatigued").when(size % 6 == 2, "fatigue").when(size % 6 == 3, "stable").otherwise("top_performer")
     case = read(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.col("p_brand").alias("vertical"), F.col("p_type").alias("format"), size.alias("campaign_id"),
-        F.when(size % 7 > 0, F.col("p_retailprice") - 1000).alias("perf"), F.col("p_retailprice").alias("spend"), (size % 3 == 0).alias("tired"),
+        F.when(size % 7 > 0, F.col("p_retailprice") - 910).alias("perf"), F.col("p_retailprice").alias("spend"), (size % 3 == 0).alias("tired"),
         F.when(size % 11 > 0, F.col("p_retailprice") / size).alias("roas"), (size / 2.0).alias("ipm"), F.when(size > 25, size / 100.0).alias("ctr"), F.lit(None).cast("double").alias("cvr"), status.alias("status"),
     )
     return vectors(spark, sf_dir).select("id", F.slice("vector", 1, 32).alias("a"), F.slice("vector", 33, 32).alias("b")).join(case, "id", "left")
@@ -114,7 +114,7 @@ def wide(spark, sf_dir, k: int = K, weights: dict[str, float] = BLOCKS):
 
 
 def condition():
-    return O.passes(same=("format",), other=("campaign_id",), at_least={("spend",): 950})
+    return O.passes(same=("format",), other=("campaign_id",), at_least={("spend",): 902})
 
 
 def chosen(spark, sf_dir):
@@ -210,7 +210,7 @@ def outcome_correlation(spark, sf_dir):
 CUT = "greatest(3, floor(0.8 * count(*)))"
 NEWER = candidates_sql(*BLOCKS.values(), 5, f"a.vec_id >= (SELECT {CUT} FROM v) AND b.vec_id < (SELECT {CUT} FROM v)", CUT, 0)
 BY_ROW = f"""{NEWER},
-by_row AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS INT) AS neighbor FROM cand WHERE coalesce(c_spend >= 950, true))"""
+by_row AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, case_id) AS INT) AS neighbor FROM cand WHERE coalesce(c_spend >= 902, true))"""
 
 
 def by_row(spark, sf_dir):
@@ -218,7 +218,7 @@ def by_row(spark, sf_dir):
     every = cases(spark, sf_dir)
     cut = max(3, int(0.8 * every.count()))
     near = fetched(spark, sf_dir, every.where(F.col("id") < cut), every.where(F.col("id") >= cut), 5, BLOCKS)
-    return O.filtered(near, O.passes(at_least={("spend",): 950}), 5, relax=False).withColumn("final_score", F.col("similarity"))
+    return O.filtered(near, O.passes(at_least={("spend",): 902}), 5, relax=False).withColumn("final_score", F.col("similarity"))
 
 
 @query(f"WITH {BY_ROW} SELECT query_id, case_id, neighbor, round(similarity, 6) AS final_score FROM by_row WHERE neighbor <= 5")
