@@ -4,18 +4,17 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import cosine
 from ..operators import blocks as B
 from ..operators import facts
-from ..operators import knn
 from ..operators import retrieval as R
 from ..operators import texts as T
+from ..operators.fetch import fetch, pack
 from ..sources.indexes import load_index, save_index
 from ..sources.scratch import Scratch
 from . import query, read
 from .facts import DAYS, SUMS, _dated, days
 from .ranking import CASES, HEALTH, RANKING, cases, healthy, neighbors, ranked
-from .retrieval import BLOCKS, CHOSEN, K, candidates_sql, condition
+from .retrieval import BLOCKS, CHOSEN, RELAXED, K, candidates_sql, condition, found
 from .retrieval import cases as embedded
 from .texts import LABEL, LABELS, labels
 
@@ -131,11 +130,10 @@ def saved_index_retrieval(spark, sf_dir):
     every = embedded(spark, sf_dir)
     save_index(every.withColumn("vector", R.weighted_vector([(F.col("a"), BLOCKS["block_a"]), (F.col("b"), BLOCKS["block_b"])])), path, BLOCKS)
     index, manifest = load_index(spark, path)
-    near = knn.nearest(index, index, R.overfetch(manifest["cases"], K) - 1).select("query_id", "case_id")
-    side = lambda p, key: index.select(F.col("id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in index.columns if c not in ("id", "vector")])
-    joined = near.join(side("q", "query_id"), "query_id").join(side("c", "case_id"), "case_id")
-    joined = joined.withColumns({f"block_{x}": F.round(cosine(F.col(f"q_{x}"), F.col(f"c_{x}")), 9) for x in ("a", "b")})
-    joined = joined.withColumn("similarity", F.round(sum(F.col(b) * w for b, w in manifest["weights"].items()), 9))
+    weights, scratch = {b.removeprefix("block_"): w for b, w in manifest["weights"].items()}, Scratch(spark, "index")
+    packed = pack(index, tuple(weights), RELAXED, scratch)
+    near = fetch(packed, packed[0], weights, R.overfetch(manifest["cases"], K) - 1, RELAXED, scratch)
+    joined = found(spark, near, index, index, manifest["weights"])
     return R.filtered(joined, condition(), K).select("query_id", "case_id", "neighbor", F.round("similarity", 6).alias("similarity"))
 
 
