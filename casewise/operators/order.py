@@ -27,6 +27,7 @@ def value_table(df: DataFrame, col: str, by: tuple[str, ...] = (), cut_by: tuple
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("n"))
     cuts = counts.groupBy(*cut_by).agg(F.percentile_approx(col, F.array(*[F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)]), 1000).alias("cuts"))
+    cuts = Scratch(df.sparkSession, "cuts").table(cuts)  # they depend on the order of merging, and two branches below must see the same
     cut = counts.join(F.broadcast(cuts), list(cut_by)) if cut_by else counts.crossJoin(F.broadcast(cuts))
     dealt = cut.withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col(col)))).drop("cuts")
     sums = dealt.groupBy(*by, "range").agg(F.sum("n").alias("in_range"))
@@ -110,7 +111,8 @@ def column_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dic
                 ends = below[name] + np.cumsum([c for _, c in found])
                 if below[name] <= int(place) and (len(ends) and ends[-1] > math.ceil(place)):
                     low, high = (found[int(np.searchsorted(ends, k, side="right"))][0] for k in (math.floor(place), math.ceil(place)))
-                    out[name] = low + (high - low) * (place - math.floor(place))
+                    share = place - math.floor(place)
+                    out[name] = math.fma(low, 1 - share, high * share) if share else low  # as the SQL engine does, to the last bit
                     del todo[name]
                 else:  # the approximation missed it: everything, to be narrowed
                     todo[name] = (place, -math.inf, math.inf)

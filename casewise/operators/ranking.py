@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import cases_of
+from ..functions.expr import cases_of, rounded
 from ..sources.scratch import Scratch
 from .order import Rank, column_quantiles, quantile, with_ranks
 
@@ -31,9 +31,9 @@ def winner_ranking(cases: DataFrame) -> DataFrame:
     out = with_ranks(marked, *[Rank(f"_{m}", percent=f"{m}_pct") for m in WEIGHTS]).drop(*[f"_{m}" for m in WEIGHTS])
     blended = sum((F.coalesce(F.col(f"{m}_pct"), F.lit(0.0)) * w for m, w in WEIGHTS.items()), F.lit(0.0))
     bonus = F.when(F.col("status") == "top_performer", TOP_BONUS).otherwise(0.0)
-    out = scratch.table(out.withColumn("best_score", F.when(F.col("has_evidence"), F.round(blended + bonus, 6))))
+    out = scratch.table(out.withColumn("best_score", F.when(F.col("has_evidence"), rounded(blended + bonus, 6))))
     top = quantile(out, "best_score", TOP_SHARE)
-    is_top = F.col("best_score") >= F.round(F.lit(top), 6)
+    is_top = F.col("best_score") >= rounded(F.lit(top), 6)
     status = F.col("status")
     segment = cases_of((~F.col("has_evidence"), "low_evidence"), (is_top & (status == "fatigued"), "strong_but_fatigued"), (is_top & (status == "top_performer"), "top_winner"), (is_top, "strong_candidate"), otherwise="not_top")
     out = out.withColumn("segment", segment)

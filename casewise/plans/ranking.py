@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import micros, safe_div
+from ..functions.expr import micros, rounded, safe_div
 from ..operators import health, knn, nexttest
 from ..operators import ranking as R
 from ..operators.order import quantiles
@@ -31,11 +31,11 @@ def cases(spark, sf_dir):
     return out.select(
         F.col("p_partkey").alias("case_id"), F.col("p_brand").alias("vertical"), F.col("p_type").alias("format"), F.col("p_size").alias("size"), "campaign_id", "launch_date",
         "spend", "revenue", "impressions", "clicks", "conversions", status.alias("status"),
-        F.round(safe_div(F.col("revenue"), F.col("spend")), 6).alias("roas"),
-        F.round(safe_div(F.col("conversions") * 1000, F.col("impressions")), 6).alias("ipm"),
-        F.round(safe_div(F.col("conversions"), F.col("clicks")), 6).alias("cvr"),
-        F.round(safe_div(F.col("clicks"), F.col("impressions")), 6).alias("ctr"),
-        F.round(F.col("p_retailprice") / 1000, 6).alias("perf_score"),
+        rounded(safe_div(F.col("revenue"), F.col("spend")), 6).alias("roas"),
+        rounded(safe_div(F.col("conversions") * 1000, F.col("impressions")), 6).alias("ipm"),
+        rounded(safe_div(F.col("conversions"), F.col("clicks")), 6).alias("cvr"),
+        rounded(safe_div(F.col("clicks"), F.col("impressions")), 6).alias("ctr"),
+        rounded(F.col("p_retailprice") / 1000, 6).alias("perf_score"),
     )
 
 
@@ -88,7 +88,7 @@ def _rounded(names) -> str:
 
 
 def _round_pct(df, names):
-    return df.select(*[F.round(c, 9).alias(c) if c.endswith("_pct") else F.col(c) for c in names])
+    return df.select(*[rounded(F.col(c), 9).alias(c) if c.endswith("_pct") else F.col(c) for c in names])
 
 
 @query(f"WITH {RANKING} SELECT {_rounded(RANK_COLUMNS)} FROM ranking")
@@ -114,7 +114,7 @@ def winner_group_ranks(spark, sf_dir):
 
 @query(f"WITH {RANKING} SELECT segment, hint, count(*) AS n, round(avg(best_score), 6) AS mean_score FROM ranking GROUP BY segment, hint")
 def winner_segment_counts(spark, sf_dir):
-    return ranked(spark, sf_dir).groupBy("segment", "hint").agg(F.count("*").alias("n"), F.round(F.avg("best_score"), 6).alias("mean_score"))
+    return ranked(spark, sf_dir).groupBy("segment", "hint").agg(F.count("*").alias("n"), rounded(F.avg("best_score"), 6).alias("mean_score"))
 
 
 def _benchmark_sql() -> str:

@@ -457,6 +457,22 @@ def test_words_of_groups_end_at_letters_beyond_ascii(spark):
     assert got == ["de", None, None, "fr", None]
 
 
+def test_rounding_and_quantiles_are_the_sql_engines(spark):
+    import duckdb
+
+    pairs = [(a, b) for b in (128, 640, 1280) for a in range(1, b) if a * 2_000_000 % b == 0 and a * 1_000_000 % b]
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pairs] + [(-41.0, 640.0), (1e300, 1.0)], "a double, b double")
+    for r in df.select("a", "b", expr.rounded(F.col("a") / F.col("b"), 6).alias("got")).collect():
+        assert r.got == duckdb.execute(f"SELECT round({r.a!r}::DOUBLE / {r.b!r}::DOUBLE, 6)").fetchone()[0], r
+    assert df.limit(0).select(expr.rounded(F.lit(None).cast("double"), 6)).count() == 0
+    draw = np.random.default_rng(11)
+    columns = {f"c{i}": [float(v) for v in (draw.normal(size=4) * 1e6 if i % 2 else np.repeat(draw.normal() * 1e6, 4))] for i in range(20)}
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    got = order.column_quantiles(df, {c: (c, 0.9) for c in columns})
+    for c, values in columns.items():
+        assert got[c] == duckdb.execute("SELECT quantile_cont(x, 0.9) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchone()[0]
+
+
 @pytest.mark.parametrize("rule", [fetch.Rule(4), fetch.Rule(4, ("f",), ("g",), "n < 9", relax=True), fetch.Rule(4, ("f",), ("g",), "n < 9"), fetch.Rule(4, steps=("f", "g"))])
 def test_candidates_are_filtered_where_they_are_found(spark, monkeypatch, rule):
     """Few rows leave the task, and the rule finds the same k among them as among all that were fetched."""
